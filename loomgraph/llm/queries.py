@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, packing, secrets, simhash, suffixes
+from loomgraph.llm import bpe, media, packing, secrets, simhash, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,50 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(_table(spark, sf_dir, "documents"))
 
 
+#: The list's source: keys of pages that some feed links to.
+FEED = "%utm_source=feed%"
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(_table(spark, sf_dir, "pages"), F.col("url").like(FEED))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_suffixes": op6_suffixes,
+    "op8_urls": op8_urls,
+    "op9_media": op9_media,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_urls": f"""
+        with rest as (
+            select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages
+        ), parts as (
+            select page_id, url, regexp_extract(r, '^([^/?#]*)', 1) as h, r from rest
+        ), keys as (
+            select page_id, lower(h) as host, regexp_extract(substr(r, length(h) + 1), '^([^?#]*)', 1) as path, coalesce(url like '{FEED}', false) as on_list from parts
+        ), listed as (
+            select host || path as key, max(case when on_list then 1 else 0 end) as listed from keys group by 1
+        ), ruled as (
+            select page_id, host, path, listed,
+                case when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'
+                     when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/de/8') then 'example.net/de/8'
+                     when (host = 'com' or host like '%.com') and starts_with(path, '/en/') then 'com/en/'
+                     when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
+                     when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule
+            from keys join listed on listed.key = keys.host || keys.path
+        )
+        select page_id, host, path, rule,
+            case rule when 'example.com/en/7' then 'allow' when 'net/de/' then 'allow'
+                      when 'com/en/' then 'block' when 'example.net/de/8' then 'block' when 'org/es/' then 'block'
+                      else case when listed = 1 then 'block' else 'allow' end end as verdict
+        from ruled""",
+}
