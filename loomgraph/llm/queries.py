@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, media, packing, secrets, simhash, suffixes, urlfilter
+from loomgraph.llm import bpe, media, packing, quality, secrets, simhash, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_suffixes": op6_suffixes,
     "op8_urls": op8_urls,
     "op9_media": op9_media,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
