@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, media, packing, quality, secrets, simhash, suffixes, urlfilter
+from loomgraph.llm import bpe, embeddings, media, packing, quality, secrets, simhash, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(_table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 #: The list's source: keys of pages that some feed links to.
 FEED = "%utm_source=feed%"
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_suffixes": op6_suffixes,
+    "op7_embeddings": op7_embeddings,
     "op8_urls": op8_urls,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
