@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import connected_components, written
 
 #: Tables, hashes of a table's code, and buckets of a table besides its own into which a vector goes.
-TABLES, HASHES, PROBES = 5, 2, 2
+TABLES, HASHES, PROBES = 4, 2, 2
 COSINE = 0.98
 #: Vectors of a bucket that one task compares with each other; a larger bucket is dealt out as pairs of blocks.
 BLOCK = 2048

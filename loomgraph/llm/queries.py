@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomgraph.llm import bpe, embeddings, media, packing, quality, secrets, simhash, suffixes, urlfilter
 
 
@@ -64,6 +65,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, combinations
 
@@ -21,6 +21,8 @@ RADIUS = 4
 BLOCK = 4096
 #: Groups up to this size are compared by offset, all groups of a batch at once.
 SMALL = 8
+#: Rows of an index partition that are compared at once, unless one list has more.
+STREAMED = 50_000
 
 
 def _thirds() -> list[tuple[int, int, int]]:
@@ -80,23 +82,30 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return rows.mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long")
 
 
-def _near(x: np.ndarray) -> np.ndarray:
-    """Of the differences x: first the tally of equal bytes, then the bits of those that reach it."""
+def _near(a: np.ndarray, b: np.ndarray, most: int | None) -> np.ndarray:
+    """Whether rows (fp, node, checks...) are near: first the tally of equal bytes of fp, then, for those
+    that reach it, the differing bits: of fp, or of the checks if most says how many they may have."""
+    x = a[..., 0] ^ b[..., 0]
     shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(-1)
     out = shared >= BYTES - RADIUS
-    out[out] = np.bitwise_count(x[out]) <= RADIUS
+    at = np.flatnonzero(out)
+    if most is None:
+        out[at] = np.bitwise_count(x[at].view(np.uint64)) <= RADIUS
+    else:
+        a = a[at] if a.ndim > 1 else a
+        out[at] = np.bitwise_count((a[..., 2:] ^ b[at][:, 2:]).view(np.uint64)).sum(-1) <= most
     return out
 
 
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the near pairs among fp, fewer than there are entries: a breadth-first walk."""
-    left, queue, links = np.arange(len(fp)), [], []
+def _forest(rows: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the near pairs among rows, fewer than there are rows: a breadth-first walk."""
+    left, queue, links = np.arange(len(rows)), [], []
     while len(left):
         if queue:
             i = queue.pop()
         else:
             i, left = left[0], left[1:]
-        hit = _near(fp[left] ^ fp[i])
+        hit = _near(rows[i], rows[left], most)
         found = left[hit]
         links += [(i, j) for j in found]
         queue += list(found)
@@ -105,64 +114,71 @@ def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1]
 
 
-def spanning_links(batches: Iterator[pa.RecordBatch], forest: Callable = _forest) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, fp, node), sorted by the first three: links between nodes whose fp are near."""
+def spanning_links(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, fp, node, checks...), sorted by the first three: links between the nodes of near rows."""
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
         group = np.r_[0, np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))]
         sizes = np.bincount(group)
-        fp, node, left, right = rows[:, 3].view(np.uint64), rows[:, 4], [], []
+        own, left, right = np.ascontiguousarray(rows[:, 3:]), [], []
         few = sizes[group] <= SMALL
         for o in range(1, min(SMALL, len(rows))):
             i = np.flatnonzero((group[o:] == group[:-o]) & few[o:])
-            i = i[_near(fp[i] ^ fp[i + o])]
-            left.append(node[i])
-            right.append(node[i + o])
+            i = i[_near(own[i], own[i + o], most)]
+            left.append(own[i, 1])
+            right.append(own[i + o, 1])
         starts = np.r_[0, np.cumsum(sizes)]
         for g in np.flatnonzero(sizes > SMALL):
-            s = slice(starts[g], starts[g + 1])
-            i, j = forest(np.ascontiguousarray(fp[s]))
-            left.append(node[s][i])
-            right.append(node[s][j])
+            part = own[starts[g] : starts[g + 1]]
+            i, j = _forest(part, most)
+            left.append(part[i, 1])
+            right.append(part[j, 1])
         ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
 
-    rest = np.zeros((0, 5), np.int64)
+    held, rows = [], 0
     for b in batches:
-        rows = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns], 1)])
-        if not len(rows):
+        held.append(np.stack([c.to_numpy() for c in b.columns], 1))
+        rows += b.num_rows
+        if rows < STREAMED:
             continue
-        cut = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(1))
+        table = np.concatenate(held)
+        cut = np.flatnonzero((table[:, :3] != table[-1, :3]).any(1))
         cut = cut[-1] + 1 if len(cut) else 0
-        rest = rows[cut:]
+        held, rows = [table[cut:]], len(table) - cut
         if cut:
-            yield links(rows[:cut])
-    if len(rest):
-        yield links(rest)
+            yield links(table[:cut])
+    if rows:
+        yield links(np.concatenate(held))
 
 
-def near_links(reps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the nodes of reps (fp, node; fp distinct) within RADIUS bits, transitively.
+def near_links(reps: DataFrame, prints: list[str], checks: list[str] = (), most: int | None = None) -> DataFrame:
+    """Links (a, b) that connect the nodes of reps (node, prints, checks) that are near, transitively.
 
-    The inverted index lists fingerprints under three positioned bytes (a list for a single byte
-    would hold a 256th of all rows). Any pair that shares BYTES - RADIUS bytes meets in a list; there
-    the shared bytes of the pair are tallied and the pair is verified. A list longer than BLOCK is
-    dealt out as pairs of blocks, so no task holds an unbounded list, and only a spanning forest of
-    each block leaves it.
+    Rows are near if one of their prints agrees in BYTES - RADIUS bytes and then differs in at most
+    RADIUS bits, or, with checks, if these differ in at most `most` bits together. The inverted index
+    lists each print under three positioned bytes (a list for a single byte would hold a 256th of all
+    rows). Any pair that shares BYTES - RADIUS bytes meets in a list; there the shared bytes of the
+    pair are tallied and the pair is verified. A list longer than BLOCK is dealt out as pairs of
+    blocks, so no task holds an unbounded list, and only a spanning forest of each block leaves it.
     """
-    byte = [F.shiftrightunsigned("fp", 8 * (BYTES - 1 - i)).bitwiseAND(F.lit(255)) for i in range(BYTES)]
-    code = [F.lit(k << 24) + byte[i] * (1 << 16) + byte[j] * (1 << 8) + byte[m] for k, (i, j, m) in enumerate(TRIPLES)]
-    index = reps.select("fp", "node", F.explode(F.array(*code)).alias("key"))
+    entries = []
+    for p, name in enumerate(prints):
+        byte = [F.shiftrightunsigned(name, 8 * (BYTES - 1 - i)).bitwiseAND(F.lit(255)) for i in range(BYTES)]
+        for k, (i, j, m) in enumerate(TRIPLES):
+            key = F.lit((p * len(TRIPLES) + k) << 24) + byte[i] * (1 << 16) + byte[j] * (1 << 8) + byte[m]
+            entries.append(F.struct(key.alias("key"), F.col(name).alias("fp")))
+    index = reps.select("node", *checks, F.explode(F.array(*entries)).alias("e")).select("e.key", "e.fp", "node", *checks)
     hot = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     dealt = (
         index.join(hot, "key", "left")
         .withColumn("n", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
-        .withColumn("c", F.expr("cast(pmod(xxhash64(fp), n) as int)"))
+        .withColumn("c", F.expr("cast(pmod(xxhash64(node), n) as int)"))
         .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("key", F.least("c", "d").cast("long").alias("lo"), F.greatest("c", "d").cast("long").alias("hi"), "fp", "node")
+        .select("key", F.least("c", "d").cast("long").alias("lo"), F.greatest("c", "d").cast("long").alias("hi"), "fp", "node", *checks)
     )
     spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return spread.mapInArrow(spanning_links, "a long, b long").distinct()
+    return spread.mapInArrow(partial(spanning_links, most=most), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -173,6 +189,62 @@ def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
     """
     fps = written(fingerprints(docs, words), "simhash")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-reps")
-    groups = connected_components(near_links(reps))
+    groups = connected_components(near_links(reps, ["fp"]))
     named = reps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For groups of near copies: prints of the set of words find candidates, and prints of the set of
+#: shingles, FOLD times 64 bits, verify them.
+FOLD = 4
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _print(items: list[bytes]) -> np.ndarray:
+    """FOLD signed 64-bit SimHashes of a set; zeros for an empty one."""
+    total = np.zeros((FOLD, 64), np.int64)
+    for k in range(0, len(items), 1 << 14):
+        h = np.array([xxhash.xxh64_intdigest(x) for x in items[k : k + (1 << 14)]], np.uint64)[:, None] * MULTIPLIERS
+        h = (h ^ (h >> np.uint64(31))) * MULTIPLIERS[::-1]
+        h ^= h >> np.uint64(29)
+        total += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, FOLD, 8), axis=2).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(items), axis=1).view(np.int64)[:, 0]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = np.zeros((b.num_rows, 2 * FOLD), np.int64)
+        for row, text in enumerate(b.column(1).to_pylist()):
+            parts = (text or "").encode().lower().split()
+            if not parts:
+                continue
+            line = b" ".join(parts)
+            ends = list(accumulate(len(p) + 1 for p in parts))
+            shingles = {line[i : j - 1] for i, j in zip([0, *ends], ends[words - 1 :])} or {line}
+            out[row] = np.r_[_print(list(set(parts))), _print(list(shingles))]
+        columns = [pa.array(np.ascontiguousarray(c)) for c in out.T]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *(f"{k}{i}" for k in "wv" for i in range(FOLD))])
+
+
+def most_bits(similarity: float, spread: float = 1.0) -> int:
+    """How many of the 64 * FOLD check bits sets of that Jaccard similarity differ in, and spread deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * FOLD
+    return int(n * share + spread * np.sqrt(n * share * (1 - share)))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents (doc_id, text): groups of near copies by sets of word shingles.
+
+    A pair links if a SimHash of the words' sets agrees in enough bytes and the longer SimHash of the
+    shingles' sets differs in no more bits than sets of that similarity do (one deviation allowed, so
+    pairs just below are also taken). Texts without words are copies of each other. Rows of one doc_id
+    and null texts as in simhash_components.
+    """
+    names = [f"{k}{i}" for k in "wv" for i in range(FOLD)]
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    sketched = written(rows.mapInArrow(partial(_sketched, words=words), "doc_id long, " + ", ".join(f"{n} long" for n in names)), "sketches")
+    reps = written(sketched.groupBy(*names).agg(F.min("doc_id").alias("node")), "sketch-reps")
+    groups = connected_components(near_links(reps, names[:FOLD], names[FOLD:], most_bits(similarity)))
+    named = reps.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return sketched.join(named, names).select("doc_id", "component_id")
