@@ -207,7 +207,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = (data[row[part][:, None], column[part][:, None] + take] == data[row[head[part]][:, None], column[head[part]][:, None] + take]).all(1)
             if not same.all():
                 raise ArithmeticError("two different strings share a hash; change MIX and run again")
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row[found]]), pa.array(begin[found], pa.int32()), pa.array(begin[found], pa.int32())], ["doc_id", "first", "last"])
+        d, s = doc[row[found]], begin[found]
+        order = np.lexsort((s, d))
+        d, s = d[order], s[order]
+        run = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)][: len(d)])
+        stop = np.r_[run[1:], len(d)][: len(run)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(d[run]), pa.array(s[run], pa.int32()), pa.array(s[stop], pa.int32())], ["doc_id", "first", "last"])
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +226,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    suffixes = rows.mapInArrow(_suffixes, "lead long, around long, doc_id long, start int, first int, last int")
+    # Written, as Spark reads the rows twice: once to sample the splitters.
+    suffixes = written(rows.mapInArrow(_suffixes, "lead long, around long, doc_id long, start int, first int, last int"), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["lead", "around", "doc_id", "start"]
     classes = written(suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_classes, CLASSES), "classes")
@@ -245,15 +251,24 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.unionByName(written(single, "strings")), packed
 
 
-def _runs(spans: list[dict], size: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that strings starting in spans cover."""
-    out = []
-    for i, j in sorted((s["first"], s["last"] + MATCH) for s in spans or ()):
-        if out and i <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], j)
-        else:
-            out.append([i, j])
-    return [(i, min(j, size)) for i, j in out]
+def _runs(spans: pa.ListArray, sizes: list[int]) -> list[list[tuple[int, int]]]:
+    """For each text the maximal runs of bytes that strings starting in its spans cover."""
+    count = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    inner = spans.flatten()
+    first, last = (inner.field(k).to_numpy().astype(np.int64) for k in range(2))
+    text = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((first, text))
+    text, first, end = text[order], first[order], last[order] + MATCH
+    # Texts are laid out apart from each other, so that one running maximum serves all.
+    base = np.r_[0, np.cumsum(np.array(sizes, np.int64) + 1)][text]
+    far = np.maximum.accumulate(base + end) if len(end) else end
+    new = np.r_[True, base[1:] + first[1:] > far[:-1]][: len(text)]
+    at = np.flatnonzero(new)
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    ends = far[np.r_[at[1:], len(text)][: len(at)] - 1] - base[at]
+    for t, i, j in zip(text[at].tolist(), first[at].tolist(), ends.tolist()):
+        out[t].append((i, j))
+    return out
 
 
 def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -268,9 +283,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     for b in batches:
         rows = []
-        for doc, packed, spans in zip(*(c.to_pylist() for c in b.columns)):
-            raw = expand(packed)
-            runs = _runs(spans, len(raw))
+        texts = [expand(p) for p in b.column(1).to_pylist()]
+        for doc, raw, runs in zip(b.column(0).to_pylist(), texts, _runs(b.column(2), [len(t) for t in texts])):
             rows.append((doc, len(raw), sum(j - i for i, j in runs), len(runs), hashlib.sha256(_cut(raw, runs)).hexdigest()))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         columns = list(zip(*rows)) or [()] * 5
@@ -280,10 +294,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        kept = []
-        for packed, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            raw = expand(packed)
-            whole = [(_char(raw, i, 1), _char(raw, j, -1)) for i, j in _runs(spans, len(raw))]
+        kept, texts = [], [expand(p) for p in b.column(1).to_pylist()]
+        for raw, runs in zip(texts, _runs(b.column(2), [len(t) for t in texts])):
+            whole = [(_char(raw, i, 1), _char(raw, j, -1)) for i, j in runs]
             kept.append(_cut(raw, [(i, j) for i, j in whole if i < j]).decode())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
 
