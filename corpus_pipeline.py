@@ -24,9 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the least doc_id."""
-    first = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi")
+    """Keeps of each group of near copies the row with the least doc_id."""
+    return simhash.without_copies(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of each row's own, written once: doc_id may be null or repeat."""
+    return written(docs.drop("row").withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

@@ -99,6 +99,38 @@ def test_near_copies(spark, odd):
     assert got[9] == 9 and got[14] == 14
 
 
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(r.choice((30, 150, 300)))]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.04, 0.05):
+            texts.append([r.choice(words) if r.random() < share else w for w in base])
+        texts.append(base[len(base) // 2 :] + base[: len(base) // 2])
+        texts.append(r.sample(base, len(base)))  # the same words in another order are no copy
+        texts.append(base + [r.choice(words) for _ in range(len(base) // r.choice((3, 4, 5)))])
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    comp = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in range(20):
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for volume in (simhash.VOLUME, 200):  # with 200, components are dealt out
+        monkeypatch.setattr(simhash, "VOLUME", volume)
+        assert {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()} == dict(enumerate(comp))
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    a, b, c = prose(200, 21), prose(200, 22), prose(200, 23)
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c), (None, None), (4, "")]
+    got = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id or 0, x.text or "") for x in got)) == sorted([(1, a), (1, b), (0, c), (4, "")])
+
+
 def brute_removed(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
