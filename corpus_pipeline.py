@@ -7,14 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import packing, quality, secrets, simhash, suffixes
-from loomgraph.llm.common import written
-
-
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts (doc_id, text) in place of their own, and n_chars after them."""
-    new = texts.select("doc_id", F.col("text").alias("new_text"))
-    rows = docs.drop("text").join(new, "doc_id").withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("new_text").cast("long"))
-    return rows.select(*docs.columns)
+from loomgraph.llm.common import numbered, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +23,17 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of all but their first place; documents that lose all their text go."""
-    out = _with_text(docs, suffixes.without_repeats(docs))
-    return out.join(docs.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("had")), "doc_id").where("text <> '' or not had").drop("had")
+    had = F.coalesce(F.length("text"), F.lit(0)) > 0
+    out = suffixes.without_repeats(docs.withColumn("had", had)).where("text <> '' or not had").drop("had")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of secrets."""
-    return _with_text(docs, secrets.redacted(docs))
+    rows = numbered(docs)
+    new = secrets.redacted(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("text").alias("new_text"))
+    out = rows.drop("text").join(new, "row").withColumn("text", F.col("new_text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

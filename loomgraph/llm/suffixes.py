@@ -161,7 +161,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         raw = [squeeze((t or "").encode()) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), *b.columns[2:]], ["doc_id", "packed", *b.schema.names[2:]])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The repeated strings' starts, (doc_id, first, last), and the compressed texts, (doc_id, packed).
+    """The repeated strings' starts, (doc_id, first, last), and the compressed texts, (doc_id, packed, own), of (doc_id, text, own).
+
+    doc_id must be unique; own, whatever it is, goes with the text.
 
     Suffixes at the chosen starts are range-partitioned by their leading bytes (Spark samples the
     splitters) and sorted within the partitions, ties by what surrounds them, then by document and
@@ -225,7 +227,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     around it are compared string by string.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select("doc_id", "text")
     # Written, as Spark reads the rows twice: once to sample the splitters.
     suffixes = written(rows.mapInArrow(_suffixes, "lead long, around long, doc_id long, start int, first int, last int"), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -244,7 +246,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = classes.where((F.col("kind") == HEAD) | (border & ~joins))
     hot = heads.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     asked = heads.join(hot, "lead").select("doc_id", F.struct("lead", "first", "last", (F.col("n") > GROUP).alias("hot")).alias("h"))
-    packed = rows.mapInArrow(_squeezed, "doc_id long, packed binary")
+    packed = docs.mapInArrow(_squeezed, f"doc_id long, packed binary, own {docs.schema['own'].dataType.simpleString()}")
     by_doc = asked.groupBy("doc_id").agg(F.collect_list("h").alias("heads"))
     strings = packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "heads").mapInArrow(_strings, "key long, doc_id long, first int, cover binary")
     single = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "doc_id long, first int, last int")
@@ -298,7 +300,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, runs in zip(texts, _runs(b.column(2), [len(t) for t in texts])):
             whole = [(_char(raw, i, 1), _char(raw, j, -1)) for i, j in runs]
             kept.append(_cut(raw, [(i, j) for i, j in whole if i < j]).decode())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["own", "text"])
 
 
 def _char(raw: bytes, at: int, step: int) -> int:
@@ -308,21 +310,30 @@ def _char(raw: bytes, at: int, step: int) -> int:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    found, packed = repeats(docs)
+    """(doc_id, packed, spans, own): rows by numbers of their own in the order of doc_id, null last, and what else they hold as own."""
+    other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
+    rows = docs.select(other.alias("own"), "text")
+    rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    found, packed = repeats(written(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "own"), "rows"))
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return packed.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "spans")
+    return packed.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "spans", "own")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of documents (doc_id, text).
 
     A byte goes if a string of MATCH bytes over it also starts earlier, in a smaller doc_id or before
-    in its own text. Null texts are empty, short texts lose nothing, no rows give no rows. doc_id must
-    be unique. Other columns are ignored.
+    in its own text. Rows of one doc_id, or of none, are texts of their own, in some order; null comes
+    last. Null texts are empty, short texts lose nothing, no rows give no rows. Other columns are ignored.
     """
-    return _with_spans(docs).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    rows = _with_spans(docs.select("doc_id", "text")).select("own.doc_id", "packed", "spans")
+    return rows.mapInArrow(_digests, kinds)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) without the removed bytes; a character that is only partly in a removed run stays."""
-    return _with_spans(docs).mapInArrow(_texts, "doc_id long, text string")
+    """docs with text without the removed bytes; a character that is only partly in a removed run stays."""
+    rows = _with_spans(docs)
+    out = rows.select("own", "packed", "spans").mapInArrow(_texts, f"own {rows.schema['own'].dataType.simpleString()}, text string")
+    return out.select("own.*", "text").select(*docs.columns)

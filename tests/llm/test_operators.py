@@ -155,6 +155,14 @@ def test_suffixes_against_all_strings(spark, odd, none, group, monkeypatch):
     assert texts[5] == odd_documents()[5][1] and texts[6] == ""
 
 
+def test_suffixes_of_repeated_and_null_ids(spark):
+    a, b = prose(200, 31), prose(200, 32)
+    docs = spark.createDataFrame([(7, a), (7, a), (None, b), (None, b), (7, b), (None, None)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in suffixes.without_repeats(docs).collect())
+    assert got == sorted([(7, a), (7, ""), (7, b), (0, ""), (0, ""), (0, "")])
+    assert sorted((r.doc_id or 0, r.n_bytes - r.n_removed) for r in suffixes.removed(docs).collect()) == sorted((i, len(t.encode())) for i, t in got)
+
+
 def test_passages_find_copied_text(spark, odd, none):
     rows = passages.near_passages(odd).collect()
     found = {(r.doc_id, r.source_doc_id) for r in rows}

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -30,3 +31,21 @@ def test_stages(spark):
     assert not any("token = \"" + "0" in t and "[SECRET]" not in t for t in texts["secrets"].values())
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert rows.select("doc_id").distinct().count() == seen[-1]
+
+
+def test_stages_keep_rows_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+    from loomgraph.llm.common import written
+
+    r = random.Random(6)
+    texts = [" ".join(f"word{r.randrange(500)}" for _ in range(120)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = written(docs, "docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        kept = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+        assert kept == sorted((i or 0, t) for i, t in (rows if name == "quality" else set(rows))), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.start == 0 and r.doc_id is None) > 0 and sum(r.start == 0 for r in pieces) == 4
