@@ -1,33 +1,16 @@
-"""What the operators share: the shared scratch folder, written tables, connected components."""
+"""What the operators share: numbered rows and connected components over written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomgraph.scratch", None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("loomgraph.scratch", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loomgraph.scratch import drop, write, written
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with row, a number of each row's own, written once: doc_id may be null or repeat."""
-    return written(docs.drop("row").withColumn("row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
+    """docs with a number of each row's own, written once: doc_id may be null or repeat. docs has no column of that name."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -49,15 +32,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     round is written to the shared folder. Ends when the edge set no longer changes. Null ends and
     self-loops are ignored; an empty input gives an empty result.
     """
+    spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct()
-    now = written(now, "edges")
+    kinds, path = now.schema, write(now, "edges")
+    now = spark.read.schema(kinds).parquet(path)
     seen = _fingerprint(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = _with_min(large)
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
+        old, path = path, write(small.where("u <> v").distinct(), "edges")
+        drop(spark, old)
+        now = spark.read.schema(kinds).parquet(path)
         last, seen = seen, _fingerprint(now)
         if seen == last:
             break
