@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -14,6 +14,8 @@ try:
 except ImportError:  # before Python 3.11
     import sre_parse as parser
 
+#: Matches of a text that are run through one after the other before the next block begins.
+TOGETHER = 256
 #: Alternatives that a part of a rule may branch into; a part with more says nothing.
 BRANCHES = 16
 
@@ -106,30 +108,60 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.where("n = needed").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(rule: Rule, number: int) -> Column:
-    """array<struct<start, number, end, kind>> of a rule's matches in text, by code points.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(items: Column, value: Callable, joined: Callable, zero: int, out: Callable) -> Column:
+    """out(item, before) of each item, where before joins zero and the values of all items before it.
+
+    An array that grows by one is copied each time, so items are run through in blocks of TOGETHER;
+    then each block gets what the blocks before it come to. Time stays in proportion to the items.
+    """
+    pair = lambda item, at: F.struct(item.alias("item"), at.alias("before"))
+    start = F.lit(zero)
+
+    def step(state: Column, item: Column) -> Column:
+        return F.struct(joined(state["at"], value(item)).alias("at"), F.concat(state["found"], F.array(pair(item, state["at"]))).alias("found"))
+
+    def block(all_: Column, b: Column) -> Column:
+        own = F.slice(all_, b * TOGETHER + 1, F.lit(TOGETHER))
+        none = F.slice(F.transform(own, lambda x: pair(x, start)), 1, 0)
+        return F.aggregate(own, F.struct(start.alias("at"), none.alias("found")), step)
+
+    def shifted(blocks: Column) -> Column:
+        upto = F.aggregate(blocks, F.array(start), lambda so_far, b: F.concat(so_far, F.array(joined(F.element_at(so_far, -1), b["at"]))))
+        each = F.zip_with(blocks, F.slice(upto, 1, F.size(blocks)), lambda b, o: F.transform(b["found"], lambda p: out(p["item"], joined(o, p["before"]))))
+        return F.flatten(each)
+
+    count = lambda x: F.greatest(F.ceil(F.size(x) / TOGETHER) - 1, F.lit(0)).cast("int")
+    return _let(items, lambda x: _let(F.transform(F.sequence(F.lit(0), count(x)), lambda b: block(x, b)), shifted))
+
+
+def _spans(rule: Rule, number: int, measure: Callable[[Column], Column]) -> Column:
+    """array<struct<start, number, end, kind>> of a rule's matches in text, places by measure.
 
     The text between the matches comes from split, so places are running sums of lengths.
     """
     text, pattern = F.col("text"), F.lit(rule.pattern)
-    size = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    asked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    parts = F.zip_with(F.zip_with(F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), 1, F.size(size)), size, lambda g, n: F.struct(g.alias("gap"), n.alias("size"))), asked, lambda p, a: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), a.alias("asked")))
-    kind = "array<struct<start:int,number:int,end:int,kind:string>>"
-    none = F.array().cast(kind)
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.transform(F.split(text, rule.pattern, -1), measure).alias("gaps"))
+    part = lambda gap, m: F.struct(gap.alias("gap"), measure(m).alias("size"), F.length(F.regexp_extract(m, rule.pattern, rule.group)).alias("asked"))
+    parts = _let(both, lambda x: F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], part))
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        end = start + p["size"]
-        found = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(p["asked"] >= rule.least, F.concat(state["found"], found)).otherwise(state["found"]).alias("found"))
+    def place(p: Column, before: Column) -> Column:
+        start = before + p["gap"]
+        return F.struct(p["asked"].alias("asked"), F.struct(start.alias("start"), F.lit(number).alias("number"), (start + p["size"]).alias("end"), F.lit(rule.kind).alias("kind")).alias("span"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    placed = _running(parts, lambda p: p["gap"] + p["size"], lambda a, b: a + b, 0, place)
+    return F.transform(F.filter(placed, lambda p: p["asked"] >= rule.least), lambda p: p["span"])
 
 
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measure: Callable[[Column], Column] = F.length) -> DataFrame:
     """documents with spans array<struct<start, number, end, kind>>, in order of start, then of the rules.
 
+    Places are code points, or bytes with measure octet_length.
+
     Rules with mandatory trigrams run only on the texts that the index gives; the others on all. A null
     text is empty; repeated doc_ids and null doc_ids keep their rows; columns other than doc_id and
     text are dropped.
@@ -141,7 +173,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     each = []
     for number, rule in enumerate(rules):
         ask = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) is not None else F.col("text").rlike(rule.pattern)
-        each.append(F.when(ask, _spans(rule, number)).otherwise(F.array().cast(kind)))
+        each.append(F.when(ask, _spans(rule, number, measure)).otherwise(F.array().cast(kind)))
     return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
@@ -159,13 +191,17 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, text) with each run of overlapping spans replaced by mark."""
+    """(doc_id, text) with each run of overlapping or touching spans replaced by mark."""
+    cut = lambda raw, at, size: F.substring(raw, at + 1, size).cast("string")
+    spans = _running(F.col("spans"), lambda s: s["end"], F.greatest, -1, lambda s, before: F.struct(s["start"].alias("start"), before.alias("before")))
+
+    def kept(raw: Column, s: Column) -> Column:
+        at = F.greatest(s["before"], F.lit(0))
+        return F.concat(cut(raw, at, s["start"] - at), F.lit(mark))
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.concat(state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        beyond = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(beyond & ((state["at"] < s["start"]) | (state["at"] == 0)), kept).otherwise(state["out"]).alias("out"))
+    def whole(raw: Column) -> Column:
+        begun = F.transform(F.filter(spans, lambda s: s["start"] > s["before"]), lambda s: kept(raw, s))
+        return F.concat(F.array_join(begun, ""), cut(raw, F.array_max(F.transform("spans", lambda s: s["end"])), F.octet_length("text")))
 
-    rest = lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text")))
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return scanned(docs, rules).select("doc_id", F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias("text"))
+    text = _let(F.col("text").cast("binary"), whole)
+    return scanned(docs, rules, F.octet_length).select("doc_id", F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias("text"))
