@@ -11,40 +11,38 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The bound on what is learned from: labelled documents and bytes of a class, first by hash of the doc_id.
-SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
-DICTIONARY = 112 << 10
-LEVEL = 3
+#: The bound on what is learned from: labelled documents and bytes of a class, first by hash of the doc_id, and bytes of one of them.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 16 << 20, 64 << 10
+#: Bytes of a dictionary, and the level at which texts are compressed with it.
+DICTIONARY, LEVEL = 1 << 20, 9
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries, and a logistic curve over the sizes they give. Without both classes: 0.5 for all."""
+    """Two dictionaries, and the logistic curve from the size difference they give to a score. Without both classes: 0.5 for all."""
 
     good: bytes = b""
     bad: bytes = b""
-    mean: tuple[float, ...] = ()
-    scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
 
 
-def _compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
-    plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    known = [{"dict_data": zstandard.ZstdCompressionDict(d)} if d else {} for d in (bad, good)]
-    return [zstandard.ZstdCompressor(**plain, **k) for k in (*known, {})]
+def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
+    out = []
+    for raw in (model.bad, model.good):
+        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)  # once, not for each text
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return out
 
 
-def _features(texts: list[bytes], compressors: list) -> np.ndarray:
-    """Per text: the normalised size differences, the sizes a byte, and their products."""
-    size = np.array([[len(c.compress(t)) for c in compressors] for t in texts], float).reshape(-1, 3)
-    n = np.array([len(t) + 16 for t in texts], float)
-    bad, good, plain = size.T
-    own = [(bad - good) / n, (bad - good) / (bad + good), good / n, plain / n, np.log(n) / 10]
-    return np.stack(own + [a * b for i, a in enumerate(own) for b in own[i:]], 1)
+def differences(texts: list[bytes], compressors: list) -> np.ndarray:
+    """Per text: how many bytes smaller it gets by the good dictionary than by the bad one, a byte of text."""
+    return np.array([(len(compressors[0].compress(t)) - len(compressors[1].compress(t))) / (len(t) + 16) for t in texts], float)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a ridge logistic regression, by Newton steps that are halved until the loss falls."""
     w = np.zeros(x.shape[1])
     loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).mean() + ridge * (w @ w) / 2
@@ -62,65 +60,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    try:
-        return zstandard.train_dictionary(DICTIONARY, texts).as_bytes()
-    except zstandard.ZstdError:  # too few or too short to train on
-        return b""
-
-
 def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
     """Learns from labelled documents (labels: doc_id, quality), of those usable holds for.
 
-    Of each class at most SAMPLE documents and SAMPLE_BYTES bytes reach the driver; half make the
-    dictionaries and the other half, which these haven't seen, the curve. Labels that are null or
-    contradict each other don't count.
+    Of each class at most SAMPLE documents and SAMPLE_BYTES bytes reach the driver, none of more than
+    TEXT_BYTES; half make the dictionaries and the other half, which these haven't seen, the curve.
+    Labels that are null or contradict each other don't count. Where both classes are labelled but
+    the sample lacks one of them, it raises.
     """
     rows = labels.where("doc_id is not null and quality is not null")
     rows = rows.where(usable) if usable is not None else rows
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
-    first = [rows.where(F.col("quality") == q).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most and quality in (0, 1)")
+    # Documents only, as labels may lack theirs; ids before texts, so that only the sample's texts move.
+    there = docs.where(f"text is not null and octet_length(text) <= {TEXT_BYTES}").select("doc_id").distinct()
+    able = rows.select("doc_id", "quality").join(there, "doc_id")
+    first = [able.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * SAMPLE rows at most
-    texts = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h"))
+    texts = docs.where(f"text is not null and octet_length(text) <= {TEXT_BYTES}").join(chosen, "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h"))
     upto = F.expr("sum(octet_length(text)) over (partition by quality order by h, doc_id rows unbounded preceding)")
     found = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("h", "doc_id", "quality", "text").collect()
     found.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    half = [[(r["text"].encode(), r["quality"]) for r in found[k::2]] for k in (0, 1)]
+    # Within each class every second text, so that neither half can lack a class that has two.
+    half = [[], []]
+    for q in (0, 1):
+        own = [(r["text"].encode(), q) for r in found if r["quality"] == q]
+        half[0] += own[::2]
+        half[1] += own[1::2]
     if not all({q for _, q in part} >= {0, 1} for part in half):
+        if rows.select("quality").distinct().count() > 1 and docs.where("text is not null").join(rows, "doc_id").select("quality").distinct().count() > 1:
+            raise ValueError(f"both classes are labelled, but the sample of texts up to {TEXT_BYTES} bytes has fewer than two of one")
         return Model()
-    bad, good = (_dictionary([t for t, q in half[0] if q == c]) for c in (0, 1))
-    x = _features([t for t, _ in half[1]], _compressors(good, bad))
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    y = np.array([q for _, q in half[1]], float)
-    w = _logistic(np.c_[np.ones(len(x)), (x - mean) / scale], y)
-    return Model(good, bad, tuple(mean), tuple(scale), tuple(w))
+    bad, good = (b"\n".join(t for t, q in half[0] if q == c)[:DICTIONARY] for c in (0, 1))
+    model = Model(good, bad)
+    x = differences([t for t, _ in half[1]], _compressors(model))
+    scale = x.std() + 1e-9
+    w = _logistic(np.c_[np.ones(len(x)), x / scale], np.array([q for _, q in half[1]], float))
+    return Model(good, bad, (float(w[0]), float(w[1] / scale)))
 
 
 def scores(model: Model, texts: list[bytes], compressors: list) -> np.ndarray:
     if not model.weights:
         return np.full(len(texts), 0.5)
-    x = (_features(texts, compressors) - np.array(model.mean)) / np.array(model.scale)
-    z = model.weights[0] + x @ np.array(model.weights[1:])
+    z = model.weights[0] + model.weights[1] * differences(texts, compressors)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    compressors = _compressors(model.good, model.bad)
+    compressors = _compressors(model) if model.weights else []
     for b in batches:
-        text = b.schema.get_field_index("text")
-        found = scores(model, [(t or "").encode() for t in b.column(text).to_pylist()], compressors)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
+        found = scores(model, [(t or "").encode() for t in b.column(1).to_pylist()], compressors)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["own", "score"])
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (with text) and score, 0 to 1, higher for text like the good one.
+    """(own, score) of rows (with text): a struct of all their columns, and a score, 0 to 1, higher for text like the good one.
 
-    A null text is empty, and the empty text has the score that the curve gives to its sizes. Rows are
-    independent; the model, two dictionaries and a few numbers, travels with the task.
+    A null text is empty, and the empty text has the score that the curve gives to no difference. Rows are
+    independent; the model, two dictionaries and two numbers, travels with the task.
     """
-    rows = rows.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(partial(_scored, model=model), f"{kinds}, score double")
+    both = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own"), "text")
+    return both.mapInArrow(partial(_scored, model=model), T.StructType([both.schema["own"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,5 +130,5 @@ def held_out(doc_id: Column) -> Column:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of documents, learned only from rows that are not held out."""
     model = learned(docs, labels, ~held_out(F.col("doc_id")))
-    out = scored(docs.select("doc_id", "text"), model)
+    out = scored(docs.select("doc_id", "text"), model).select("own.doc_id", "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
