@@ -11,6 +11,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +23,41 @@ RANKED = 4096
 
 
 @cache
-def _known(path: str) -> Memory:
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _known(path: str) -> Memory:
+    t = _tokenizer(path)
     return Memory(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)])
 
 
+def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices [i, j) of texts: their ids, one text after the other, and where each begins and the last ends.
+
+    A text with the string of an added token goes through the library as a whole, which makes it that token's id.
+    """
+    added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    special = np.zeros(len(texts), bool)
+    for t in added:
+        special |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+    for i, j, tokens, counts in pretokens(texts):
+        flat, upto = gathered(_known(path).of(tokens.dictionary.to_pylist()), tokens.indices.to_numpy(), counts)
+        if special[i:j].any():
+            each = np.split(flat, upto[1:-1])
+            for k in np.flatnonzero(special[i:j]):
+                each[k] = np.array(_tokenizer(path).encode(texts[i + int(k)].as_py(), add_special_tokens=False).ids, "<u4")
+            flat, upto = np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+        yield i, j, flat, upto
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, tokens, counts in pretokens(b.column(1)):
-            flat, upto = gathered(_known(path).of(tokens.dictionary.to_pylist()), tokens.indices.to_numpy(), counts)
+        for i, j, flat, upto in _encoded(b.column(1), path):
             flat = np.insert(flat, upto[1:], end)
             upto = upto + np.arange(len(upto))
             total = np.diff(upto)
@@ -52,7 +75,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, w
 
 
 def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """Each text's ids under the tokenizer file at path, then the id end, cut every size ids; one row per piece."""
+    """Each text's ids under the tokenizer file at path, then the id end, cut every size ids; one row per piece.
+
+    No special tokens are added; where a text holds the string of one, the library's default makes it that token.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return rows.mapInArrow(partial(_pieces, path=path, size=size, end=end, with_ids=with_ids), schema)

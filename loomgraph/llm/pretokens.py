@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Bytes of text that are split at once; a longer text stands alone.
@@ -17,13 +17,17 @@ REMEMBERED = 400_000
 
 
 @cache
-def _classes() -> np.ndarray:
-    """The class of each code point, as the pattern's \\p{L}, \\p{N} and \\s have it."""
+def classes() -> np.ndarray:
+    """The class of each code point, as the tokenizers' \\p{L}, \\p{N} and \\s have it: their Unicode tables aren't Python's.
+
+    An encoding whose only pattern is the class, and whose only ids are the bytes, gives back what is of that class.
+    """
     out = np.zeros(0x110000, np.uint8)
-    points = "".join(map(chr, range(0x110000)))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")):
-        for m in regex.finditer(pattern, points):
-            out[m.start() : m.end()] = kind
+    points = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    single = {bytes([i]): i for i in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found = bytes(tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(points))
+        out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -34,7 +38,7 @@ def _starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     the last character stands alone or joins; an apostrophe with s, t, m, d, re, ve or ll is a token
     if no blank and no other sign precede it.
     """
-    kind = _classes()[points]
+    kind = classes()[points]
     before = np.r_[np.uint8(9), kind[:-1]]
     before[first] = 9
     space, gap = kind == SPACE, before == SPACE
