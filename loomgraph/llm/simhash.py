@@ -190,13 +190,16 @@ def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for documents (doc_id, text): groups linked within RADIUS bits.
 
     Rows with one doc_id more than once each get a row. Null, empty and word-free texts have
-    fingerprint 0 and link like any other. Other columns are ignored. No rows: no rows.
+    fingerprint 0 and link like any other. A null doc_id links too; a group without any doc_id has a
+    null component_id. Other columns are ignored. No rows: no rows.
     """
     fps = written(fingerprints(docs, words), "simhash")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-reps")
-    groups = connected_components(near_links(reps, ["fp"]))
-    named = reps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # A node is a fingerprint: equal ones are one node, with or without doc_ids.
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps")
+    groups = connected_components(near_links(reps.select("fp", F.col("fp").alias("node")), ["fp"]))
+    named = reps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(firsts, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: For groups of near copies: each byte of a print or check is of the least hash of the shingles by a function of its own.
@@ -362,6 +365,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
 def without_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: of the least doc_id, null last."""
-    rows = numbered(docs)
-    kept = copy_groups(rows.select("row", F.col("doc_id").cast("long"), "text"), words, similarity).where("row = first.row").select("row")
-    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*docs.columns)
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    rows = numbered(docs, name)
+    found = copy_groups(rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long"), "text"), words, similarity)
+    kept = found.where("row = first.row").select(F.col("row").alias(name))
+    return rows.join(kept.hint("shuffle_hash"), name, "left_semi").select(*docs.columns)
