@@ -81,16 +81,22 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") ->
 
 
 def described(data: bytes) -> dict:
-    """Codec, timescale, duration, sample ranges and keyframes of the first track; payloads aren't read."""
+    """Codec, timescale, duration, sample ranges and keyframes of the first track; payloads aren't read.
+
+    Raises where the boxes contradict each other or point outside the file. Fragmented files hold no sample tables and so raise too.
+    """
     boxes = {}
     for name, i, j in walk(data):
         boxes.setdefault(name, (i, j))
     table = "/moov/trak/mdia/minf/stbl/"
     ints = lambda name, skip=4: struct.unpack_from(f">{(boxes[name][1] - boxes[name][0] - skip) // 4}I", data, boxes[name][0] + skip)
     codec = data[boxes[table + "stsd"][0] + 12 : boxes[table + "stsd"][0] + 16].decode("latin-1")
-    scale = ints("/moov/trak/mdia/mdhd")[2]
+    i, _ = boxes["/moov/trak/mdia/mdhd"]
+    (scale,) = struct.unpack_from(">I", data, i + (20 if data[i] == 1 else 12))  # version 1 has 64-bit times before it
     fixed, n, *sizes = ints(table + "stsz")
-    sizes = [fixed] * n if fixed else sizes
+    if n * fixed > len(data) or (not fixed and len(sizes) < n):
+        raise ValueError("more samples than the file holds")
+    sizes = [fixed] * n if fixed else sizes[:n]
     if table + "co64" in boxes:
         i, _ = boxes[table + "co64"]
         offsets = struct.unpack_from(f">{struct.unpack_from('>I', data, i + 4)[0]}Q", data, i + 8)
@@ -102,10 +108,12 @@ def described(data: bytes) -> dict:
     for r, per in enumerate(runs[1::3]):
         for chunk in range(firsts[r], firsts[r + 1]):
             at = offsets[chunk - 1]
-            for _ in range(per):
-                samples.append((at, sizes[k]))
-                at += sizes[k]
-                k += 1
+            for size in sizes[k : k + per]:
+                samples.append((at, size))
+                at += size
+            k += per
+            if k > n or at > len(data):
+                raise ValueError("samples outside the file")
     times = ints(table + "stts")[1:]
     duration = sum(a * b for a, b in zip(times[::2], times[1::2]))
     keys = ints(table + "stss")[1:] if table + "stss" in boxes else range(1, n + 1)
@@ -159,7 +167,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 d = described(raw or b"")
                 rows.append((d["codec"].strip(), d["duration"] / d["timescale"], len(d["samples"]), [{"offset": i, "size": n} for i, n in d["keyframes"]]))
-            except (KeyError, struct.error, IndexError, ZeroDivisionError):
+            except (KeyError, struct.error, IndexError, ValueError, ZeroDivisionError):
                 rows.append((None, None, None, None))
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.float64(), pa.int64(), kind]))], ["id", "codec", "seconds", "samples", "keyframes"])
