@@ -66,6 +66,13 @@ def codes(x: np.ndarray, seed: int = 17) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of x at length 1, in double precision; scaled first, so that no square overflows or vanishes."""
+    x = x.astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _hashed(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     """Rows (label, rep, mult, vector): one row per bucket, with the vector and all its codes."""
     for b in batches:
@@ -75,7 +82,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.Record
             at = np.flatnonzero(size == n)
             some = vector.take(pa.array(at))
             x = some.flatten().to_numpy().astype(dtype).reshape(len(at), n)
-            code = codes(x / np.linalg.norm(x.astype(float), axis=1, keepdims=True))
+            code = codes(_unit(x))
             raw = [r.tobytes() for r in x]
             packed = [c.tobytes() for c in code]
             each = np.repeat(np.arange(len(at)), TABLES * (1 + PROBES))
@@ -123,8 +130,7 @@ def _linked(batches: Iterator[pa.RecordBatch], dtype: str, cosine: float) -> Ite
                 count.extend((mult[b], mult[a]))
 
         def unit(rows: list[bytes]) -> np.ndarray:
-            x = np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1).astype(float)
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
+            return _unit(np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1))
 
         few = sizes[group] <= SMALL if len(group) else np.zeros(0, bool)
         dims = np.unique(key[:, 0]) if len(key) else []
