@@ -82,7 +82,7 @@ SQL: dict[str, str] = {
         ), keys as (
             select page_id, lower(h) as host, regexp_extract(substr(r, length(h) + 1), '^([^?#]*)', 1) as path, coalesce(url like '{FEED}', false) as on_list from parts
         ), listed as (
-            select host || path as key, max(case when on_list then 1 else 0 end) as listed from keys group by 1
+            select host || path as key, max(case when on_list and host || path <> '' then 1 else 0 end) as listed from keys group by 1
         ), ruled as (
             select page_id, host, path, listed,
                 case when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'

@@ -110,13 +110,14 @@ def judged(pages: DataFrame, listed: Column, rules: tuple = RULES) -> DataFrame:
 
     Where no rule fits, a page is blocked if its key, host and path, is on the list: listed marks rows
     of pages whose key is on it. The complete universe of keys are those of pages, so the cascade is
-    exact. Null urls and urls without :// have empty host and path; repeated rows stay; other columns
-    are ignored; an empty list blocks nothing.
+    exact. Null urls and urls without :// have empty host and path; an empty key is no key: it is on no
+    list, so they are allowed. Repeated rows stay; other columns are ignored; an empty list blocks nothing.
     """
     host, path = host_path(F.col("url"))
     rows = pages.withColumn("on_list", F.coalesce(listed, F.lit(False))).select("page_id", host.alias("host"), path.alias("path"), "on_list")
     rows = rows.withColumn("key", F.concat("host", "path"))
-    keys = written(rows.groupBy("key").agg(F.max("on_list").alias("listed")), "universe")
+    named = F.col("on_list") & (F.col("key") != "")
+    keys = written(rows.groupBy("key").agg(F.max(named).alias("listed")), "universe")
     filters, levels = cascade(keys)
     shards = filters.count()
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
