@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +12,21 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import written
+from loomgraph.scratch import written
 
 #: Bytes of a string that counts as repeated.
 MATCH = 100
-#: Leading bytes by which suffixes are ordered, a multiple of 8.
+#: Leading bytes by which suffixes are ordered, three words of 8.
 LEAD = 24
 #: Suffix starts among which each string of MATCH bytes picks one.
 SPAN = MATCH - LEAD + 1
-#: Suffixes with one lead that a task compares together; beyond it they are dealt out string by string.
+#: Suffixes of a bucket, about: a task sorts one bucket in memory.
+BUCKET = 1_000_000
+#: Classes with one lead that a task compares together; beyond it their strings are sorted as suffixes of their own.
 GROUP = 20_000
-#: Suffixes that a task compares at once, unless one group has more.
+#: Heads that a task compares at once, unless one group has more.
 CHUNK = 16_384
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -45,8 +47,8 @@ def _hash(words: np.ndarray, at: list[int], size: int) -> np.ndarray:
     return h
 
 
-def suffix_starts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: the chosen suffix starts, their lead hashes, and the first and last string start each stands for.
+def suffix_starts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: the chosen suffix starts, and the first and last string start each stands for.
 
     Every string of MATCH bytes chooses the leftmost start in it whose lead has the least hash. Equal
     strings so choose alike, wherever they stand, and the strings of one start are consecutive.
@@ -54,7 +56,7 @@ def suffix_starts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     n = len(text)
     if n < MATCH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     lead = _hash(_words(np.frombuffer(text, np.uint8)), list(range(0, LEAD, 8)), n - LEAD + 1)
     least = (lead >> np.uint64(32)).astype(np.uint32)
     where = np.arange(len(least), dtype=np.int32)
@@ -67,22 +69,65 @@ def suffix_starts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         have += step
     new = np.r_[True, where[1:] != where[:-1]]
     first = np.flatnonzero(new)
-    start = where[first].astype(np.int64)
-    return start, lead[start].view(np.int64), first, np.r_[first[1:], len(where)] - 1
+    return where[first].astype(np.int64), first, np.r_[first[1:], len(where)] - 1
+
+
+#: A suffix: its leading bytes as three words in their order, a hash of all bytes that its strings cover, and its text and place.
+SUFFIX = ["l0", "l1", "l2", "around", "doc_id", "place"]
+SUFFIXES = ", ".join(f"{c} long" for c in SUFFIX)
+
+
+def _leads(raw: bytes, start: np.ndarray) -> list[np.ndarray]:
+    """The LEAD bytes from each start on, as words that compare as the bytes do."""
+    words = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))
+    return [(words[start + o].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) for o in range(0, LEAD, 8)]
+
+
+def _place(start: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Start, and how far before it the first and the last string start lie, in one number."""
+    return (start << 16) | ((start - first) << 8) | (start - last)
+
+
+def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = place >> 16
+    return start - ((place >> 8) & 255), start - (place & 255)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        out = [[] for _ in range(6)]
+        out = [[np.zeros(0, np.int64)] for _ in SUFFIX]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            start, lead, first, last = suffix_starts(raw)
+            start, first, last = suffix_starts(raw)
+            if not len(start):
+                continue
             around = [digest(raw[i : j + MATCH], s - i) for s, i, j in zip(start.tolist(), first.tolist(), last.tolist())]
-            for column, x in zip(out, (lead, np.array(around, np.uint64).view(np.int64), np.full(len(start), doc), start, first, last)):
+            for column, x in zip(out, (*_leads(raw, start), np.array(around, np.uint64).view(np.int64), np.full(len(start), doc), _place(start, first, last))):
                 column.append(x)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)], ["lead", "around", "doc_id", "start", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], SUFFIX)
+
+
+def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by the first key, then by the next: a multikey quicksort over words.
+
+    All rows are sorted by one word; only runs of equal words go on to the next one, all runs together.
+    """
+    order = np.argsort(keys[0])
+    value = keys[0][order]
+    fresh = np.r_[True, value[1:] != value[:-1]][: len(order)]
+    for key in keys[1:]:
+        tied = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+        if not len(tied):
+            break
+        run = np.cumsum(fresh)[tied]
+        rows = order[tied]
+        by = np.lexsort((key[rows], run))
+        rows = rows[by]
+        order[tied] = rows
+        value = key[rows]
+        fresh[tied] |= np.r_[True, value[1:] != value[:-1]]
+    return order
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
@@ -104,57 +149,76 @@ def _streamed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-REPEAT, HEAD, BORDER, END = range(4)
+#: What a row of a sorted bucket is: a repeat, the head of a class, one at the bucket's edge, its first row, its last row.
+REPEAT, HEAD, EDGE, BORDER, END = range(5)
+CLASSES = f"kind int, part int, n long, {SUFFIXES}"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes: which repeat an earlier one with all around it, and which head a class that shares its lead with others.
+    """Of a bucket of suffixes: which repeat an earlier one with all around it, and the heads of classes that share a lead with others.
 
-    What depends on the neighbouring partitions is marked: the first row, and the last row's key.
-    Heads that share a lead with a border are kept, as other classes may lie beyond it.
+    n is how many classes of the bucket have the row's lead. What depends on the neighbouring buckets is
+    marked: the first row, the last row's key, and the heads of the first and the last lead.
     """
     part = TaskContext.get().partitionId()
-    names = ["kind", "part", "lead", "around", "doc_id", "start", "first", "last"]
-    begun, last = False, None
-
-    def told(t: pa.Table, at: np.ndarray, kind: int) -> pa.RecordBatch:
-        t = t.take(pa.array(at))
-        n = len(at)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), *(c.combine_chunks() for c in t.columns)], names)
-
-    held = None
-    for t in _streamed(batches, CHUNK):
-        lead, around = t.column(0).to_numpy(), t.column(1).to_numpy()
-        fresh = np.r_[True, lead[1:] != lead[:-1]]
-        head = fresh | np.r_[True, around[1:] != around[:-1]]
-        group = np.cumsum(fresh) - 1
-        classes = np.bincount(group[head])
-        several = classes[group] > 1
-        edge = np.zeros(len(lead), bool)
-        if not begun:
-            edge |= group == 0
-        if held is not None:
-            yield held
-        yield told(t, np.flatnonzero(~head), REPEAT)
-        inner = (several | edge) & head
-        if not begun:
-            inner[0] = False
-            yield told(t, np.array([0]), BORDER)
-        ends = head & (group == group[-1]) & ~inner
-        if not begun:
-            ends[0] = False
-        yield told(t, np.flatnonzero(inner), HEAD)
-        # heads of the last lead matter only if the partition ends here; _streamed cuts between leads
-        held = None
-        last = (t, np.flatnonzero(ends))
-        begun = True
-    if last is not None:
-        t, at = last
-        yield told(t, at, HEAD)
-        yield told(t, np.array([t.num_rows - 1]), END)
-
-
-CLASSES = "kind int, part int, lead long, around long, doc_id long, start int, first int, last int"
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    columns = [c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns]
+    held.clear()
+    order = multikey_order(columns)
+    columns = [c[order] for c in columns]
+    differs = lambda some: np.r_[True, np.any([c[1:] != c[:-1] for c in some], 0)]
+    fresh = differs(columns[:3])
+    head = fresh | differs(columns[3:4])
+    group = np.cumsum(fresh) - 1
+    classes = np.bincount(group[head])[group]
+    edge = (group == 0) | (group == group[-1])
+    border = np.arange(len(head)) == 0
+
+    def told(at: np.ndarray, kind: int) -> pa.RecordBatch:
+        own = [np.full(len(at), kind, np.int32), np.full(len(at), part, np.int32), classes[at], *(c[at] for c in columns)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["kind", "part", "n", *SUFFIX])
+
+    for kind, rows in ((REPEAT, ~head), (HEAD, head & ~edge & (classes > 1)), (EDGE, head & edge & ~border), (BORDER, border)):
+        at = np.flatnonzero(rows)
+        for i in range(0, len(at), 1 << 16):
+            yield told(at[i : i + (1 << 16)], kind)
+    yield told(np.array([len(head) - 1]), END)
+
+
+def _sorted_classes(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a written table of suffixes: those that repeat others whole (doc_id, place), and the heads (lead, n, doc_id, place) of leads with several classes.
+
+    Spark samples the splitters and range-partitions the suffixes by their leading bytes, then by what
+    decides ties, so that a lead, or a class, of any size spreads over buckets.
+    """
+    spark = suffixes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
+    classes = written(suffixes.repartitionByRange(parts, *SUFFIX).mapInArrow(_classes, CLASSES), "classes")
+    # Two rows per bucket: its last row and its first one, which repeats the last of the bucket before if their keys are equal.
+    key = SUFFIX[:4]
+    ends = {r["part"]: r for r in classes.where(F.col("kind") == END).collect()}
+    firsts = {r["part"]: r for r in classes.where(F.col("kind") == BORDER).collect()}
+    same, before = [], None
+    for p in sorted(ends):
+        if before is not None and all(ends[before][c] == firsts[p][c] for c in key):
+            same.append(p)
+        before = p
+    # The leads at the buckets' edges, two a bucket: how many classes they have in all buckets.
+    total: dict[tuple, int] = {}
+    for p in ends:
+        for lead, n in {tuple(r[c] for c in key[:3]): r["n"] for r in (firsts[p], ends[p])}.items():
+            total[lead] = total.get(lead, 0) + n
+    joins = F.col("part").isin(same) if same else F.lit(False)
+    first = F.col("kind") == BORDER
+    whole = classes.where((F.col("kind") == REPEAT) | (first & joins)).select("doc_id", "place")
+    lead = F.xxhash64(*key[:3]).alias("lead")
+    inner = classes.where(F.col("kind") == HEAD).select(lead, "n", "doc_id", "place")
+    several = [(*lead, n) for lead, n in total.items() if n > 1]
+    edges = spark.createDataFrame(several, "l0 long, l1 long, l2 long, total long")
+    outer = classes.where((F.col("kind") == EDGE) | (first & ~joins)).join(F.broadcast(edges), key[:3]).select(lead, F.col("total").alias("n"), "doc_id", "place")
+    return whole, inner.unionByName(outer)
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +228,34 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), *b.columns[2:]], ["doc_id", "packed", *b.schema.names[2:]])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, packed, heads): the bytes that each head's strings cover, under its lead; one row per string where the lead is hot."""
+def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, packed, heads): the bytes that each head's strings cover, under its lead."""
     expand = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out = [[], [], [], []]
         for doc, packed, heads in zip(*(c.to_pylist() for c in b.columns)):
             raw = expand(packed)
             for h in heads:
-                i, j = h["first"], h["last"]
-                if h["hot"]:
-                    rows = [(xxhash.xxh64_intdigest(raw[k : k + MATCH], 7), k, raw[k : k + MATCH]) for k in range(i, j + 1)]
-                else:
-                    rows = [(h["lead"] & 0xFFFFFFFFFFFFFFFF, i, raw[i : j + MATCH])]
-                for key, first, cover in rows:
-                    for column, x in zip(out, (key, doc, first, cover)):
-                        column.append(x)
-        key = pa.array(np.array(out[0], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([key, pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["key", "doc_id", "first", "cover"])
+                start = h["place"] >> 16
+                i, j = start - ((h["place"] >> 8) & 255), start - (h["place"] & 255)
+                for column, x in zip(out, (h["lead"], doc, i, raw[i : j + MATCH])):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["key", "doc_id", "first", "cover"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, packed, heads): each string that the heads stand for as a suffix of its own, alone with its bytes."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for doc, packed, heads in zip(*(c.to_pylist() for c in b.columns)):
+            raw = expand(packed)
+            place = np.array([h["place"] for h in heads], np.int64)
+            first, last = _span(place)
+            count = last - first + 1
+            start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            around = np.array([xxhash.xxh64_intdigest(raw[i : i + MATCH]) for i in start.tolist()], np.uint64).view(np.int64)
+            columns = [*_leads(raw, start), around, np.full(len(start), doc), _place(start, start, start)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SUFFIX)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +269,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(c.ljust(most, b"\0") for c in covers), np.uint8).reshape(len(covers), most)
         hashes = _hash(_words(data), at, SPAN)
         row, column = np.nonzero(np.arange(SPAN) <= (size - MATCH)[:, None])
-        h, begin = hashes[row, column], first[row] + column
-        order = np.lexsort((begin, doc[row], h))
-        row, column, h, begin = row[order], column[order], h[order], begin[order]
-        fresh = np.r_[True, h[1:] != h[:-1]]
-        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        found = np.flatnonzero(~fresh)
-        for i in range(0, len(found), 1 << 16):
-            part = found[i : i + (1 << 16)]
-            take = np.arange(MATCH)
-            same = (data[row[part][:, None], column[part][:, None] + take] == data[row[head[part]][:, None], column[head[part]][:, None] + take]).all(1)
-            if not same.all():
-                raise ArithmeticError("two different strings share a hash; change MIX and run again")
-        d, s = doc[row[found]], begin[found]
+        begin = first[row] + column
+        repeat = _later(data, row, column, hashes[row, column], doc[row], begin)
+        if repeat is None:  # two different strings share a hash: number the strings by their bytes
+            number: dict[bytes, int] = {}
+            ids = [number.setdefault(covers[r][c : c + MATCH], len(number)) for r, c in zip(row.tolist(), column.tolist())]
+            repeat = _later(data, row, column, np.array(ids), doc[row], begin)
+        d, s = doc[row[repeat]], begin[repeat]
         order = np.lexsort((s, d))
         d, s = d[order], s[order]
         run = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)][: len(d)])
@@ -215,42 +283,50 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d[run]), pa.array(s[run], pa.int32()), pa.array(s[stop], pa.int32())], ["doc_id", "first", "last"])
 
 
+def _later(data: np.ndarray, row: np.ndarray, column: np.ndarray, h: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray | None:
+    """Which strings (row, column of data, their hashes, texts and starts) an earlier one equals; None if hashes are equal where bytes aren't."""
+    order = np.lexsort((begin, doc, h))
+    fresh = np.r_[True, h[order][1:] != h[order][:-1]][: len(order)]
+    head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+    found, head = order[~fresh], head[~fresh]
+    take = np.arange(MATCH)
+    for i in range(0, len(found), 1 << 16):
+        a, b = found[i : i + (1 << 16)], head[i : i + (1 << 16)]
+        if not (data[row[a][:, None], column[a][:, None] + take] == data[row[b][:, None], column[b][:, None] + take]).all():
+            return None
+    return found
+
+
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The repeated strings' starts, (doc_id, first, last), and the compressed texts, (doc_id, packed, own), of (doc_id, text, own).
 
     doc_id must be unique; own, whatever it is, goes with the text.
 
-    Suffixes at the chosen starts are range-partitioned by their leading bytes (Spark samples the
-    splitters) and sorted within the partitions, ties by what surrounds them, then by document and
-    place; neighbours are compared, also across partition boundaries. Most repeats show there, as
-    whole classes, whatever their size. Only heads of classes that share a lead without sharing all
-    around it are compared string by string.
+    Suffixes at the chosen starts are range-partitioned by their leading bytes, sorted within the buckets
+    by a multikey quicksort, ties by what surrounds them, then by document and place; neighbours are
+    compared, also across buckets. Most repeats show there, as whole classes, whatever their size. Only
+    heads of classes that share a lead without sharing all around it are compared string by string; where
+    more than GROUP classes share a lead, their strings are sorted as suffixes of their own. What is alike
+    around a suffix is told by its leading bytes and a 64-bit hash of the rest.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     # Written, as Spark reads the rows twice: once to sample the splitters.
-    suffixes = written(rows.mapInArrow(_suffixes, "lead long, around long, doc_id long, start int, first int, last int"), "suffixes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["lead", "around", "doc_id", "start"]
-    classes = written(suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_classes, CLASSES), "classes")
-    # One row per partition and kind: the boundaries.
-    ends = {r["part"]: r for r in classes.where(F.col("kind") == END).collect()}
-    same = []
-    for r in classes.where(F.col("kind") == BORDER).collect():
-        before = max((p for p in ends if p < r["part"]), default=None)
-        if before is not None and (ends[before]["lead"], ends[before]["around"]) == (r["lead"], r["around"]):
-            same.append(r["part"])
-    joins = F.col("part").isin(same) if same else F.lit(False)
-    border = F.col("kind") == BORDER
-    whole = classes.where((F.col("kind") == REPEAT) | (border & joins)).select("doc_id", "first", "last")
-    heads = classes.where((F.col("kind") == HEAD) | (border & ~joins))
-    hot = heads.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    asked = heads.join(hot, "lead").select("doc_id", F.struct("lead", "first", "last", (F.col("n") > GROUP).alias("hot")).alias("h"))
-    packed = docs.mapInArrow(_squeezed, f"doc_id long, packed binary, own {docs.schema['own'].dataType.simpleString()}")
-    by_doc = asked.groupBy("doc_id").agg(F.collect_list("h").alias("heads"))
-    strings = packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "heads").mapInArrow(_strings, "key long, doc_id long, first int, cover binary")
-    single = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "doc_id long, first int, last int")
-    return whole.unionByName(written(single, "strings")), packed
+    whole, heads = _sorted_classes(written(rows.mapInArrow(_suffixes, SUFFIXES), "suffixes"))
+    packed = docs.mapInArrow(_squeezed, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType()), docs.schema["own"]]))
+
+    def asked(some: DataFrame) -> DataFrame:
+        by_doc = some.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "place")).alias("heads"))
+        return packed.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "heads")
+
+    covers = asked(heads.where(F.col("n") <= GROUP)).mapInArrow(_covers, "key long, doc_id long, first int, cover binary")
+    single = written(covers.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "doc_id long, first int, last int"), "strings")
+    hot = heads.where(F.col("n") > GROUP)
+    if not hot.isEmpty():
+        alone, _ = _sorted_classes(written(asked(hot).mapInArrow(_strings, SUFFIXES), "hot-strings"))
+        whole = whole.unionByName(alone)
+    start = F.shiftright("place", 16)
+    first, last = (start - F.shiftright("place", k).bitwiseAND(F.lit(255)) for k in (8, 0))
+    return whole.select("doc_id", first.cast("int").alias("first"), last.cast("int").alias("last")).unionByName(single), packed
 
 
 def _runs(spans: pa.ListArray, sizes: list[int]) -> list[list[tuple[int, int]]]:
@@ -335,5 +411,5 @@ def removed(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with text without the removed bytes; a character that is only partly in a removed run stays."""
     rows = _with_spans(docs)
-    out = rows.select("own", "packed", "spans").mapInArrow(_texts, f"own {rows.schema['own'].dataType.simpleString()}, text string")
+    out = rows.select("own", "packed", "spans").mapInArrow(_texts, T.StructType([rows.schema["own"], T.StructField("text", T.StringType())]))
     return out.select("own.*", "text").select(*docs.columns)
