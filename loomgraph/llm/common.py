@@ -13,6 +13,15 @@ def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own), written: rows under numbers of their own in the order of doc_id, null last; own holds what else they have, doc_id too."""
+    other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
+    rows = docs.select(other.alias("own"), "text")
+    rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return written(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "own"), "rows")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import in_order
 from loomgraph.scratch import written
 
 #: Bytes of a string that counts as repeated.
@@ -387,11 +388,7 @@ def _char(raw: bytes, at: int, step: int) -> int:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, packed, spans, own): rows by numbers of their own in the order of doc_id, null last, and what else they hold as own."""
-    other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", "text")))
-    order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
-    rows = docs.select(other.alias("own"), "text")
-    rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    found, packed = repeats(written(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "own"), "rows"))
+    found, packed = repeats(in_order(docs))
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return packed.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "spans", "own")
 
