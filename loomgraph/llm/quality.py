@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,9 @@ class Model:
     weights: tuple[float, ...] = ()
 
 
+@lru_cache(maxsize=1)
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
+    """One for the bad and one for the good dictionary; a Python worker keeps them from task to task."""
     out = []
     for raw in (model.bad, model.good):
         known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
