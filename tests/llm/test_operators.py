@@ -145,6 +145,28 @@ def brute_removed(rows):
     return out
 
 
+def test_multikey_order(spark):
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 3000):
+        keys = [r.integers(0, 4, n), r.integers(0, 3, n), r.integers(-5, 5, n), r.permutation(n)]
+        assert suffixes.multikey_order(keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    raw = bytes(r.integers(0, 256, 300, dtype=np.uint8))
+    start = np.arange(270)
+    assert suffixes.multikey_order(suffixes._leads(raw, start)).tolist() == sorted(start.tolist(), key=lambda i: raw[i : i + 24])
+
+
+def test_suffixes_around_one_passage(spark, monkeypatch):
+    """One passage in many surroundings: its lead has as many classes as there are texts."""
+    monkeypatch.setattr(suffixes, "GROUP", 50)
+    monkeypatch.setattr(suffixes, "BUCKET", 40)
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = some(120)
+    rows = [(i, some(r.randint(0, 40)) + passage + some(r.randint(0, 40))) for i in range(400)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_removed(rows)
+
+
 @pytest.mark.parametrize("group", [20_000, 2])
 def test_suffixes_against_all_strings(spark, odd, none, group, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP", group)  # with 2, shared leads are hot
@@ -171,6 +193,84 @@ def test_passages_find_copied_text(spark, odd, none):
     assert passages.near_passages(none).count() == 0
 
 
+def all_passage_pairs(texts):
+    """Pairs of texts that hold stretches of LEAST words or more, of which every sliding window of LEAST words repeats or nearly does."""
+    need = passages.SHORTEST
+    sets = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in texts]
+    where = {}
+    for d, own in enumerate(sets):
+        for i, s in enumerate(own):
+            where.setdefault(s, []).append((d, i))
+    out = set()
+    for d, own in enumerate(sets):
+        shifts = {}
+        for i, s in enumerate(own):
+            for o, j in where[s]:
+                if o < d:
+                    shifts.setdefault((o, j - i), []).append(i)
+        for (o, k), at in shifts.items():
+            for i in at:
+                inside = sum(i <= x < i + need for x in at)
+                if inside / (2 * need - inside) >= 0.8 and i + need <= len(own):
+                    out.add((d, o))
+                    break
+    return out
+
+
+def test_passages_share_their_first_words_with_a_third_text(spark):
+    """B and C share 60 words; 45 of them also stand in an earlier A, which is too few for a passage."""
+    r = random.Random(8)
+    word = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(60):
+        shared = word(60)
+        at = r.randrange(16)
+        for j, part in enumerate((shared[at : at + 45], shared, shared)):
+            rows.append((3 * k + j, " ".join(word(80) + part + word(80))))
+        want.add((3 * k + 2, 3 * k + 1))
+    found = {(x.doc_id, x.source_doc_id) for x in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found <= want and len(found) >= 0.95 * len(want)
+
+
+def test_passages_recall_against_all_pairs(spark):
+    """Passages of 50 to 120 words, some edited, in texts that also share lines and beginnings of passages."""
+    r = random.Random(9)
+    word = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    lines, shared = [word(12) for _ in range(5)], [word(r.randint(50, 120)) for _ in range(25)]
+    texts = []
+    for _ in range(150):
+        t = word(40)
+        for _ in range(r.randrange(4)):
+            p = list(r.choice(shared))
+            kind = r.random()
+            if kind < 0.3:
+                p = p[: r.randint(20, len(p))]
+            elif kind < 0.6:
+                p[r.randrange(len(p))] = "edited"
+            t += p + r.choice(lines) + word(30)
+        texts.append(t)
+    want = all_passage_pairs(texts)
+    rows = passages.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    comp = {i: i for i in range(len(texts))}
+    # A link between two texts isn't lost if they share its passage with a representative: each text's places are linked one by one.
+    for _ in range(8):
+        for x in rows:
+            comp[x.doc_id] = comp[x.source_doc_id] = min(comp[x.doc_id], comp[x.source_doc_id])
+    assert len(want) > 300 and sum(comp[a] == comp[b] for a, b in want) >= 0.98 * len(want)
+    direct = {(x.doc_id, x.source_doc_id) for x in rows}
+    held = {d for d, _ in direct} | {o for _, o in direct}
+    assert len({d for pair in want for d in pair} - held) <= 0.02 * len(held)
+    near = {frozenset(p) for p in want}
+    assert sum(frozenset((x.doc_id, x.source_doc_id)) in near for x in rows) >= 0.9 * len(rows)
+
+
+def test_passages_of_repeated_and_null_ids(spark):
+    a = prose(200, 41)
+    rows = [(3, a), (3, a), (None, a), (4, prose(200, 42)), (5, None), (6, "")]
+    got = passages.near_passages(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, own string").repartition(2)).collect()
+    assert {frozenset((x.doc_id, x.source_doc_id)) for x in got} <= {frozenset((3,)), frozenset((3, None))} and len(got) >= 2
+
+
 def test_compact_windows_against_definition():
     r = np.random.default_rng(5)
     value = r.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)
