@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import context, graph, impact, locate, search, traverse
-from loomgraph.plans import build, snapshot
+from loomgraph import scratch
+from loomgraph.operators import context, graph, history, impact, locate, search, traverse
+from loomgraph.plans import snapshot, sync
 from loomgraph.sources import gitlog, tree
 
 
@@ -18,32 +19,52 @@ def _resolved(nodes: DataFrame, name: str) -> DataFrame:
     return locate.resolve(nodes, asked).where("position = 1").select("id")
 
 
-def index(spark: SparkSession, root: str, store: str) -> str:
-    try:
-        with open(f"{root}/.gitignore", encoding="utf-8") as f:
-            rules = tree.ignore_rules(f.read())
-    except OSError:
-        rules = []
-    log = tempfile.NamedTemporaryFile(suffix=".log", delete=False)  # noqa: SIM115
-    commits = gitlog.read_log(spark, f"file://{log.name}") if gitlog.export_log(root, log.name) else None
-    files = tree.scan(spark, root, rules)
-    g = build.build(files, commits=commits)
-    state = files.select(F.lit(1).cast("long").alias("repo_id"), "path", "hash", "size", "mtime")
-    return snapshot.publish(spark, store, {"nodes": g.nodes, "edges": g.edges, "pending_refs": g.pending, "files_state": state}, {"head": gitlog.head(root)})
+def _commits(spark: SparkSession, root: str, most: int) -> DataFrame | None:
+    """The log of a local repository, read on the driver, as git runs there."""
+    with tempfile.TemporaryDirectory(prefix="loomgraph-") as folder:
+        if not gitlog.export_log(root, f"{folder}/log", most):
+            return None
+        with open(f"{folder}/log", encoding="utf-8", errors="replace") as f:
+            records = [(r,) for r in f.read().split("\x1e") if r]
+    return scratch.written(history.parse_log(spark.createDataFrame(records, "value string")), "log")
+
+
+def index(spark: SparkSession, root: str, store: str, most: int = 2000) -> str:
+    files = tree.scan(spark, root, tree.ignore_file(root))
+    return sync.full(spark, store, files, _commits(spark, root, most), manifest={"head": gitlog.head(root)})
+
+
+def update(spark: SparkSession, root: str, store: str, most: int = 2000, force: bool = False) -> sync.Report:
+    """Syncs the store with the tree; the log is read again only if HEAD moved."""
+    now, head = snapshot.current(spark, store) or {}, gitlog.head(root)
+    commits = _commits(spark, root, most) if head != now.get("head") else None
+    return sync.sync(spark, root, store, tree.ignore_file(root), commits, force, {"head": head})
+
+
+def _names(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.join(nodes.select("id", "kind", "name", "file_path", "start_line"), "id")
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph")
-    p.add_argument("command", choices=["index", "search", "callers", "callees", "impact", "explore", "context", "resolve", "stats", "export"])
+    p.add_argument("command", choices=["index", "sync", "search", "callers", "callees", "impact", "explore", "context", "resolve", "stats", "export"])
     p.add_argument("what", nargs="*")
     p.add_argument("--store", default=".loomgraph")
     p.add_argument("--depth", type=int, default=2)
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--budget", type=int, default=6000)
+    p.add_argument("--commits", type=int, default=2000, help="how many commits of the log are read")
+    p.add_argument("--force", action="store_true", help="sync: take every file as changed")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     if a.command == "index":
-        print(index(spark, a.what[0], a.store))
+        print(index(spark, a.what[0], a.store, a.commits))
+        return
+    if a.command == "sync":
+        out = update(spark, a.what[0], a.store, a.commits, a.force)
+        print(out.counts)
+        if out.findings is not None:
+            out.findings.show(100, False)
         return
     nodes, edges = snapshot.table(spark, a.store, "nodes"), snapshot.table(spark, a.store, "edges")
     if a.command == "search":
@@ -57,7 +78,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "explore":
         ends = [_resolved(nodes, w).first() for w in a.what]
         pairs = [(i, x["id"], y["id"]) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x and y]
-        traverse.shortest_paths(edges, spark.createDataFrame(pairs, "pair_id int, a long, b long"), 4, ["calls", "imports", "contains", "references"]).show(a.limit, False)
+        paths = traverse.shortest_paths(edges, spark.createDataFrame(pairs, "pair_id int, a long, b long"), 4, ["calls", "imports", "contains", "references"])
+        steps = paths.select("pair_id", "hops", F.posexplode("path").alias("step", "id"))
+        _names(nodes, steps).orderBy("pair_id", "step").show(a.limit, False)
     elif a.command == "context":
         print(context.context_pack(nodes, edges, " ".join(a.what), a.budget).markdown)
     elif a.command == "resolve":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,15 @@ def search_terms(text: Column | str) -> Column:
     return F.array_distinct(F.concat(F.transform(raw, F.lower), parts))
 
 
+def _folded() -> tuple[str, str]:
+    """Lower-case letters that decompose into one of a-z and a single mark, and those of a-z."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0x80, 0x2000)]
+    pairs = [(c, d) for c, d in pairs if c == c.lower() and len(d) == 2 and "a" <= d[0] <= "z" and unicodedata.combining(d[1])]
+    return "".join(c for c, _ in pairs), "".join(d[0] for _, d in pairs)
+
+
 #: Letters with marks and what search folds them to.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+MARKED, PLAIN = _folded()
 
 
 def index_tokens(text: Column | str) -> Column:
@@ -108,6 +117,7 @@ def commit_scope(subject: Column | str) -> Column:
     return F.regexp_extract(_c(subject), CONVENTIONAL, 2)
 
 
+# Fixed value: a conventional commit's subject.
 CONVENTIONAL = r"^([a-zA-Z][\w-]*)\(([^)]+)\)!?:\s*(.+)$"
 
 

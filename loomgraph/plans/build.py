@@ -1,14 +1,20 @@
-"""Graph tables of a working tree: files to nodes, edges and pending references."""
+"""Graph tables of a working tree: files to nodes, edges and pending references.
+
+What a file says by itself is extracted once and kept in tables; linking joins these tables. Each step is
+a written table, so that no plan derives lines or symbols anew.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph import schema
 from loomgraph.operators import docs as documents
 from loomgraph.operators import history, resolve
+from loomgraph.scratch import written
 from loomgraph.sources import extract, tree
 
 
@@ -19,90 +25,130 @@ class Graph:
     pending: DataFrame
 
 
-def _node_id(*parts: str):
-    return F.xxhash64(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+@dataclass
+class Extracted:
+    """What files say by themselves: tables with a column path."""
 
+    files: DataFrame
+    symbols: DataFrame
+    refs: DataFrame
+    imports: DataFrame
+    docs: DataFrame
 
-def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
-    """Nodes, edges and pending references of files (path, role, language, content).
+    def tables(self) -> dict[str, DataFrame]:
+        return {f"extracted_{f.name}": getattr(self, f.name) for f in fields(self)}
 
-    Ids are hashes of what a node is, so an unchanged file keeps its ids and a full build equals an
-    incremental one. Imports that resolve to no file of the tree stay pending, like references.
-    commits are parsed log records.
-    """
+
+def extracted(files: DataFrame) -> Extracted:
+    """Of files (path, role, language, content, ...)."""
     code = files.where("role = 'code'").select("path", "language", "content")
-    rows = extract.lines(code)
-    found = extract.symbols(rows).withColumn("ordinal", F.row_number().over(Window.partitionBy("path", "qualified_name", "start_line").orderBy("kind")))
-    refs = extract.references(rows, found)
-    wanted = extract.imports(code)
-    null = lambda kind: F.lit(None).cast(kind)
+    rows = written(extract.lines(code), "lines")
+    place = Window.partitionBy("path", "qualified_name").orderBy("start_line", "kind")
+    found = written(extract.symbols(rows).withColumn("ordinal", F.row_number().over(place)), "symbols")
+    about = [c for c in ("hash", "size", "mtime") if c in files.columns]
+    own = files.select("path", "role", "language", *about).join(extract.packages(code), "path", "left")
+    module = F.when(F.col("path") == "go.mod", F.nullif(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1), F.lit("")))
+    own = own.join(files.select("path", module.alias("module")), "path")
+    return Extracted(written(own, "files"), found, written(extract.references(rows, found), "refs"), written(extract.imports(code), "imports"), written(files.where("role = 'doc'").select("path", F.col("content").alias("body")), "docs"))
+
+
+def replaced(old: Extracted, new: Extracted, gone: DataFrame) -> Extracted:
+    """old with the files of new in place of its own, and without those gone (path)."""
+    out = gone.select("path").unionByName(new.files.select("path")).distinct()
+    return Extracted(*[getattr(old, f.name).join(out, "path", "left_anti").unionByName(getattr(new, f.name), allowMissingColumns=True) for f in fields(Extracted)])
+
+
+def _id(*parts: str | Column) -> Column:
+    return F.xxhash64(*[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+
+
+def _shaped(rows: DataFrame, kind: str, id_: Column, repo_id: int, **columns: Column) -> DataFrame:
+    """rows as nodes without ord; columns that aren't given are null."""
+    given = {"id": id_, "repo_id": F.lit(repo_id), "kind": F.lit(kind), "exported": F.lit(False), **columns}
+    names = [c.strip().split(" ") for c in schema.NODES.split(",")]
+    return rows.select(*[given.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in names if name != "ord" or "ord" in given])
+
+
+def _nodes(x: Extracted, repo_id: int) -> DataFrame:
+    code = x.files.where("role = 'code'")
+    path = F.col("path")
+    files = _shaped(code, "file", _id(F.lit("file"), "path"), repo_id, name=path, file_path=path, language=F.col("language"))
+    # Lines aren't part of a symbol's id, so that an edit above it leaves its id and the edges to it.
+    named = x.symbols.join(code.select("path", "language"), "path")
+    symbols = _shaped(named, "symbol", _id(F.lit("symbol"), "path", "qualified_name", "ordinal"), repo_id, subkind=F.col("kind"), file_path=path, **{c: F.col(c) for c in ("name", "qualified_name", "start_line", "end_line", "language", "signature", "doc", "exported")})
+    said = documents.described(x.docs)
+    docs = _shaped(said, "doc", _id(F.lit("doc"), "path"), repo_id, subkind=F.col("subkind"), name=F.col("title"), file_path=path, doc=F.col("summary"))
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("kind", "start_line", "name", "id"))
+    return files.unionByName(symbols).unionByName(docs).withColumn("ord", (F.xxhash64("file_path") % 1_000_000_007) * 100_000 + place)
+
+
+def link(x: Extracted, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
+    """The graph of extracted files. Ids are hashes of what a node is, so that a full build equals an incremental one.
+
+    Imports that resolve to no file of the tree stay pending, like references. commits are parsed log records.
+    """
+    nodes = written(_nodes(x, repo_id), "nodes")
     repo = F.lit(repo_id).cast("long")
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy("kind", "start_line", "name"))
-    file_nodes = code.select(F.lit("file").alias("kind"), "path", "language").select(_node_id("kind", "path").alias("id"), repo.alias("repo_id"), "kind", null("string").alias("subkind"), F.col("path").alias("name"), null("string").alias("qualified_name"), F.col("path").alias("file_path"), null("int").alias("start_line"), null("int").alias("end_line"), "language", null("string").alias("signature"), null("string").alias("doc"), F.lit(False).alias("exported"), null("string").alias("meta"))
-    symbol_nodes = found.join(code.select("path", "language"), "path").withColumn("k", F.lit("symbol")).select(_node_id("k", "path", "qualified_name", "start_line", "ordinal").alias("id"), repo.alias("repo_id"), F.col("k").alias("kind"), F.col("kind").alias("subkind"), "name", "qualified_name", F.col("path").alias("file_path"), "start_line", "end_line", "language", "signature", "doc", "exported", null("string").alias("meta"))
-    doc_rows = files.where("role = 'doc'").select(F.lit("doc").alias("kind"), "path", F.col("content").alias("body"))
-    said = documents.described(doc_rows.select("path", "body"))
-    doc_nodes = doc_rows.join(said, "path").select(_node_id("kind", "path").alias("id"), repo.alias("repo_id"), "kind", "subkind", F.col("title").alias("name"), null("string").alias("qualified_name"), F.col("path").alias("file_path"), null("int").alias("start_line"), null("int").alias("end_line"), null("string").alias("language"), null("string").alias("signature"), F.col("summary").alias("doc"), F.lit(False).alias("exported"), null("string").alias("meta"))
-    nodes = file_nodes.unionByName(symbol_nodes).unionByName(doc_nodes)
-    nodes = nodes.withColumn("ord", (F.xxhash64("file_path") % 1_000_000_007) * 100_000 + place)
-
-    paths = code.select("path").join(extract.packages(code), "path")
+    paths = x.files.where("role = 'code'").select("path", "language", "package")
     ids = nodes.where("kind = 'file'").select(F.col("id").alias("fid"), F.col("file_path").alias("path"))
-    asked = wanted.select(F.col("path").alias("from_path"), "language", "raw")
+    edge = lambda rows, kind=None: rows.select("src", "dst", (F.lit(kind) if kind else F.col("kind")).alias("kind"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("meta"))
+
+    asked = x.imports.select(F.col("path").alias("from_path"), "language", "raw")
+    module = x.files.where("module is not null").select("module").first()  # of the one go.mod
     relative = resolve.relative_imports(asked.where("language not in ('go', 'java')"), paths)
     java = resolve.java_imports(asked.where("language = 'java'"), paths)
-    go = resolve.go_imports(asked.where("language = 'go'"), paths, tree.go_module(files) if "content" in files.columns else None)
-    resolved = relative.unionByName(java).unionByName(go).where("from_path <> to_path")
-    named = lambda kind, rows: rows.select("src", "dst", F.lit(kind).alias("kind"), F.lit(1.0).alias("weight"), null("string").alias("meta"))
+    go = resolve.go_imports(asked.where("language = 'go'"), paths, module["module"] if module else None)
+    resolved = written(relative.unionByName(java).unionByName(go).where("from_path <> to_path"), "resolved")
     a, b = ids.withColumnsRenamed({"fid": "src", "path": "from_path"}), ids.withColumnsRenamed({"fid": "dst", "path": "to_path"})
-    edges = named("imports", resolved.join(a, "from_path").join(b, "to_path").select("src", "dst").distinct())
+    edges = edge(resolved.join(a, "from_path").join(b, "to_path"), "imports")
+    missing = asked.join(resolved, ["from_path", "raw"], "left_anti").join(a, "from_path").select(repo.alias("repo_id"), F.col("src").alias("src_node"), F.col("raw").alias("name"), F.lit("imports").alias("kind"))
 
-    own = nodes.where("kind = 'symbol'").join(found.select(F.col("path").alias("file_path"), "qualified_name", "start_line", "parent_name").distinct(), ["file_path", "qualified_name", "start_line"])
-    own = own.join(ids.withColumnsRenamed({"fid": "file_node", "path": "file_path"}), "file_path").join(paths.withColumnRenamed("path", "file_path"), "file_path").withColumnRenamed("id", "node_id")
-    edges = edges.unionByName(named("contains", resolve.contains_edges(own)))
+    id_ = _id(F.lit("symbol"), "path", "qualified_name", "ordinal").alias("node_id")
+    own = x.symbols.select(id_, F.col("path").alias("file_path"), F.col("kind").alias("subkind"), "name", "qualified_name", "parent_name").join(nodes.select(F.col("id").alias("node_id"), "ord"), "node_id")
+    own = own.join(ids.withColumnsRenamed({"fid": "file_node", "path": "file_path"}), "file_path").join(paths.withColumnRenamed("path", "file_path"), "file_path")
+    own = written(own, "own")
+    edges = edges.unionByName(edge(resolve.contains_edges(own), "contains"))
 
-    lang = code.select(F.col("path").alias("from_file"), "language").join(paths.withColumnRenamed("path", "from_file"), "from_file")
-    numbered = refs.withColumn("ref_id", F.xxhash64("path", F.coalesce("from_symbol", F.lit("")), "name", "kind")).withColumnRenamed("path", "from_file").join(lang, "from_file").dropDuplicates(["ref_id"])
+    numbered = x.refs.withColumn("ref_id", F.xxhash64("path", F.coalesce("from_symbol", F.lit("")), "name", "kind")).withColumnRenamed("path", "from_file").dropDuplicates(["ref_id"])
+    numbered = written(numbered.join(paths.withColumnRenamed("path", "from_file"), "from_file"), "numbered")
     imported = resolved.select(F.col("from_path").alias("from_file"), F.col("to_path").alias("to_file"))
     targets = resolve.references(numbered, own, imported)
     placed = numbered.join(ids.withColumnsRenamed({"fid": "file_node", "path": "from_file"}), "from_file")
     sources = resolve.enclosing(placed, own).join(numbered.select("ref_id", "name", "kind"), "ref_id")
-    linked = sources.join(targets, "ref_id").where("src <> target").select("src", F.col("target").alias("dst"), "kind", F.lit(1.0).alias("weight"), null("string").alias("meta")).distinct()
-    edges = edges.unionByName(linked)
-    lost = sources.join(targets, "ref_id", "left_anti").select(repo.alias("repo_id"), F.col("src").alias("src_node"), "name", "kind")
-    missing = asked.join(resolved.select("from_path", "raw"), ["from_path", "raw"], "left_anti").join(a, "from_path").select(repo.alias("repo_id"), F.col("src").alias("src_node"), F.col("raw").alias("name"), F.lit("imports").alias("kind"))
-    pending = lost.unionByName(missing).distinct()
+    linked = written(sources.join(targets, "ref_id", "left"), "linked")
+    edges = edges.unionByName(edge(linked.where("src <> target").withColumnRenamed("target", "dst")))
+    pending = linked.where("target is null").select(repo.alias("repo_id"), F.col("src").alias("src_node"), "name", "kind").unionByName(missing).distinct()
 
     order = nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "ord")
-    edges = edges.unionByName(named("tests", resolve.tests_edges(order, nodes.where("kind in ('file', 'symbol')"), numbered.select("from_file", "name")).select("src", "dst")))
-    said_nodes = nodes.where("kind = 'doc'").select(F.col("id").alias("doc_id"), F.col("file_path").alias("path")).join(doc_rows.select("path", "body"), "path")
-    edges = edges.unionByName(named("mentions", documents.mentions(said_nodes, nodes).select(F.col("doc_id").alias("src"), "dst")))
+    edges = edges.unionByName(edge(resolve.tests_edges(order, nodes.where("kind in ('file', 'symbol')"), numbered.select("from_file", "name")), "tests"))
+    said = nodes.where("kind = 'doc'").select(F.col("id").alias("doc_id"), F.col("file_path").alias("path")).join(x.docs, "path")
+    edges = edges.unionByName(edge(documents.mentions(said, nodes).withColumnRenamed("doc_id", "src"), "mentions"))
     if commits is not None:
-        more, links = _history(commits, nodes, repo_id)
+        more, links = _history(written(commits, "commits"), nodes, repo_id)
         nodes, edges = nodes.unionByName(more), edges.unionByName(links)
     edges = edges.dropDuplicates(["src", "dst", "kind"]).select(F.xxhash64("src", "dst", "kind").alias("id"), repo.alias("repo_id"), "src", "dst", "kind", "weight", "meta")
-    return Graph(nodes, edges, pending)
+    return Graph(written(nodes, "all-nodes"), written(edges, "edges"), written(pending, "pending"))
+
+
+def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
+    """Nodes, edges and pending references of files (path, role, language, content)."""
+    return link(extracted(files), repo_id, commits)
 
 
 def _history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[DataFrame, DataFrame]:
     """Commit and feature nodes; touched_by, co_change and in_feature edges."""
     files = nodes.where("kind = 'file'").select("id", "file_path")
-    totals = history.commit_totals(commits).drop("short_sha")
-    null = lambda kind: F.lit(None).cast(kind)
-    shape = lambda rows, kind, id_, name, qname, doc, meta: rows.select(id_.alias("id"), F.lit(repo_id).cast("long").alias("repo_id"), F.lit(kind).alias("kind"), null("string").alias("subkind"), name.alias("name"), qname.alias("qualified_name"), null("string").alias("file_path"), null("int").alias("start_line"), null("int").alias("end_line"), null("string").alias("language"), null("string").alias("signature"), doc.alias("doc"), F.lit(False).alias("exported"), meta.alias("meta"), F.col("ord"))
-    dated = commits.join(totals, "sha").withColumn("ord", -F.col("ts"))
-    meta = F.to_json(F.struct("author", "email", "ts", "insertions", "deletions"))
-    commit_id = F.xxhash64(F.lit("commit"), "sha")
-    commit_nodes = shape(dated, "commit", commit_id, F.substring("sha", 1, 7), F.col("sha"), F.col("subject"), meta)
-    touches = history.touched_by(commits, files)
+    dated = commits.join(history.commit_totals(commits).drop("short_sha"), "sha")
+    commit_id, feature_id = F.xxhash64(F.lit("commit"), "sha"), F.xxhash64(F.lit("feature"), "scope")
+    newest = -F.col("ts")
+    commit_nodes = _shaped(dated, "commit", commit_id, repo_id, name=F.substring("sha", 1, 7), qualified_name=F.col("sha"), doc=F.col("subject"), meta=F.to_json(F.struct("author", "email", "ts", "insertions", "deletions")), ord=newest)
+    touches = written(history.touched_by(commits, files), "touches")
+    none = F.lit(None).cast("string").alias("meta")
     told = touches.select(F.col("file_id").alias("src"), commit_id.alias("dst"), F.lit("touched_by").alias("kind"), F.lit(1.0).alias("weight"), F.to_json(F.struct("insertions", "deletions")).alias("meta"))
     changed = commits.select(F.col("sha").alias("commit"), F.explode("files").alias("f")).select("commit", F.col("f.path").alias("file"))
     together = history.apply_cochanges(history.mine_cochanges(changed), files)
-    ordered = commits.select("sha", "subject", (-F.col("ts")).alias("ord"))
-    found, members, in_files = history.features(ordered, touches)
-    feature_id = F.xxhash64(F.lit("feature"), "scope")
-    feature_nodes = shape(found.withColumn("ord", F.lit(0).cast("long")), "feature", feature_id, F.col("scope"), F.col("scope"), F.col("doc"), F.to_json(F.struct(F.col("commits").alias("commitCount"), "types")))
-    null_meta = F.lit(None).cast("string").alias("meta")
-    of_commit = members.select(commit_id.alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.lit(1.0).alias("weight"), null_meta)
-    of_file = in_files.select(F.col("file_id").alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.col("weight").cast("double"), null_meta)
+    found, members, in_files = history.features(commits.select("sha", "subject", newest.alias("ord")), touches)
+    feature_nodes = _shaped(found, "feature", feature_id, repo_id, name=F.col("scope"), qualified_name=F.col("scope"), doc=F.col("doc"), meta=F.to_json(F.struct(F.col("commits").alias("commitCount"), "types")), ord=F.lit(0))
+    of_commit = members.select(commit_id.alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.lit(1.0).alias("weight"), none)
+    of_file = in_files.select(F.col("file_id").alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.col("weight").cast("double"), none)
     return commit_nodes.unionByName(feature_nodes), told.unionByName(together).unionByName(of_commit).unionByName(of_file)

@@ -1,4 +1,4 @@
-"""Versioned snapshots of the graph tables: a folder per version and a pointer to the current one."""
+"""Versioned snapshots of the graph tables: a folder per version, and numbered pointers of which the last counts."""
 
 from __future__ import annotations
 
@@ -7,39 +7,65 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Versions besides the current one that a publication leaves, for readers that have begun.
+KEPT = 1
+
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of all publications so far, last first."""
+    fs, folder = _fs(spark, f"{root}/_pointers")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+
+def _read(spark: SparkSession, root: str, number: int) -> dict:
+    rows = spark.read.text(f"{root}/_pointers/{number:010}").collect()  # one short line
+    return {**json.loads(rows[0]["value"]), "number": number}
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], manifest: dict | None = None) -> str:
-    """Writes all tables to a new version, then points to it: readers see the old version or the whole new one."""
+    """Writes all tables to a new version, then points to it: readers see the old version or the whole new one.
+
+    A pointer is written aside and renamed to the next number, which fails if another publication has
+    it; nothing that a reader may hold is ever replaced. Versions older than KEPT before the current
+    one are deleted.
+    """
     version = uuid.uuid4().hex
     for name, rows in tables.items():
         rows.write.parquet(f"{root}/{version}/{name}")
-    fs, target = _fs(spark, f"{root}/_CURRENT")
-    _, fresh = _fs(spark, f"{root}/_CURRENT-{version}")
+    fs, fresh = _fs(spark, f"{root}/_pointers/.{version}")
     out = fs.create(fresh)
     out.write(bytearray(json.dumps({"version": version, **(manifest or {})}).encode()))
     out.close()
-    if not fs.rename(fresh, target):
-        fs.delete(target, False)
-        fs.rename(fresh, target)
+    while True:
+        number = next(iter(_pointers(spark, root)), 0) + 1
+        _, target = _fs(spark, f"{root}/_pointers/{number:010}")
+        if not fs.exists(target) and fs.rename(fresh, target):
+            break
+        if not fs.exists(fresh):
+            raise OSError(f"the pointer to version {version} is gone")
+    for old in _pointers(spark, root)[KEPT + 1 :]:
+        fs.delete(_fs(spark, f"{root}/{_read(spark, root, old)['version']}")[1], True)
+        fs.delete(_fs(spark, f"{root}/_pointers/{old:010}")[1], False)
     return version
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    fs, target = _fs(spark, f"{root}/_CURRENT")
-    if not fs.exists(target):
-        return None
-    rows = spark.read.text(f"{root}/_CURRENT").collect()  # one short line
-    return json.loads(rows[0]["value"])
+    """The manifest of the last publication, with its version and number."""
+    numbers = _pointers(spark, root)
+    return _read(spark, root, numbers[0]) if numbers else None
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    now = current(spark, root)
+def table(spark: SparkSession, root: str, name: str, now: dict | None = None) -> DataFrame:
+    """A table of the current version, or of the one that now (from current) tells."""
+    now = now or current(spark, root)
     if now is None:
         raise FileNotFoundError(f"no snapshot in {root}")
     return spark.read.parquet(f"{root}/{now['version']}/{name}")

@@ -1,13 +1,124 @@
-"""Change classification between two states of a working tree."""
+"""Incremental builds: what changed in a tree, its files extracted again, the graph linked anew."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import audit
+from loomgraph.plans import build, snapshot
+from loomgraph.plans.build import Extracted, Graph
+from loomgraph.scratch import written
+from loomgraph.sources import tree
+
 
 def classified(before: DataFrame, now: DataFrame, force: bool = False) -> DataFrame:
     """(path, state) of files (path, hash): new, changed, same or deleted; with force all that are there are changed."""
     rows = before.select("path", F.col("hash").alias("h0")).join(now.select("path", F.col("hash").alias("h1")), "path", "full")
     same = F.lit("changed") if force else F.lit("same")
     return rows.select("path", F.when(F.col("h1").isNull(), "deleted").when(F.col("h0").isNull(), "new").when(F.col("h0") != F.col("h1"), "changed").otherwise(same).alias("state"))
+
+
+def _tables(x: Extracted, g: Graph, commits: DataFrame | None) -> dict[str, DataFrame]:
+    history = {} if commits is None else {"commits": commits}
+    return {"nodes": g.nodes, "edges": g.edges, "pending_refs": g.pending, **x.tables(), **history}
+
+
+def _stored(spark: SparkSession, store: str, now: dict) -> Extracted:
+    return Extracted(*[snapshot.table(spark, store, f"extracted_{f.name}", now) for f in fields(Extracted)])
+
+
+def full(spark: SparkSession, store: str, files: DataFrame, commits: DataFrame | None = None, repo_id: int = 1, manifest: dict | None = None) -> str:
+    """Builds the graph of files from nothing and publishes it."""
+    x = build.extracted(written(files, "contents"))
+    return snapshot.publish(spark, store, _tables(x, build.link(x, repo_id, commits), commits), {"repo_id": repo_id, "history": commits is not None, **(manifest or {})})
+
+
+@dataclass
+class Report:
+    """What a re-index changed: (path, name, change) of symbols, and findings as in audit.findings."""
+
+    version: str | None = None
+    counts: dict[str, int] = field(default_factory=dict)
+    symbols: DataFrame | None = None
+    findings: DataFrame | None = None
+
+
+def _unresolved(g: Graph) -> DataFrame:
+    """(path, name): imports of each file within the tree, by their form, that resolve to nothing."""
+    lost = g.pending.where("kind = 'imports' and name like '.%'").select(F.col("src_node").alias("id"), F.col("name").alias("raw"))
+    return lost.join(g.nodes.select("id", "file_path"), "id").select(F.col("file_path").alias("path"), F.col("raw").alias("name"))
+
+
+def report(before: Graph, after: Graph, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol changes, findings) of the re-index of paths (path), from the graphs before and after it."""
+    symbols = lambda g: g.nodes.where("kind = 'symbol'").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("file_path").alias("path"), "name")
+    diff = written(audit.symbol_diff(symbols(before), symbols(after)), "symbol-diff")
+    callers, still = audit.inbound_callers(before.edges, before.nodes, paths), audit.inbound_callers(after.edges, after.nodes, paths)
+    lost = written(callers.join(still.select("path", "src"), ["path", "src"], "left_anti"), "lost-callers")
+    counts = audit.dangling(callers, still, after.pending.where("kind <> 'imports'"), diff)
+    unresolved = _unresolved(after).join(paths.select("path"), "path", "left_semi")
+    return diff, audit.findings(diff, lost, counts, unresolved)
+
+
+def reindex(spark: SparkSession, store: str, files: DataFrame, gone: DataFrame, commits: DataFrame | None = None, manifest: dict | None = None) -> Report:
+    """Takes new contents of files (path, role, language, content, ...) and files gone (path) into the graph.
+
+    Only these files are extracted; linking joins what is known of all files, so that names that this
+    change makes unique, ambiguous or void resolve as in a full build. Inbound edges of symbols that stay
+    are kept, as their ids don't depend on lines. commits, if given, replace the stored history.
+    """
+    now = snapshot.current(spark, store)
+    if now is None:
+        raise FileNotFoundError(f"no snapshot in {store}")
+    before = Graph(*[snapshot.table(spark, store, t, now) for t in ("nodes", "edges", "pending_refs")])
+    files, gone = written(files, "contents"), written(gone.select("path").distinct(), "gone")
+    x = build.replaced(_stored(spark, store, now), build.extracted(files), gone)
+    x = Extracted(*[written(getattr(x, f.name), f.name) for f in fields(Extracted)])
+    if commits is None and now.get("history"):
+        commits = snapshot.table(spark, store, "commits", now)
+    after = build.link(x, now["repo_id"], commits)
+    diff, found = report(before, after, files.select("path").unionByName(gone).distinct())
+    counts = {"indexed": files.count(), "deleted": gone.count()}
+    diff, found = written(diff, "diff"), written(found, "findings")
+    kept = {k: v for k, v in now.items() if k not in ("version", "number")}
+    version = snapshot.publish(spark, store, _tables(x, after, commits), {**kept, "history": commits is not None, **(manifest or {})})
+    return Report(version, counts, diff, found)
+
+
+def sync(spark: SparkSession, root: str, store: str, rules: list[tuple[str, bool]] = (), commits: DataFrame | None = None, force: bool = False, manifest: dict | None = None) -> Report:
+    """Brings the graph in store up to the tree at root.
+
+    Files of known size and time aren't read; of the others the content decides. A tree without changes
+    publishes nothing, unless there are new commits.
+    """
+    now = snapshot.current(spark, store)
+    if now is None:
+        raise FileNotFoundError(f"no snapshot in {store}")
+    known = snapshot.table(spark, store, "extracted_files", now).select("path", "hash", "size", "mtime")
+    listed = written(tree.listing(spark, root, list(rules)), "listing")
+    touched = listed if force else listed.join(known.drop("hash"), ["path", "size", "mtime"], "left_anti")
+    gone = known.join(listed, "path", "left_anti").select("path")
+    files = written(tree.contents(spark, root, touched), "contents")
+    states = classified(known.join(files, "path", "left_semi"), files, force)
+    changed = files.join(states.where("state in ('new', 'changed')"), "path", "left_semi")
+    counts = {"listed": listed.count(), "read": files.count()}
+    if commits is None and changed.isEmpty() and gone.isEmpty():
+        return Report(counts={**counts, "indexed": 0, "deleted": 0})
+    out = reindex(spark, store, changed, gone, commits, manifest)
+    out.counts = {**counts, **out.counts}
+    return out
+
+
+def applied(spark: SparkSession, store: str) -> Callable[[DataFrame, int], None]:
+    """A sync for streaming.changes.apply_changes: takes batches of the last writes (path, content; null content: deleted) into the graph."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        rows = tree.kept(batch.withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0))))
+        text = rows.where("content is not null").withColumn("language", tree.text.language("path")).withColumn("hash", F.sha2(F.encode("content", "UTF-8"), 256)).withColumn("mtime", F.lit(None).cast("long"))
+        reindex(spark, store, text.select("path", "size", "mtime", "hash", "role", "language", "content"), batch.where("content is null").select("path"), manifest={"batch": number})
+
+    return one

@@ -1,7 +1,8 @@
 """Symbols, references and imports of source files, line by line in DataFrame expressions.
 
 Lines lose strings and comments; nesting is a running sum of braces (for Python the indent); a
-symbol ends where its nesting does. This reads declarations that begin on a line of their own.
+symbol ends where its nesting does. A declaration begins on a line of its own; its header may go on
+over the next lines. All of it is windows and equality joins over lines, linear in a file's lines.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ DECLARATIONS: dict[str, list[tuple[str, str, str]]] = {
         ("method", r"^\s+(?:(?:public|private|protected|static|readonly)\s+)*" + NAME + r"\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>", "member"),
     ],
     "python": [
-        ("class", r"^class\s+" + NAME, "top"),
+        ("class", r"^\s*class\s+" + NAME, "any"),
         ("function", r"^(?:async\s+)?def\s+" + NAME, "top"),
         ("method", r"^\s+(?:async\s+)?def\s+" + NAME, "member"),
     ],
@@ -74,59 +75,94 @@ def bare(line: Column, fam: Column) -> Column:
     return F.when(fam == "python", F.regexp_replace(text, "#.*$", "")).otherwise(F.regexp_replace(F.regexp_replace(text, r"/\*.*?\*/", ""), r"//.*$|^\s*\*.*$|/\*.*$", ""))
 
 
+#: Lines over which the header of a declaration may go on.
+HEADER = 8
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """(path, fam, at, raw, line, depth, after): each line with its nesting before and after it."""
+    """(path, fam, at, raw, line, head, depth, after, blank, inner): each line with its nesting before and after it.
+
+    head is the line with what its open parentheses go on with, up to the first brace or semicolon. inner
+    are the lines of Python within brackets, whose indent says nothing.
+    """
     rows = files.select("path", family(F.col("language")).alias("fam"), F.posexplode(F.split("content", "\r?\n")).alias("at", "raw")).withColumn("at", F.col("at") + 1)
     rows = rows.withColumn("line", bare(F.col("raw"), F.col("fam")))
-    step = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
+    less = lambda a, b: F.length(F.regexp_replace("line", f"[^{a}]", "")) - F.length(F.regexp_replace("line", f"[^{b}]", ""))
+    step = less("{", "}")
     upto = Window.partitionBy("path").orderBy("at")
     after = F.sum(step).over(upto)
     indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    return rows.withColumn("after", F.when(F.col("fam") == "python", indent).otherwise(after)).withColumn("depth", F.when(F.col("fam") == "python", indent).otherwise(F.col("after") - step)).withColumn("blank", F.trim("line") == "")
+    python = F.col("fam") == "python"
+    rows = rows.withColumn("after", F.when(python, indent).otherwise(after)).withColumn("depth", F.when(python, indent).otherwise(F.col("after") - step))
+    more = F.concat_ws(" ", "line", *[F.lead("line", k).over(upto) for k in range(1, HEADER)])
+    whole = F.regexp_extract(more, r"^([^{;]*[{;]?)", 1)
+    within = F.coalesce(F.sum(less(r"(\[{", r")\]}")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    rows = rows.withColumn("inner", python & within)
+    return rows.withColumn("head", F.when(less("(", ")") > 0, F.when(python, more).otherwise(whole)).otherwise(F.col("line"))).withColumn("blank", F.trim("line") == "")
+
+
+def _ends(rows: DataFrame, decls: DataFrame) -> DataFrame:
+    """decls with end_line, and body, the nesting of what is directly inside.
+
+    A line closes the levels between the nesting it leaves and the one before; a declaration ends at the
+    next line that closes its level, found by a window over each level's declarations and closing lines.
+    """
+    order = Window.partitionBy("path").orderBy("at")
+    python = F.col("fam") == "python"
+    solid = rows.where("not blank and not inner").withColumn("lag_at", F.lag("at").over(order))
+    solid = solid.withColumn("was", F.when(python, F.lag("after").over(order)).otherwise(F.col("depth"))).withColumn("next_depth", F.lead("depth").over(order))
+    # Where a header goes on: the first line from here on with a brace or semicolon.
+    follow = Window.partitionBy("path").orderBy("at").rowsBetween(Window.currentRow, HEADER)
+    solid = solid.withColumn("opens", F.min(F.when(F.col("line").rlike("[{;]"), F.struct("at", "after"))).over(follow))
+    closing = solid.where("after < was").select("path", F.explode(F.expr("sequence(after, was - 1)")).alias("level"), "at", F.when(python, F.col("lag_at")).otherwise(F.col("at")).alias("closes"))
+    final = solid.groupBy("path").agg(F.max("at").alias("final"))
+    own = decls.join(solid.select("path", "at", "next_depth", "opens", "after"), ["path", "at"]).join(final, "path")
+    own = own.withColumn("next_decl", F.lead("at").over(order))
+    wraps = F.col("kind").isin("function", "method", *CONTAINERS) & (F.col("opens.after") > F.col("depth")) & (F.col("next_decl").isNull() | (F.col("opens.at") < F.col("next_decl")))
+    open_ = F.when(python, F.col("next_depth") > F.col("depth")).otherwise((F.col("after") > F.col("depth")) | F.coalesce(wraps, F.lit(False)))
+    own = own.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("body", F.when(python, F.col("next_depth")).otherwise(F.col("depth") + 1))
+    keyed = own.select("path", F.col("depth").alias("level"), "at", F.lit(None).cast("int").alias("closes"), F.struct(*own.columns).alias("d"))
+    both = keyed.unionByName(closing.withColumn("d", F.lit(None).cast(keyed.schema["d"].dataType)))
+    later = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.col("d").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("end", F.last("closes", True).over(later)).where("d is not null").select("d.*", "end")
+    return found.withColumn("end_line", F.when(F.col("open"), F.coalesce("end", "final")).otherwise(F.col("at")).cast("int")).select(*decls.columns, "body", "end_line")
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """(path, kind, name, qualified_name, parent_name, start_line, end_line, signature, doc, exported, depth) of lines()."""
+    """(path, kind, name, qualified_name, parent_name, start_line, end_line, signature, doc, exported) of lines()."""
     found = F.lit(None).cast("struct<kind:string,name:string>")
     for fam, rules in DECLARATIONS.items():
         for kind, pattern, level in reversed(rules):
-            fits = (F.col("fam") == fam) & F.col("line").rlike(pattern)
+            fits = (F.col("fam") == fam) & F.col("head").rlike(pattern)
             if level == "top":
                 fits &= F.col("depth") == 0
             elif level == "member":
                 fits &= F.col("depth") > 0
-            found = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name"))).otherwise(found)
-    decls = rows.withColumn("d", found).where("d is not null").select("path", "fam", "at", "raw", "line", "depth", "d.kind", "d.name").where(~F.col("name").isin(*KEYWORDS) | F.col("kind").isin("class", "struct"))
-    ends = rows.where("not blank").select("path", F.col("at").alias("m"), "after", F.col("depth").alias("before"))
-    closed = decls.join(ends, "path").where("m >= at")
-    # Braces: the first line from the declaration on that ends at its nesting. Python: the line before the next one indented as little.
-    last = closed.groupBy("path", "at", "name").agg(
-        F.min(F.when((F.col("fam") != "python") & (F.col("after") <= F.col("depth")), F.col("m"))).alias("brace"),
-        F.min(F.when((F.col("fam") == "python") & (F.col("m") > F.col("at")) & (F.col("before") <= F.col("depth")), F.col("m"))).alias("dedent"),
-        F.max("m").alias("final"),
-    )
-    decls = decls.join(last, ["path", "at", "name"]).withColumn("end_line", F.coalesce(F.when(F.col("fam") == "python", F.coalesce(F.col("dedent") - 1, "final")), "brace", "final").cast("int"))
-    boxes = decls.where(F.col("kind").isin(*CONTAINERS)).select("path", F.col("name").alias("parent_name"), F.col("at").alias("p_at"), F.col("end_line").alias("p_end"), F.col("depth").alias("p_depth"))
-    inside = decls.select("path", "at", "name").join(boxes, "path").where("p_at < at and at <= p_end").groupBy("path", "at", "name").agg(F.max_by(F.struct("parent_name", "p_depth"), "p_at").alias("p"))
-    decls = decls.join(inside, ["path", "at", "name"], "left")
-    receiver = F.when((F.col("fam") == "go") & (F.col("kind") == "method"), F.regexp_extract("line", r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)", 1))
-    parent = F.coalesce(receiver, "p.parent_name")
-    unit = F.when(F.col("fam") == "python", F.col("depth") <= F.col("p.p_depth") + 8).otherwise(F.col("depth") == F.col("p.p_depth") + 1)
+            found = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("head", pattern, 1).alias("name"))).otherwise(found)
+    order = Window.partitionBy("path").orderBy("at")
+    comment = F.when(F.col("raw").rlike(r"^\s*(///?|\*|/\*\*|#)"), F.trim(F.regexp_replace("raw", r"^\s*(///?|/\*\*|\*/?|#)\s*|\*/\s*$", "")))
+    decls = rows.withColumn("doc", F.lag(comment).over(order)).withColumn("d", found).where("d is not null").select("path", "fam", "at", "raw", "head", "depth", "doc", "d.kind", "d.name")
+    decls = _ends(rows, decls.where(~F.col("name").isin(*KEYWORDS) | F.col("kind").isin("class", "struct")))
+    # The parent is the last container before whose inside has the declaration's nesting, if it is still open there.
+    box = F.struct(F.col("name").alias("parent_name"), F.col("end_line").alias("p_end"))
+    inside = decls.where(F.col("kind").isin(*CONTAINERS)).select("path", F.col("body").alias("level"), "at", box.alias("box"))
+    keyed = decls.select("path", F.col("depth").alias("level"), "at", F.struct(*decls.columns).alias("d"))
+    both = keyed.unionByName(inside, allowMissingColumns=True)
+    before = Window.partitionBy("path", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    decls = both.withColumn("p", F.last("box", True).over(before)).where("d is not null").select("d.*", F.when(F.col("at") <= F.col("p.p_end"), F.col("p.parent_name")).alias("box_name"))
+    receiver = F.when((F.col("fam") == "go") & (F.col("kind") == "method"), F.regexp_extract("head", r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)", 1))
+    parent = F.coalesce(receiver, "box_name")
     member = F.col("kind").isin("method", "variable")
-    decls = decls.where(~(F.col("fam").isin("script", "java", "python") & member) | F.coalesce(unit, F.lit(False)))
+    decls = decls.where(~(F.col("fam").isin("script", "java", "python") & member) | F.col("box_name").isNotNull())
     kind = F.when((F.col("fam") == "rust") & (F.col("kind") == "function") & parent.isNotNull(), "method").otherwise(F.col("kind"))
     exported = (
-        F.when(F.col("fam") == "script", F.col("line").rlike(r"^\s*export\b"))
+        F.when(F.col("fam") == "script", F.col("head").rlike(r"^\s*export\b"))
         .when(F.col("fam") == "python", ~F.col("name").startswith("_"))
         .when(F.col("fam") == "go", F.col("name").rlike("^[A-Z]"))
-        .when(F.col("fam") == "java", F.col("line").rlike(r"\bpublic\b"))
-        .otherwise(F.col("line").rlike(r"^\s*pub\b"))
+        .when(F.col("fam") == "java", F.col("head").rlike(r"\bpublic\b"))
+        .otherwise(F.col("head").rlike(r"^\s*pub\b"))
     )
-    top = Window.partitionBy("path").orderBy("at")
-    doc = F.lag("comment").over(top)
-    comments = rows.withColumn("comment", F.when(F.col("raw").rlike(r"^\s*(///?|\*|/\*\*|#)"), F.trim(F.regexp_replace("raw", r"^\s*(///?|/\*\*|\*/?|#)\s*|\*/\s*$", "")))).withColumn("doc", doc).select("path", "at", "doc")
-    out = decls.join(comments, ["path", "at"])
-    return out.select("path", kind.alias("kind"), "name", F.concat_ws(".", parent, "name").alias("qualified_name"), parent.alias("parent_name"), F.col("at").cast("int").alias("start_line"), "end_line", F.substring(F.trim("raw"), 1, 200).alias("signature"), F.substring("doc", 1, 200).alias("doc"), exported.alias("exported"))
+    return decls.select("path", kind.alias("kind"), "name", F.concat_ws(".", parent, "name").alias("qualified_name"), parent.alias("parent_name"), F.col("at").cast("int").alias("start_line"), "end_line", F.substring(F.trim("raw"), 1, 200).alias("signature"), F.substring("doc", 1, 200).alias("doc"), exported.alias("exported"))
 
 
 def references(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -135,12 +171,13 @@ def references(rows: DataFrame, found: DataFrame) -> DataFrame:
     calls = rows.where("not blank").select("path", "at", F.explode(F.array_distinct(call)).alias("name")).where(~F.col("name").isin(*KEYWORDS))
     own = found.select("path", F.col("start_line").alias("at"), "name")
     calls = calls.join(own, ["path", "at", "name"], "left_anti")
-    spans = found.where(F.col("kind").isin("function", "method", "constant")).select("path", F.col("name").alias("from_symbol"), "start_line", "end_line")
-    inside = calls.join(spans, "path").where("start_line <= at and at <= end_line").groupBy("path", "at", "name").agg(F.max_by("from_symbol", "start_line").alias("from_symbol"))
-    uses = calls.join(inside, ["path", "at", "name"], "left").select("path", "from_symbol", "name", F.lit("calls").alias("kind"))
-    heads = found.join(rows.select("path", F.col("at").alias("start_line"), "line", "fam"), ["path", "start_line"])
-    base = F.when(F.col("fam") == "python", F.regexp_extract("line", r"^class\s+\w+\(([^)]*)\)", 1)).otherwise(F.regexp_extract("line", r"\bextends\s+([\w$., ]+?)(?:\s+implements\b|\s*\{|<|$)", 1))
-    done = F.when(F.col("fam") == "rust", F.regexp_extract("line", r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b", 1)).otherwise(F.regexp_extract("line", r"\bimplements\s+([\w$., ]+?)(?:\s*\{|<|$)", 1))
+    # A line is in as many spans as functions are nested, so all their lines together are about those of the file.
+    spans = found.where(F.col("kind").isin("function", "method", "constant")).select("path", F.explode(F.sequence("start_line", "end_line")).alias("at"), "start_line", F.col("name").alias("from_symbol"))
+    inner = spans.groupBy("path", "at").agg(F.max_by("from_symbol", "start_line").alias("from_symbol"))
+    uses = calls.join(inner, ["path", "at"], "left").select("path", "from_symbol", "name", F.lit("calls").alias("kind"))
+    heads = found.join(rows.select("path", F.col("at").alias("start_line"), "head", "fam"), ["path", "start_line"])
+    base = F.when(F.col("fam") == "python", F.regexp_extract("head", r"^\s*class\s+\w+\(([^)]*)\)", 1)).otherwise(F.regexp_extract("head", r"\bextends\s+([\w$., ]+?)(?:\s+implements\b|\s*\{|<|$)", 1))
+    done = F.when(F.col("fam") == "rust", F.regexp_extract("head", r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b", 1)).otherwise(F.regexp_extract("head", r"\bimplements\s+([\w$., ]+?)(?:\s*\{|<|$)", 1))
     bases = heads.where(F.col("kind").isin("class", "interface", "impl")).select("path", F.col("name").alias("from_symbol"), F.explode(F.array(F.struct(base.alias("n"), F.lit("extends").alias("kind")), F.struct(done.alias("n"), F.lit("implements").alias("kind")))).alias("b"))
     bases = bases.select("path", "from_symbol", F.explode(F.split("b.n", r"\s*,\s*")).alias("name"), "b.kind").where("name <> ''").withColumn("name", F.regexp_replace(F.trim("name"), r"^.*[:]|\..*$", ""))
     return uses.distinct().unionByName(bases.distinct())

@@ -45,24 +45,53 @@ def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
 
 
 def kept(files: DataFrame, rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    """files (path, size, ...) with role code or doc: no pruned folders, ignored, binary, minified or large files."""
+    """files (path, size, ...) with role code, doc or module: no pruned folders, ignored, binary, minified or large files."""
     pruned = F.col("path").rlike("(^|/)(" + "|".join(re.escape(p) for p in PRUNED) + ")/")
     ext = text.extension("path")
     small = (F.col("size") <= MAX_BYTES) & ~ext.isin(*BINARY) & ~F.col("path").rlike(r"\.min\.(js|css)$")
-    role = F.when(ext.isin("md", "mdx"), "doc").when(text.language("path").isNotNull(), "code")
+    role = F.when(ext.isin("md", "mdx"), "doc").when(text.language("path").isNotNull(), "code").when(F.col("path") == "go.mod", "module")
     return files.where(small & ~pruned & ~ignored(F.col("path"), list(rules))).withColumn("role", role).where("role is not null")
 
 
-def scan(spark: SparkSession, root: str, rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    """(path, size, mtime, hash, role, language, content) of the files under root; large files aren't read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root).where(F.col("length") <= MAX_BYTES)
+def _relative(root: str) -> Column:
     base = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
-    path = F.regexp_replace(F.col("path"), "^(file:)?/*", "/")
-    files = raw.select(F.substring(path, len(base) + 1, 1 << 20).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
-    return kept(files, rules).withColumn("language", text.language("path")).select("path", "size", "mtime", "hash", "role", "language", "content")
+    return F.substring(F.regexp_replace(F.col("path"), "^(file:)?/*", "/"), len(base) + 1, 1 << 20)
+
+
+def listing(spark: SparkSession, root: str, rules: list[tuple[str, bool]] = ()) -> DataFrame:
+    """(path, at, size, mtime, role, language) of the files under root that count. No file is read: at is where it lies."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+    files = raw.select(_relative(root).alias("path"), F.col("path").alias("at"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    return kept(files, rules).withColumn("language", text.language("path")).select("path", "at", "size", "mtime", "role", "language")
+
+
+FILES = "path string, size long, mtime long, hash string, role string, language string, content string"
+
+
+def contents(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """listed files with hash and content. Only these are read; their names go through the driver, where Spark's file index holds them too."""
+    at = [r["at"] for r in listed.select("at").collect()]
+    if not at:
+        return spark.createDataFrame([], FILES)
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([_escaped(a) for a in at])
+    read = raw.select(_relative(root).alias("path"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
+    return listed.drop("at").join(read, "path").select("path", "size", "mtime", "hash", "role", "language", "content")
+
+
+def _escaped(path: str) -> str:
+    """A path without meaning as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def scan(spark: SparkSession, root: str, rules: list[tuple[str, bool]] = ()) -> DataFrame:
+    """(path, size, mtime, hash, role, language, content) of the files under root; what doesn't count isn't read."""
+    return contents(spark, root, listing(spark, root, rules))
 
 
-def go_module(files: DataFrame) -> str | None:
-    """The module line of go.mod, of files (path, content): one row at most."""
-    row = files.where("path = 'go.mod'").select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("m")).first()
-    return row["m"] if row and row["m"] else None
+def ignore_file(root: str) -> list[tuple[str, bool]]:
+    """The rules of the tree's own ignore file; none without one."""
+    try:
+        with open(f"{root}/.gitignore", encoding="utf-8") as f:
+            return ignore_rules(f.read())
+    except OSError:
+        return []

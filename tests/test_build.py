@@ -1,177 +1,292 @@
 import os
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.plans import build, snapshot
-from loomgraph.plans.sync import classified
+from loomgraph.plans import build, snapshot, sync
 from loomgraph.sources import extract, gitlog, tree
 from loomgraph.streaming import changes
 
-TS = """import { Base } from './base.js'
+# Own sources: a small harbour in each language.
+TS = """import { Vessel } from './vessel.js'
 
-/** Greets someone by name. */
-export function greet(name: string): string {
-  return format(name)
+// Moors a boat at the quay.
+export function moor(boat: string): string {
+  return signal(boat)
 }
 
-export const helper = (x: number) => {
-  return x + 1
+export const toll = (tons: number) => {
+  return tons * 3
 }
 
-export class Widget extends Base implements Shape {
-  private count = 0
+export class Ferry extends Vessel implements Afloat {
+  private cars = 0
 
-  render(): void {
-    this.count++
-    helper(this.count)
-    const dn = new DataNode()
-    dn.serve()
+  sail(): void {
+    this.cars++
+    toll(this.cars)
+    const pilot = new Pilot()
+    pilot.guide()
+  }
+
+  load(
+    cars: number,
+    trucks: number,
+  ): void {
+    this.cars += cars
   }
 }
 
-export interface Shape {
-  area(): number
+export interface Afloat {
+  draught(): number
 }
 
-export type Size = { width: number }
+export type Berth = { length: number }
 
-export enum Color {
+export enum Flag {
   Red,
 }
 """
-PY = '''import os
-from .base import Base
+PY = '''import math
+from .vessel import Vessel
 
 
-def greet(name):
-    return format_name(name)
+def moor(boat):
+    return signal(boat)
 
 
-class Widget(Base):
-    def render(self):
-        helper(self.label)
-        dn.serve()
+class Ferry(Vessel):
+    class Deck:
+        def wash(self):
+            scrub()
 
+    def sail(
+        self,
+        speed,
+    ):
+        toll(speed)
+        pilot.guide()
 
-def _private():
+
+def _sink():
     pass
 '''
-GO = """package widget
+GO = """package harbour
 
 import (
-	"fmt"
-	"example.com/base"
+	"os"
+	"harbour.test/vessel"
 )
 
-type Widget struct {
-	Label string
+type Ferry struct {
+	Cars int
 }
 
-const MaxSize = 100
+const Berths = 12
 
-func NewWidget(label string) *Widget {
-	return build(label)
+func Launch(cars int) *Ferry {
+	return rig(cars)
 }
 
-func (w *Widget) Render() {
-	helper(w.Label)
+func (f *Ferry) Sail() {
+	toll(f.Cars)
 }
 """
-JAVA = """package com.example;
+JAVA = """package test.harbour;
+
+import test.harbour.vessel.Vessel;
+import test.harbour.crew.*;
+import static test.harbour.Tides.high;
 
-import com.example.base.Base;
-import com.example.wild.*;
-import static com.example.util.S.x;
+public class Ferry extends Vessel implements Afloat {
+    private int cars;
 
-public class Widget extends Base implements Shape {
-    private int count;
+    public void sail() {
+        Pilot.guide(cars);
+    }
 
-    public void render() {
-        Helper.assist(count);
+    class Deck {
+        void wash(
+                int times) {
+            scrub(times);
+        }
     }
 }
 """
-RUST = """use crate::base::Base;
+RUST = """use crate::vessel::Vessel;
 
-pub struct Widget {
-    pub label: String,
+pub struct Ferry {
+    pub cars: u32,
 }
 
-pub trait Renderer {
-    fn render(&self);
+pub trait Afloat {
+    fn draught(&self);
 }
 
-impl Renderer for Widget {
-    fn render(&self) {
-        helper(&self.label);
+impl Afloat for Ferry {
+    fn draught(&self) {
+        toll(&self.cars);
     }
 }
 """
 
 
 def test_extraction(spark):
-    files = spark.createDataFrame([("w.ts", "typescript", TS), ("w.py", "python", PY), ("w.go", "go", GO), ("W.java", "java", JAVA), ("w.rs", "rust", RUST)], "path string, language string, content string")
+    files = spark.createDataFrame([("f.ts", "typescript", TS), ("f.py", "python", PY), ("f.go", "go", GO), ("F.java", "java", JAVA), ("f.rs", "rust", RUST)], "path string, language string, content string")
     lines = extract.lines(files)
     found = extract.symbols(lines)
-    s = {(r.path, r.name, r.kind): r for r in found.collect()}
-    for want in [("w.ts", "greet", "function"), ("w.ts", "helper", "function"), ("w.ts", "Widget", "class"), ("w.ts", "render", "method"), ("w.ts", "Shape", "interface"), ("w.ts", "Size", "type"), ("w.ts", "Color", "enum"),
-                 ("w.py", "greet", "function"), ("w.py", "Widget", "class"), ("w.py", "render", "method"), ("w.go", "Widget", "struct"), ("w.go", "MaxSize", "constant"), ("w.go", "NewWidget", "function"), ("w.go", "Render", "method"),
-                 ("W.java", "Widget", "class"), ("W.java", "render", "method"), ("W.java", "count", "variable"), ("w.rs", "Widget", "struct"), ("w.rs", "Renderer", "trait"), ("w.rs", "render", "method")]:
-        assert want in s, want
-    assert s["w.ts", "render", "method"].parent_name == "Widget" and s["w.go", "Render", "method"].parent_name == "Widget" and s["W.java", "render", "method"].qualified_name == "Widget.render"
-    assert s["w.ts", "greet", "function"].exported and not s["w.py", "_private", "function"].exported and "Greets" in s["w.ts", "greet", "function"].doc
-    assert (s["w.ts", "greet", "function"].start_line, s["w.ts", "greet", "function"].end_line) == (4, 6)
+    rows = found.collect()
+    s = {(r.path, r.qualified_name, r.kind): (r.start_line, r.end_line) for r in rows}
+    assert s == {
+        ("f.ts", "moor", "function"): (4, 6), ("f.ts", "toll", "function"): (8, 10), ("f.ts", "Ferry", "class"): (12, 28), ("f.ts", "Ferry.sail", "method"): (15, 20), ("f.ts", "Ferry.load", "method"): (22, 27),
+        ("f.ts", "Afloat", "interface"): (30, 32), ("f.ts", "Berth", "type"): (34, 34), ("f.ts", "Flag", "enum"): (36, 38),
+        ("f.py", "moor", "function"): (5, 6), ("f.py", "Ferry", "class"): (9, 19), ("f.py", "Ferry.Deck", "class"): (10, 12), ("f.py", "Deck.wash", "method"): (11, 12), ("f.py", "Ferry.sail", "method"): (14, 19), ("f.py", "_sink", "function"): (22, 23),
+        ("f.go", "Ferry", "struct"): (8, 10), ("f.go", "Berths", "constant"): (12, 12), ("f.go", "Launch", "function"): (14, 16), ("f.go", "Ferry.Sail", "method"): (18, 20),
+        ("F.java", "Ferry", "class"): (7, 20), ("F.java", "Ferry.cars", "variable"): (8, 8), ("F.java", "Ferry.sail", "method"): (10, 12), ("F.java", "Ferry.Deck", "class"): (14, 19), ("F.java", "Deck.wash", "method"): (15, 18),
+        ("f.rs", "Ferry", "struct"): (3, 5), ("f.rs", "Afloat", "trait"): (7, 9), ("f.rs", "Afloat.draught", "method"): (8, 8), ("f.rs", "Ferry", "impl"): (11, 15), ("f.rs", "Ferry.draught", "method"): (12, 14),
+    }
+    by = {(r.path, r.name): r for r in rows}
+    assert by["f.ts", "moor"].exported and not by["f.py", "_sink"].exported and by["f.ts", "moor"].doc == "Moors a boat at the quay."
     refs = {(r.path, r.from_symbol, r.name, r.kind) for r in extract.references(lines, found).collect()}
-    for want in [("w.ts", "render", "helper", "calls"), ("w.ts", "greet", "format", "calls"), ("w.ts", "render", "serve", "calls"), ("w.ts", "Widget", "Base", "extends"), ("w.ts", "Widget", "Shape", "implements"),
-                 ("w.py", "render", "helper", "calls"), ("w.py", "Widget", "Base", "extends"), ("w.go", "Render", "helper", "calls"), ("W.java", "Widget", "Base", "extends"), ("w.rs", "render", "helper", "calls"), ("w.rs", "Widget", "Renderer", "implements")]:
-        assert want in refs, want
-    assert ("w.ts", "render", "dn", "calls") not in refs
+    assert refs >= {
+        ("f.ts", "sail", "toll", "calls"), ("f.ts", "moor", "signal", "calls"), ("f.ts", "sail", "guide", "calls"), ("f.ts", "Ferry", "Vessel", "extends"), ("f.ts", "Ferry", "Afloat", "implements"),
+        ("f.py", "sail", "toll", "calls"), ("f.py", "wash", "scrub", "calls"), ("f.py", "Ferry", "Vessel", "extends"), ("f.go", "Sail", "toll", "calls"), ("F.java", "sail", "guide", "calls"), ("F.java", "wash", "scrub", "calls"),
+        ("F.java", "Ferry", "Vessel", "extends"), ("f.rs", "draught", "toll", "calls"), ("f.rs", "Ferry", "Afloat", "implements"),
+    }
+    assert not any(name == "pilot" for _, _, name, _ in refs)
     raws = {(r.path, r.raw) for r in extract.imports(files).collect()}
-    assert {("w.ts", "./base.js"), ("w.py", ".base"), ("w.py", "os"), ("w.go", "fmt"), ("w.go", "example.com/base"), ("W.java", "com.example.base.Base"), ("W.java", "com.example.wild.*"), ("w.rs", "crate::base::Base")} <= raws
-    assert all("static" not in raw and "S.x" not in raw for _, raw in raws)
+    assert raws == {("f.ts", "./vessel.js"), ("f.py", ".vessel"), ("f.py", "math"), ("f.go", "os"), ("f.go", "harbour.test/vessel"), ("F.java", "test.harbour.vessel.Vessel"), ("F.java", "test.harbour.crew.*"), ("f.rs", "crate::vessel::Vessel")}
 
 
-def _repo(root):
-    files = {"src/main.ts": "import { helper } from './helper'\n\nexport function main() {\n  helper()\n  lost()\n}\n", "src/helper.ts": "export function helper() {\n  return 1\n}\n", "src/helper.test.ts": "import { helper } from './helper'\nhelper()\n", "README.md": "# Demo\n\nSee `src/main.ts` and `helper`.\n", "ignored/x.ts": "export function x() {\n}\n", "dist/y.ts": "export function y() {\n}\n", "z.generated.ts": "export function z() {\n}\n", ".gitignore": "ignored/\n*.generated.ts\n"}
+def _write(root, files):
     for path, body in files.items():
         os.makedirs(os.path.dirname(root / path), exist_ok=True)
         (root / path).write_text(body)
 
 
+QUAY = "import { crane } from './crane'\n\nexport function quay() {\n  crane()\n  lost()\n}\n"
+CRANE = "export function crane() {\n  return 1\n}\n"
+TREE = {
+    "src/quay.ts": QUAY, "src/crane.ts": CRANE, "src/crane.test.ts": "import { crane } from './crane'\ncrane()\n", "README.md": "# Port\n\nSee `src/quay.ts` and `crane`.\n",
+    "skipped/x.ts": "export function x() {\n}\n", "dist/y.ts": "export function y() {\n}\n", "z.generated.ts": "export function z() {\n}\n", ".gitignore": "skipped/\n*.generated.ts\n",
+}
+
+
+def _pairs(nodes, edges):
+    names = nodes.select("id", "name")
+    both = edges.join(names.withColumnsRenamed({"id": "src", "name": "a"}), "src").join(names.withColumnsRenamed({"id": "dst", "name": "b"}), "dst")
+    return {(r.a, r.b, r.kind) for r in both.collect()}
+
+
 def test_build_publish_and_rebuild(spark, tmp_path):
     root = tmp_path / "repo"
     root.mkdir()
-    _repo(root)
+    _write(root, TREE)
     git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@x", *a], check=True, capture_output=True)
     git("init", "-q")
     for i in range(3):
-        (root / "src/main.ts").write_text((root / "src/main.ts").read_text() + f"// {i}\n")
-        (root / "src/helper.ts").write_text((root / "src/helper.ts").read_text() + f"// {i}\n")
+        for name in ("quay", "crane"):
+            (root / f"src/{name}.ts").write_text((root / f"src/{name}.ts").read_text() + f"// {i}\n")
         git("add", "-A")
-        git("commit", "-qm", f"feat(core): step {i}")
+        git("commit", "-qm", f"feat(dock): step {i}")
     log = tmp_path / "log"
     assert gitlog.export_log(str(root), str(log)) and len(gitlog.head(str(root))) == 40
     commits = gitlog.read_log(spark, f"file://{log}")
     assert commits.count() == 3
-    files = tree.scan(spark, str(root), tree.ignore_rules((root / ".gitignore").read_text()))
-    assert sorted(r.path for r in files.collect()) == ["README.md", "src/helper.test.ts", "src/helper.ts", "src/main.ts"]
+    files = tree.scan(spark, str(root), tree.ignore_file(str(root)))
+    assert sorted(r.path for r in files.collect()) == ["README.md", "src/crane.test.ts", "src/crane.ts", "src/quay.ts"]
     g = build.build(files, commits=commits)
-    nodes, edges = g.nodes, g.edges
-    assert nodes.count() == nodes.select("id").distinct().count()
-    names = nodes.select("id", "name")
-    pairs = edges.join(names.withColumnsRenamed({"id": "src", "name": "a"}), "src").join(names.withColumnsRenamed({"id": "dst", "name": "b"}), "dst")
-    got = {(r.a, r.b, r.kind) for r in pairs.collect()}
-    assert {("src/main.ts", "src/helper.ts", "imports"), ("main", "helper", "calls"), ("src/main.ts", "main", "contains"), ("src/helper.test.ts", "src/helper.ts", "tests"), ("Demo", "src/main.ts", "mentions"), ("Demo", "helper", "mentions")} <= got
-    assert ("src/main.ts", "core", "in_feature") in got and any(k == "co_change" for _, _, k in got) and any(k == "touched_by" for _, _, k in got)
-    assert [r.name for r in g.pending.where("kind = 'calls'").collect()] == ["lost"]
+    assert g.nodes.count() == g.nodes.select("id").distinct().count()
+    kinds = {r.kind: r["count"] for r in g.nodes.groupBy("kind").count().collect()}
+    assert kinds == {"file": 3, "symbol": 2, "doc": 1, "commit": 3, "feature": 1}
+    got = _pairs(g.nodes, g.edges)
+    code = {x for x in got if x[2] not in ("touched_by", "in_feature", "co_change")}
+    assert code == {
+        ("src/quay.ts", "src/crane.ts", "imports"), ("src/crane.test.ts", "src/crane.ts", "imports"), ("quay", "crane", "calls"), ("src/crane.test.ts", "crane", "calls"), ("src/quay.ts", "quay", "contains"), ("src/crane.ts", "crane", "contains"),
+        ("src/crane.test.ts", "src/crane.ts", "tests"), ("src/crane.test.ts", "crane", "tests"), ("Port", "src/quay.ts", "mentions"), ("Port", "crane", "mentions"),
+    }
+    assert {x[:2] for x in got if x[2] == "co_change"} in ({("src/quay.ts", "src/crane.ts")}, {("src/crane.ts", "src/quay.ts")})
+    assert {x[:2] for x in got if x[2] == "in_feature" and x[0].startswith("src")} == {("src/quay.ts", "dock"), ("src/crane.ts", "dock")}
+    assert sum(x[2] == "touched_by" for x in got) == 7  # two files in three commits, the test in the first
+    assert [(r.name, r.kind) for r in g.pending.collect()] == [("lost", "calls")]
     store = f"file://{tmp_path}/store"
     assert snapshot.current(spark, store) is None
-    first = snapshot.publish(spark, store, {"nodes": nodes, "edges": edges})
+    first = snapshot.publish(spark, store, {"nodes": g.nodes, "edges": g.edges})
     ids = {r.id for r in snapshot.table(spark, store, "nodes").collect()}
-    again = build.build(tree.scan(spark, str(root), tree.ignore_rules("ignored/\n*.generated.ts\n")), commits=commits)
+    again = build.build(tree.scan(spark, str(root), tree.ignore_rules("skipped/\n*.generated.ts\n")), commits=commits)
     assert {r.id for r in again.nodes.collect()} == ids  # an unchanged tree keeps its ids
-    assert snapshot.publish(spark, store, {"nodes": again.nodes}) != first and snapshot.current(spark, store)["version"] != first
+    for k in range(3):
+        assert snapshot.publish(spark, store, {"nodes": again.nodes.limit(1)}) != first and snapshot.current(spark, store)["number"] == k + 2
+    assert len([d for d in os.listdir(tmp_path / "store") if d != "_pointers"]) == 2  # the current version and one before
+
+
+def _same(a, b):
+    for x, y in ((a.nodes, b.nodes), (a.edges, b.edges), (a.pending, b.pending)):
+        columns = sorted(x.columns)
+        assert sorted(map(str, x.select(columns).collect())) == sorted(map(str, y.select(columns).collect()))
+
+
+@pytest.fixture(scope="module")
+def port(spark, tmp_path_factory):
+    """A tree and its store, and what brings the store up to date and compares it with a full build."""
+    root, store = tmp_path_factory.mktemp("port"), f"file://{tmp_path_factory.mktemp('store')}/s"
+    _write(root, TREE)
+    rules = tree.ignore_file(str(root))
+    sync.full(spark, store, tree.scan(spark, str(root), rules))
+
+    def up(files, gone=(), compare=False):
+        _write(root, files)
+        for path in gone:
+            os.remove(root / path)
+        out = sync.sync(spark, str(root), store, rules)
+        if compare:
+            _same(build.Graph(*[snapshot.table(spark, store, t) for t in ("nodes", "edges", "pending_refs")]), build.build(tree.scan(spark, str(root), rules)))
+        return out, {(r.name, r.change) for r in out.symbols.collect()} if out.symbols is not None else set(), [r.asDict() for r in out.findings.collect()] if out.findings is not None else []
+
+    return up
+
+
+def test_sync_without_changes_reads_nothing(spark, port):
+    out, _, _ = port({})
+    assert out.counts == {"listed": 4, "read": 0, "indexed": 0, "deleted": 0} and out.version is None
+
+
+def test_sync_adds_a_symbol(spark, port):
+    out, symbols, findings = port({"src/crane.ts": CRANE + "\nexport function winch() {\n  return 7\n}\n"})
+    assert out.counts["indexed"] == 1 and symbols == {("winch", "added")} and findings == []
+
+
+def test_sync_of_a_touched_file_loses_no_caller(spark, port):
+    """Lines move and a caller within the file stays: nothing dangles."""
+    out, symbols, findings = port({"src/crane.ts": "// above\n" + CRANE + "\nexport function winch() {\n  return crane()\n}\n"})
+    assert symbols == set() and findings == []
+
+
+def test_sync_of_a_renamed_symbol(spark, port):
+    _, symbols, findings = port({"src/crane.ts": CRANE.replace("crane", "hoist") + "\nexport function winch() {\n  return hoist()\n}\n"})
+    assert symbols == {("crane", "removed"), ("hoist", "added")}
+    assert {f["file_path"] for f in findings if f["kind"] == "stale_caller"} >= {"src/quay.ts"}
+    assert any(f["kind"] == "dangling_reference" for f in findings)
+
+
+def test_sync_resolves_pending_references_and_deletes_files(spark, port):
+    _, symbols, _ = port({"src/lost.ts": "export function lost() {\n}\n", "src/crane.ts": CRANE}, compare=True)
+    assert ("lost", "added") in symbols
+    out, symbols, findings = port({}, ["src/crane.ts"], compare=True)
+    assert out.counts["deleted"] == 1 and symbols == {("crane", "removed")} and any(f["kind"] == "stale_caller" for f in findings)
+
+
+def test_change_feed_keeps_the_graph(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    rows = [("src/quay.ts", QUAY), ("src/crane.ts", CRANE)]
+    files = tree.kept(spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, size long, content string")).withColumn("language", F.lit("typescript")).withColumn("hash", F.sha2("content", 256)).withColumn("mtime", F.lit(0).cast("long"))
+    sync.full(spark, store, files)
+    feed = spark.createDataFrame([("src/crane.ts", 1, "nothing"), ("src/crane.ts", 3, CRANE.replace("crane", "hoist")), ("src/quay.ts", 2, None)], "path string, seq long, content string")
+    feed.write.parquet(str(tmp_path / "feed"))
+    changes.apply_changes(spark.readStream.schema(feed.schema).parquet(str(tmp_path / "feed")), sync.applied(spark, store), str(tmp_path / "cp")).awaitTermination(120)
+    nodes = snapshot.table(spark, store, "nodes")
+    assert {r.name for r in nodes.collect()} == {"src/crane.ts", "hoist"}
 
 
 def test_ignore_rules(spark):
@@ -184,7 +299,7 @@ def test_ignore_rules(spark):
 def test_classified(spark):
     a = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, hash string")
     b = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, hash string")
-    assert {r.path: r.state for r in classified(a, b).collect()} == {"a": "same", "b": "changed", "c": "deleted", "d": "new"}
+    assert {r.path: r.state for r in sync.classified(a, b).collect()} == {"a": "same", "b": "changed", "c": "deleted", "d": "new"}
 
 
 def test_change_feed(spark, tmp_path):
