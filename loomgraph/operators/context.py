@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import schema
@@ -49,7 +49,7 @@ def files(nodes: DataFrame, reached: DataFrame, start: DataFrame) -> DataFrame:
 def tiered(found: DataFrame, anchor: str) -> DataFrame:
     """Ranked files with position and part 1 (the first CORE), 2 (the next NEXT) or 3."""
     rows = rank.rank(found, F.lit(""), F.lit(anchor), keep_own=True)
-    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(*rank.order())))
+    rows = rank.placed(rows, rank.order())
     return rows.withColumn("part", F.when(F.col("position") <= CORE, 1).when(F.col("position") <= CORE + NEXT, 2).otherwise(3))
 
 

@@ -44,10 +44,10 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int =
     files = impacted_files(nodes, edges, targets, depth).withColumnRenamed("hit_count", "refs")
     subject = targets.select("id").join(nodes, "id").select(F.col("id").alias("target_id"), F.coalesce("file_path", F.lit("")).alias("subject"), F.col("name").alias("anchor"))
     rows = files.join(subject, "target_id")
-    own = rank.rank(rows.where("file_path = subject"), F.lit(""), F.col("anchor"), weights)
-    other = rank.rank(rows.where("file_path <> subject"), F.col("subject"), F.col("anchor"), weights)
+    # The target's own file has no subject to be compared with, so that it is neither left out nor of its own package.
+    beside = F.when(F.col("file_path") == F.col("subject"), "").otherwise(F.col("subject"))
     w = Window.partitionBy("target_id").orderBy(*rank.order())
-    return other.unionByName(own).withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("subject", "anchor")
+    return rank.rank(rows, beside, F.col("anchor"), weights).withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("subject", "anchor")
 
 
 def cochanges_of(files: DataFrame, nodes: DataFrame, edges: DataFrame, top_files: int = 5, per_file: int = 5) -> DataFrame:

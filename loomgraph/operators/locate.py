@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators.search import search
+from loomgraph.scratch import written
 
 LIMIT = 20
 
@@ -32,8 +33,11 @@ def resolve(nodes: DataFrame, asked: DataFrame, limit: int = LIMIT) -> DataFrame
     cut = Window.partitionBy("query_id", "tier").orderBy("ord")
     named = named.withColumn("n", F.row_number().over(cut)).where(F.col("n") <= limit)
     named = named.withColumn("position", F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(*best_first())))
-    terms = asked.select("query_id", text.search_terms("asked").alias("terms"))
+    named = written(named.select("query_id", "tier", "position", "id"), "named")
+    # Only what has no name and no path is searched for.
+    rest = asked.join(named.select("query_id").distinct(), "query_id", "left_anti")
+    terms = rest.select("query_id", text.search_terms("asked").alias("terms"))
     hits = search(nodes, terms, limit=limit).select("query_id", F.lit(3).alias("tier"), "position", F.col("node_id").alias("id"))
-    rows = named.select("query_id", "tier", "position", "id").unionByName(hits)
+    rows = named.unionByName(hits)
     first = rows.groupBy("query_id").agg(F.min("tier").alias("tier"))
     return rows.join(first, ["query_id", "tier"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.scratch import written
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,23 @@ def rank(candidates: DataFrame, subject_file: Column, anchor: Column, weights: W
     return rows.withColumn("score", score.cast("long")).withColumn("tier", tier)
 
 
+def placed(rows: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """rows with their number, from 1, in a total order, without taking all of them through one task.
+
+    They are range-partitioned by the order and numbered within partitions; each partition then adds how
+    many rows come before it, of which the driver sees one number per partition.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_id", 33)
+    counts = sorted((r["part"], r["n"]) for r in each.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, sum(n for q, n in counts if q < p)) for p, _ in counts]
+    starts = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))  # one row per partition
+    out = each.join(starts, part == F.col("_part"))
+    return out.withColumn(position, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_id", "_part", "_before")
+
+
 def order() -> list[Column]:
     """The order of ranked files."""
     return [F.desc("score"), F.desc("refs"), F.asc("file_path")]

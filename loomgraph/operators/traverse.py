@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import of_kind
+from loomgraph.scratch import written
 
 
 def steps(edges: DataFrame, direction: str, kinds: list[str] | None) -> DataFrame:
@@ -20,17 +21,17 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "in",
     """(root_id, node_id, depth, parent_id) for the nodes first reached from each root (root_id), roots left out.
 
     A level joins its frontier to the moves, keeps the least parent of a node, and drops what the root
-    has seen. The number of levels is the caller's small bound, so the plan is unrolled; Spark chooses
-    how to join each level by the frontier's size.
+    has seen. Each level's frontier is a written table, so that no level plans or runs those before it
+    again; Spark chooses how to join each level by the frontier's size.
     """
-    moves = steps(edges, direction, kinds)
+    moves = written(steps(edges, direction, kinds), "moves")
     start = roots.select("root_id").distinct()
     seen = start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_id"))
     frontier = seen
     for level in range(1, depth + 1):
         reached = frontier.join(moves, frontier["node_id"] == moves["at"]).groupBy("root_id", F.col("next").alias("node_id")).agg(F.min("at").alias("parent_id"))
         new = reached.join(seen.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
-        frontier = new.select("root_id", "node_id", F.lit(level).alias("depth"), "parent_id")
+        frontier = written(new.select("root_id", "node_id", F.lit(level).alias("depth"), "parent_id"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -40,7 +41,7 @@ def callers(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1
 
     The path runs from the hit to the root for callers, from the root to the hit for callees.
     """
-    moves = steps(edges, direction, ["calls"])
+    moves = written(steps(edges, direction, ["calls"]), "moves")
     names = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("ord").alias("node_ord"))
     first = roots.select("root_id").distinct().join(names, F.col("root_id") == F.col("node_id"))
     seen = first.select("root_id", "node_id", F.lit(0).alias("depth"), F.array("symbol").alias("via_path"), F.array(F.lit(0).cast("long")).alias("visit"), "symbol", "file", "line")
@@ -51,7 +52,7 @@ def callers(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1
         path = F.concat(F.array("symbol"), "via_path") if direction == "in" else F.concat("via_path", F.array("symbol"))
         row = F.struct(F.concat("visit", F.array("node_ord")).alias("visit"), path.alias("via_path"), "symbol", "file", "line")
         best = new.groupBy("root_id", "node_id").agg(F.min_by(row, "visit").alias("r"))
-        frontier = best.select("root_id", "node_id", F.lit(level).alias("depth"), "r.via_path", "r.visit", "r.symbol", "r.file", "r.line")
+        frontier = written(best.select("root_id", "node_id", F.lit(level).alias("depth"), "r.via_path", "r.visit", "r.symbol", "r.file", "r.line"), "frontier")
         seen = seen.unionByName(frontier)
     visited = Window.partitionBy("root_id").orderBy("depth", "visit")
     hits = seen.where("depth > 0").withColumn("_n", F.row_number().over(visited)).where(F.col("_n") <= limit)
@@ -68,7 +69,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4, kinds: lis
     Walks from both ends half the way each and meets in the middle, so that neither walk covers the
     far neighbourhood; of equal paths the least is taken. Pairs without a path are missing.
     """
-    moves = steps(edges, "both", kinds)
+    moves = written(steps(edges, "both", kinds), "moves")
 
     def half(end: str, levels: int) -> DataFrame:
         seen = pairs.select("pair_id", F.col(end).alias("node_id"), F.lit(0).alias("depth"), F.array(end).alias("path"))
@@ -76,7 +77,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4, kinds: lis
         for level in range(1, levels + 1):
             reached = frontier.join(moves, frontier["node_id"] == moves["at"]).groupBy("pair_id", F.col("next").alias("node_id")).agg(F.min("path").alias("path"))
             new = reached.join(seen.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
-            frontier = new.select("pair_id", "node_id", F.lit(level).alias("depth"), F.concat("path", F.array("node_id")).alias("path"))
+            frontier = written(new.select("pair_id", "node_id", F.lit(level).alias("depth"), F.concat("path", F.array("node_id")).alias("path")), "frontier")
             seen = seen.unionByName(frontier)
         return seen
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import audit, context, docs, graph, history, impact, locate, rank, resolve, search, traverse
+from loomgraph.scratch import written
 from loomgraph.sources import star
 from loomgraph.sources.star import COMMIT, DOC, SYMBOL
 
@@ -30,7 +31,8 @@ def query(sql: str | None = None, prelude: bool = True):
 
 
 def _g(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return star.nodes(spark, d), star.edges(spark, d)
+    """The graph as written tables, as a build leaves it: queries don't derive it again."""
+    return written(star.nodes(spark, d), "nodes"), written(star.edges(spark, d), "edges")
 
 
 def _roots(nodes: DataFrame) -> DataFrame:
@@ -183,17 +185,51 @@ def nodes_for_file(spark: SparkSession, d: str) -> DataFrame:
     return star.nodes(spark, d).select("file_path", "id", "start_line", F.row_number().over(w).alias("position"))
 
 
+#: Every hundredth part's name is a query.
+ASKED = "select distinct query_id, prefix from (select p_partkey as query_id, unnest(string_split(p_name, ' ')) as prefix from part where p_partkey % 100 = 0)"
+
+
+def _fts_sql(group: str = "", asked: str = ASKED) -> str:
+    """BM25 over part names for asked (query_id, prefix); every text has its tokens in four columns."""
+    own = f"{group}, " if group else ""
+    return f""", asked as ({asked}),
+  texts as (select id as node_id, repo_id, kind, name, qualified_name, doc, string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ') as words from nodes),
+  cut as (
+    select node_id, repo_id, kind, unnest(string_split_regex(lower(name), '[^a-z0-9_$]+')) as term, 10.0 as w from texts
+    union all select node_id, repo_id, kind, unnest(string_split_regex(lower(coalesce(qualified_name, '')), '[^a-z0-9_$]+')), 5.0 from texts
+    union all select node_id, repo_id, kind, term, 8.0 from (select distinct node_id, repo_id, kind, lower(u) as term from (select node_id, repo_id, kind, unnest(words) as u from texts) where length(u) > 1)
+    union all select node_id, repo_id, kind, unnest(string_split_regex(lower(coalesce(doc, '')), '[^a-z0-9_$]+')), 1.0 from texts),
+  tokens as (select * from cut where term <> ''),
+  sizes as (select node_id, repo_id, kind, count(*) as len from tokens group by 1, 2, 3),
+  totals as (select {own}count(*) as n_rows, avg(len) as mean from sizes {'group by ' + group if group else ''}),
+  freq as (select query_id, prefix, node_id, repo_id, sum(w) as f from tokens join asked on starts_with(term, prefix) group by 1, 2, 3, 4),
+  held as (select query_id, prefix, {own}count(*) as n from freq group by query_id, prefix {', ' + group if group else ''}),
+  scored as (select f.query_id, f.node_id, f.repo_id, s.kind, sum(case when ln((n_rows - n + 0.5) / (n + 0.5)) > 0 then ln((n_rows - n + 0.5) / (n + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) as score
+    from freq f join held h on h.query_id = f.query_id and h.prefix = f.prefix {f'and h.{group} = f.{group}' if group else ''} join totals t on {f't.{group} = f.{group}' if group else 'true'} join sizes s on s.node_id = f.node_id group by 1, 2, 3, 4)"""
+
+
 @query(
     f""", asked as (select id, name from symbols where (id - {SYMBOL}) % 100 = 0 union all select id, file_path from files where id % 10 = 0)
 select a.id as query_id, case when n.kind = 'symbol' then 1 else 2 end as tier, n.id from asked a join nodes n on n.name = a.name or n.qualified_name = a.name or (n.kind = 'file' and n.file_path = a.name)"""
 )
 def resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
-    nodes = star.nodes(spark, d)
+    nodes = written(star.nodes(spark, d), "nodes")
     asked = nodes.where(f"(kind = 'symbol' and (id - {SYMBOL}) % 100 = 0) or (kind = 'file' and id % 10 = 0)")
     asked = asked.select(F.col("id").alias("query_id"), F.when(F.col("kind") == "symbol", F.col("name")).otherwise(F.col("file_path")).alias("name"))
     return locate.resolve(nodes, asked).select("query_id", "tier", "id")
 
 
+@query(
+    _fts_sql("", f"select p_partkey + {SYMBOL} as query_id, unnest(string_split(p_name, ' ')) as prefix from part where p_partkey % 100 = 50")
+    + "select query_id, 3 as tier, least(count(*), 20) as hits from scored group by 1"
+)
+def resolve_search(spark: SparkSession, d: str) -> DataFrame:
+    """Names that no node has, each a part's two words: they are searched for."""
+    nodes = written(star.nodes(spark, d), "nodes")
+    asked = star.table(spark, d, "part").where("p_partkey % 100 = 50").select((F.col("p_partkey") + SYMBOL).alias("query_id"), F.col("p_name").alias("name"))
+    return locate.resolve(nodes, asked).groupBy("query_id", "tier").agg(F.count("*").alias("hits"))
+
+
 @query(
     """, words as (select distinct p_name as w from part), exact as (select w.w, n.id, n.exported, length(n.qualified_name) as size, n.ord from words w join named p on p.p_name = w.w join symbols n on n.name = p.name)
 select w, id, position from (select w, id, row_number() over (partition by w order by exported desc, size, ord) as position from exact) where position <= 20"""
@@ -205,37 +241,18 @@ def pick_best(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("w").orderBy(*locate.best_first()))).where("position <= 20").select("w", "id", "position")
 
 
-def _fts_sql(group: str = "") -> str:
-    """BM25 over part names; every text has its tokens in four columns."""
-    own = f"{group}, " if group else ""
-    return f""", asked(query_id, prefix) as (values (0, 'small'), (0, 'ring'), (1, 'gear'), (1, 'brand'), (2, 'econ')),
-  texts as (select id as node_id, repo_id, kind, name, qualified_name, doc, string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ') as words from nodes),
-  cut as (
-    select node_id, repo_id, kind, unnest(string_split_regex(lower(name), '[^a-z0-9_$]+')) as term, 10.0 as w from texts
-    union all select node_id, repo_id, kind, unnest(string_split_regex(lower(coalesce(qualified_name, '')), '[^a-z0-9_$]+')), 5.0 from texts
-    union all select node_id, repo_id, kind, term, 8.0 from (select distinct node_id, repo_id, kind, lower(u) as term from (select node_id, repo_id, kind, unnest(words) as u from texts) where length(u) > 1)
-    union all select node_id, repo_id, kind, unnest(string_split_regex(lower(coalesce(doc, '')), '[^a-z0-9_$]+')), 1.0 from texts),
-  tokens as (select * from cut where term <> ''),
-  sizes as (select node_id, repo_id, kind, count(*) as len from tokens group by 1, 2, 3),
-  totals as (select {own}count(*) as n_rows, avg(len) as mean from sizes {'group by ' + group if group else ''}),
-  freq as (select query_id, prefix, node_id, repo_id, sum(w) as f from tokens join asked on starts_with(term, prefix) group by 1, 2, 3, 4),
-  held as (select query_id, prefix, {own}count(*) as n from freq group by query_id, prefix {', ' + group if group else ''}),
-  scored as (select f.query_id, f.node_id, f.repo_id, s.kind, sum(case when ln((n_rows - n + 0.5) / (n + 0.5)) > 0 then ln((n_rows - n + 0.5) / (n + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) as score
-    from freq f join held h on h.query_id = f.query_id and h.prefix = f.prefix {f'and h.{group} = f.{group}' if group else ''} join totals t on {f't.{group} = f.{group}' if group else 'true'} join sizes s on s.node_id = f.node_id group by 1, 2, 3, 4)"""
-
-
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.sql("select * from values (0, array('small', 'ring')), (1, array('gear', 'brand')), (2, array('econ')) as t(query_id, terms)")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return star.table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), text.search_terms("p_name").alias("terms"))
 
 
 @query(_fts_sql() + "select query_id, node_id, kind, round(score, 6) as score from scored")
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.indexed(star.nodes(spark, d)), _asked(spark)).select("query_id", "node_id", "kind", _r("score"))
+    return search.bm25(search.indexed(star.nodes(spark, d)), _asked(spark, d)).select("query_id", "node_id", "kind", _r("score"))
 
 
 @query(_fts_sql() + "select query_id, position, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, node_id) as position from scored where kind = 'symbol') where position <= 20")
 def fts_top20(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(star.nodes(spark, d), _asked(spark), ["symbol"]).select("query_id", "position", _r("score"))
+    return search.search(star.nodes(spark, d), _asked(spark, d), ["symbol"]).select("query_id", "position", _r("score"))
 
 
 @query(
@@ -244,7 +261,7 @@ def fts_top20(spark: SparkSession, d: str) -> DataFrame:
 select query_id, position, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, repo_id, node_id) as position from own where n <= 20) where position <= 20"""
 )
 def fts_federated(spark: SparkSession, d: str) -> DataFrame:
-    return search.federated_search(star.nodes(spark, d), _asked(spark)).select("query_id", "position", _r("score"))
+    return search.federated_search(star.nodes(spark, d), _asked(spark, d)).select("query_id", "position", _r("score"))
 
 
 @query(
@@ -462,14 +479,15 @@ def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f""", gone as (select id from nodes where file_path in (select file_path from files where id % 10 = 0))
-select 'nodes' as what, count(*) as n from nodes where id not in (select id from gone) union all select 'edges', count(*) from edges where src not in (select id from gone) and dst not in (select id from gone)""")
+select 'nodes' as what, count(*) as n from nodes where id not in (select id from gone) union all select 'edges', count(*) from edges where src not in (select id from gone) and dst not in (select id from gone)
+union all select 'pending', count(*) from symbols where id % 3 = 0 and id not in (select id from gone)""")
 def delete_subgraph(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _g(spark, d)
     paths = nodes.where("kind = 'file' and id % 10 = 0").select("file_path")
     gone = nodes.join(paths, "file_path", "left_semi").select("id")
-    pending = edges.select(F.lit(0).cast("long").alias("repo_id"), F.col("src").alias("src_node"), F.lit("x").alias("name"), "kind").limit(0)
-    left, kept, _ = graph.delete_nodes(nodes, edges, pending, gone)
-    return left.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n").unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
+    pending = nodes.where("kind = 'symbol' and id % 3 = 0").select("repo_id", F.col("id").alias("src_node"), "name", F.lit("calls").alias("kind"))
+    told = [rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, rows in zip(("nodes", "edges", "pending"), graph.delete_nodes(nodes, edges, pending, gone))]
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
 @query("select kind as metric, count(*) as n from nodes group by 1 union all select 'nodes', count(*) from nodes union all select 'edges', count(*) from edges")
@@ -575,11 +593,11 @@ def _refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     files = star.file_nodes(spark, d).select("id", F.col("file_path").alias("from_file"))
     line = star.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("id"))
     refs = line.join(names, "p_partkey").select("id", "name").distinct().join(files, "id").select(F.struct("name", "from_file").alias("ref_id"), "name", "from_file", F.lit("typescript").alias("language"), F.lit(None).cast("string").alias("package"))
-    own = star.symbol_nodes(spark, d).select((F.col("id") - SYMBOL).alias("p_partkey"), F.col("id").alias("node_id"), "file_path", "subkind", "ord")
+    own = written(star.symbol_nodes(spark, d), "symbols").select((F.col("id") - SYMBOL).alias("p_partkey"), F.col("id").alias("node_id"), "file_path", "subkind", "ord")
     symbols = own.join(names, "p_partkey").select("node_id", "name", "file_path", "subkind", F.concat(F.lit("x."), "name").alias("qualified_name"), F.lit(None).cast("string").alias("package"), "ord")
     pairs = history.mine_cochanges(star.changes(spark, d), **star.COCHANGE)
     imported = pairs.join(files.withColumnsRenamed({"id": "file_a"}), "file_a").join(files.withColumnsRenamed({"id": "file_b", "from_file": "to_file"}), "file_b").select("from_file", "to_file")
-    return refs, symbols, imported
+    return written(refs, "refs"), written(symbols, "named"), written(imported, "imported")
 
 
 @query(HOME_REFS + "select name, from_file, tier, target from solved where target is not null")
@@ -587,6 +605,35 @@ def ref_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolve.references(*_refs(spark, d)).select("ref_id.name", "ref_id.from_file", "tier", "target")
 
 
+SCOPED_REFS = HOME_REFS + """,
+  placed as (select r.*, case when f.id % 3 = 0 then 'go' when f.id % 3 = 1 then 'java' else 'typescript' end as lang, 'p' || (f.id % 4) as pkg from refs r join files f on f.file_path = r.from_file),
+  homes2 as (select k.*, 'p' || (f.id % 4) as pkg, k.ord % 2 = 0 as top from known k join files f on f.file_path = k.file_path),
+  flagged as (select r.name, r.from_file, k.node_id, k.ord, k.file_path = r.from_file as own, i.to_file is not null as imp, k.dir = r.dir as near, r.lang = 'java' and k.pkg = r.pkg as pkg, i.to_file is not null and k.top as top,
+    i.to_file is not null or (r.lang = 'java' and k.pkg = r.pkg) or (r.lang = 'go' and k.dir = r.dir) as scope from placed r join homes2 k on k.name = r.name left join imported i on i.from_file = r.from_file and i.to_file = k.file_path),
+  counted as (select name, from_file, count(*) filter (where own) as n_own, min_by(node_id, ord) filter (where own) as own, count(*) filter (where scope) as n_scope, max(node_id) filter (where scope) as v_scope,
+    count(*) filter (where imp) as n_imp, max(node_id) filter (where imp) as v_imp, count(*) filter (where top) as n_top, max(node_id) filter (where top) as v_top, count(*) filter (where pkg) as n_pkg, max(node_id) filter (where pkg) as v_pkg,
+    count(*) filter (where scope and near) as n_in, max(node_id) filter (where scope and near) as v_in, count(*) as n, max(node_id) as v_any, count(*) filter (where near) as n_dir, max(node_id) filter (where near) as v_dir from flagged group by 1, 2)
+"""
+
+
+@query(
+    SCOPED_REFS
+    + """select name, from_file, tier, target from (select name, from_file, case when n_own > 0 then 1 when n_scope > 0 then 2 else 3 end as tier,
+    case when n_own > 0 then own when n_scope > 0 then case when n_scope = 1 then v_scope when n_imp = 1 then v_imp when n_top = 1 then v_top when n_pkg = 1 then v_pkg when n_in = 1 then v_in end
+      when n = 1 then v_any when n_dir = 1 then v_dir end as target from counted) where target is not null"""
+)
+def ref_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """The same references, as if a third of the files were Go and a third Java, with packages and top-level names."""
+    refs, symbols, imported = _refs(spark, d)
+    homes = star.file_nodes(spark, d).select(F.col("file_path"), F.col("id").alias("fid"))
+    package = F.concat(F.lit("p"), F.col("fid") % 4).alias("package")
+    language = F.when(F.col("fid") % 3 == 0, "go").when(F.col("fid") % 3 == 1, "java").otherwise("typescript").alias("language")
+    refs = refs.drop("language", "package").join(homes.withColumnRenamed("file_path", "from_file"), "from_file").select("ref_id", "name", "from_file", language, package)
+    top = F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("x."), "name")).alias("qualified_name")
+    symbols = symbols.drop("qualified_name", "package").join(homes, "file_path").select("node_id", "name", "file_path", "subkind", top, package, "ord")
+    return resolve.references(refs, symbols, imported).select("ref_id.name", "ref_id.from_file", "tier", "target")
+
+
 @query(
     HOME_REFS
     + """, again as (select name, from_file, count(*) as n, max(node_id) as any_id, count(*) filter (where near) as nd, max(node_id) filter (where near) as local from cand group by 1, 2)
@@ -653,7 +700,7 @@ def context_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _fts_sql()
+    _fts_sql("", "select * from (values (0, 'small'), (0, 'ring')) as t(query_id, prefix)")
     + """, hits as (select node_id as id, row_number() over (order by score desc, node_id) as position from scored where query_id = 0), ex as (select id from nodes where name = 'small ring')
 select h.id from hits h join nodes n on n.id = h.id where position <= 12 and n.file_path not like '%/test/%'"""
 )
@@ -667,7 +714,7 @@ select short_sha, file_path, subject from (select *, row_number() over (order by
 )
 def context_commits(spark: SparkSession, d: str) -> DataFrame:
     files, commits = star.file_nodes(spark, d), star.commits(spark, d)
-    core = files.where("id % 10 = 0").select("file_path", F.row_number().over(Window.orderBy("id")).alias("position"))
+    core = rank.placed(files.where("id % 10 = 0").select("id", "file_path"), [F.col("id")]).select("file_path", "position")
     own = commits.select("id", F.lit("commit").alias("kind"), F.substring("sha", 1, 7).alias("name"), F.col("subject").alias("doc"), "ord", F.lit(None).cast("string").alias("file_path"))
     nodes = files.select("id", "kind", "name", "doc", "ord", "file_path").unionByName(own)
     touches = star.changes(spark, d).select(F.col("file").alias("src"), (F.col("commit") + COMMIT).alias("dst"), F.lit("touched_by").alias("kind"))
@@ -763,9 +810,9 @@ union all select 'unopened_co_change', 'medium', file_path, file_path || ' often
 def completion_gate(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _g(spark, d)
     files = nodes.where("kind = 'file'")
-    written = files.where("id % 10 = 0").select(F.col("file_path").alias("path"))
+    done = files.where("id % 10 = 0").select(F.col("file_path").alias("path"))
     found = files.where("id % 5 = 0").select(F.lit("stale_caller").alias("kind"), F.lit("high").alias("severity"), F.concat(F.lit("stale "), "file_path").alias("message"), "file_path")
-    return audit.completion_gate(found, written, nodes, edges)
+    return audit.completion_gate(found, done, nodes, edges)
 
 
 @query("select user_id as path, max_by(event_type, event_id) as state, max(event_id) as seq, count(*) as writes from events group by 1", prelude=False)
