@@ -14,10 +14,17 @@ def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own), written: rows under numbers of their own in the order of doc_id, null last; own holds what else they have, doc_id too."""
+    """(doc_id, text, own): rows under numbers of their own in the order of doc_id, null last; own holds what else they have, doc_id too.
+
+    Unique doc_ids are such numbers already, so docs is read as it is; else the rows are sorted, numbered
+    and written, as doc_ids that are null or repeat can't tell them apart.
+    """
     other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", "text")))
-    order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
     rows = docs.select(other.alias("own"), "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.select("own.doc_id", "text", "own")
+    order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
     rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     return written(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "own"), "rows")
 
