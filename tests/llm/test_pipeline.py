@@ -49,3 +49,32 @@ def test_stages_keep_rows_of_repeated_and_null_ids(spark, tmp_path):
         assert kept == sorted((i or 0, t) for i, t in (rows if name == "quality" else set(rows))), name
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sum(r.length for r in pieces if r.start == 0 and r.doc_id is None) > 0 and sum(r.start == 0 for r in pieces) == 4
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+    from loomgraph.llm.common import written
+
+    names = ["had", "new_text", "score", "row", "own", "candidate", "kinds", "spans", "label", "quality"]
+    text = "a token = abcdefgh1 b " + " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text, "en", "s", 9, *names), (2, None, "en", "s", 0, *names), (3, "", "en", "s", 0, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = written(docs, "docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns and all(r[n] == n for r in docs.collect() for n in names), name
+    assert {r.doc_id: (r.text or "").startswith("a [SECRET] b ") for r in docs.collect()} == {1: True, 2: False}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 2
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    from loomgraph.llm.common import written
+
+    docs = written(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
