@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph import scratch
+from loomgraph import config, scratch
+from loomgraph.functions import text
 from loomgraph.operators import context, graph, history, impact, locate, search, traverse
 from loomgraph.plans import snapshot, sync
 from loomgraph.sources import gitlog, tree
@@ -19,30 +20,33 @@ def _resolved(nodes: DataFrame, name: str) -> DataFrame:
     return locate.resolve(nodes, asked).where("position = 1").select("id")
 
 
-def _commits(spark: SparkSession, root: str, most: int) -> DataFrame | None:
+def _commits(spark: SparkSession, root: str, most: int | None) -> DataFrame | None:
     """The log of a local repository, read on the driver, as git runs there."""
     with tempfile.TemporaryDirectory(prefix="loomgraph-") as folder:
-        if not gitlog.export_log(root, f"{folder}/log", most):
+        if not gitlog.export_log(root, f"{folder}/log", most or config.load(root).max_commits):
             return None
         with open(f"{folder}/log", encoding="utf-8", errors="replace") as f:
             records = [(r,) for r in f.read().split("\x1e") if r]
     return scratch.written(history.parse_log(spark.createDataFrame(records, "value string")), "log")
 
 
-def index(spark: SparkSession, root: str, store: str, most: int = 2000) -> str:
-    files = tree.scan(spark, root, tree.ignore_file(root))
+def _rules(root: str) -> list[tuple[str, bool]]:
+    return tree.ignore_file(root) + tree.ignore_rules("\n".join(config.load(root).ignore))
+
+
+def index(spark: SparkSession, root: str, store: str, most: int | None = None) -> str:
+    files = tree.scan(spark, root, _rules(root))
     return sync.full(spark, store, files, _commits(spark, root, most), manifest={"head": gitlog.head(root)})
 
 
-def update(spark: SparkSession, root: str, store: str, most: int = 2000, force: bool = False) -> sync.Report:
+def update(spark: SparkSession, root: str, store: str, most: int | None = None, force: bool = False) -> sync.Report:
     """Syncs the store with the tree; the log is read again only if HEAD moved."""
     now, head = snapshot.current(spark, store) or {}, gitlog.head(root)
     commits = _commits(spark, root, most) if head != now.get("head") else None
-    return sync.sync(spark, root, store, tree.ignore_file(root), commits, force, {"head": head})
+    return sync.sync(spark, root, store, _rules(root), commits, force, {"head": head})
 
 
-def _names(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    return ids.join(nodes.select("id", "kind", "name", "file_path", "start_line"), "id")
+LINE = text.node_line("kind", "subkind", "name", "qualified_name", "file_path", "start_line")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -53,7 +57,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--depth", type=int, default=2)
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--budget", type=int, default=6000)
-    p.add_argument("--commits", type=int, default=2000, help="how many commits of the log are read")
+    p.add_argument("--commits", type=int, help="how many commits of the log are read")
+    p.add_argument("--sources", help="explore: the tree whose lines are shown")
     p.add_argument("--force", action="store_true", help="sync: take every file as changed")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
@@ -69,18 +74,29 @@ def main(argv: list[str] | None = None) -> None:
     nodes, edges = snapshot.table(spark, a.store, "nodes"), snapshot.table(spark, a.store, "edges")
     if a.command == "search":
         hits = search.search(nodes, search.as_queries(spark, [" ".join(a.what)]), limit=a.limit)
-        hits.join(nodes.select(F.col("id").alias("node_id"), "name", "file_path"), "node_id").orderBy("position").show(a.limit, False)
+        for r in hits.select("node_id", "score", "position").join(nodes.select(F.col("id").alias("node_id"), LINE.alias("line")), "node_id").orderBy("position").collect():
+            print(f"{r['score']:.2f}  {r['line']}")
     elif a.command in ("callers", "callees"):
         root = _resolved(nodes, a.what[0]).withColumnRenamed("id", "root_id")
-        traverse.callers(edges, nodes, root, a.depth, a.limit, "in" if a.command == "callers" else "out").orderBy("depth", "symbol").show(a.limit, False)
+        for r in traverse.callers(edges, nodes, root, a.depth, a.limit, "in" if a.command == "callers" else "out").orderBy("depth", "symbol").collect():
+            print(f"  depth {r['depth']}  {r['symbol']} — {r['file'] or '(no file)'}{':' + str(r['line']) if r['line'] else ''}  (via {' -> '.join(r['via_path'])})")
     elif a.command == "impact":
-        impact.impact(nodes, edges, _resolved(nodes, a.what[0]), a.depth, a.limit).orderBy("position").show(a.limit, False)
+        files = impact.impact(nodes, edges, _resolved(nodes, a.what[0]), a.depth, a.limit)
+        for r in files.orderBy("position").collect():
+            print(f"  [{r['tier']}] {r['file_path']} (rank {r['score']:.2f}, {', '.join(r['symbols'])})")
+        for r in impact.cochanges_of(files, nodes, edges).orderBy("position", "n").collect():
+            print(f"  {r['file_path']} co-changes with {r['with_file']} (weight {r['weight']:.2f})")
     elif a.command == "explore":
         ends = [_resolved(nodes, w).first() for w in a.what]
-        pairs = [(i, x["id"], y["id"]) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x and y]
-        paths = traverse.shortest_paths(edges, spark.createDataFrame(pairs, "pair_id int, a long, b long"), 4, ["calls", "imports", "contains", "references"])
-        steps = paths.select("pair_id", "hops", F.posexplode("path").alias("step", "id"))
-        _names(nodes, steps).orderBy("pair_id", "step").show(a.limit, False)
+        found = [(0, i, x["id"]) for i, x in enumerate(ends) if x]
+        asked = spark.createDataFrame(found, "set_id int, position int, id long")
+        contents = tree.scan(spark, a.sources, tree.ignore_file(a.sources)) if a.sources else None
+        paths, symbols = traverse.explore(nodes, edges, asked, contents)
+        named = paths.join(nodes.select("id", "name"), "id").groupBy("position").agg(F.array_sort(F.collect_list(F.struct("step", "edge_kind", "name"))).alias("steps"))
+        for r in named.orderBy("position").collect():
+            print("".join(f" --{s['edge_kind']}--> {s['name']}" if s["step"] else s["name"] for s in r["steps"]))
+        for r in symbols.collect():
+            print(f"### {r['name']} ({r['file_path'] or 'unknown'}:{r['start_line'] or '?'})", r["source"] or "", "… [truncated]" if r["truncated"] else "", sep="\n")
     elif a.command == "context":
         print(context.context_pack(nodes, edges, " ".join(a.what), a.budget).markdown)
     elif a.command == "resolve":

@@ -174,6 +174,13 @@ def snippet(content: Column | str, start: Column, end: Column, most: int = 120)
     return F.struct(F.array_join(F.slice(lines, F.greatest(start, F.lit(1)), F.least(count, F.lit(most))), "\n").alias("source"), (count > most).alias("truncated"))
 
 
+def node_line(kind: Column | str, subkind: Column | str, name: Column | str, qualified_name: Column | str, path: Column | str, line: Column | str) -> Column:
+    """A node in one line: [kind/subkind] name — path:line."""
+    sort = F.concat(_c(kind), F.coalesce(F.concat(F.lit("/"), _c(subkind)), F.lit("")))
+    place = F.coalesce(F.concat(_c(path), F.coalesce(F.concat(F.lit(":"), _c(line).cast("string")), F.lit(""))), F.lit("(no file)"))
+    return F.concat(F.lit("["), sort, F.lit("] "), F.coalesce(_c(qualified_name), _c(name)), F.lit(" — "), place)
+
+
 def ends_with_path(path: Column | str, asked: str) -> Column:
     """Whether a path is, or ends at a slash with, the asked one, ASCII letters in either case."""
     low, want = F.lower(_c(path)), asked.replace("\\", "/").lower()

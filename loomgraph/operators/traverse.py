@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph import schema
+from loomgraph.functions import text
 from loomgraph.operators.graph import of_kind
 from loomgraph.scratch import written
 
@@ -63,6 +65,32 @@ def callees(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1
     return callers(edges, nodes, roots, depth, limit, "out")
 
 
+def explore(nodes: DataFrame, edges: DataFrame, found: DataFrame, contents: DataFrame | None = None, hops: int = 4, most: int = 120) -> tuple[DataFrame, DataFrame]:
+    """How the nodes found (set_id, position, id) hang together: paths and symbols.
+
+    Paths (set_id, position, hops, step, id, edge_kind) join each node of a set to the next one, one row
+    per node, with the kind of the edge that leads to it; a pair without a path is missing. Symbols
+    (set_id, id, name, file_path, start_line, source, truncated) are all nodes of a set and its paths, in
+    the order of path and line, with their lines of contents (path, content), at most so many.
+    """
+    kinds = list(schema.EXPLORE_KINDS)
+    ends = found.withColumn("b", F.lead("id").over(Window.partitionBy("set_id").orderBy("position"))).where("b is not null")
+    pairs = ends.select(F.struct("set_id", "position").alias("pair_id"), F.col("id").alias("a"), "b")
+    paths = written(shortest_paths(edges, pairs, hops, kinds), "paths").select("pair_id.set_id", "pair_id.position", "hops", F.posexplode("path").alias("step", "id"))
+    before = F.lag("id").over(Window.partitionBy("set_id", "position").orderBy("step"))
+    both = of_kind(edges, kinds).select("src", "dst", "kind")
+    links = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")).groupBy(F.col("src").alias("before"), F.col("dst").alias("id")).agg(F.min("kind").alias("edge_kind"))
+    paths = paths.withColumn("before", before).join(links, ["before", "id"], "left").drop("before")
+    every = found.select("set_id", "id").unionByName(paths.select("set_id", "id")).distinct().join(nodes, "id")
+    if contents is not None:
+        every = every.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    else:
+        every = every.withColumn("content", F.lit(None).cast("string"))
+    cut = F.when(F.col("start_line").isNotNull() & F.col("content").isNotNull(), text.snippet("content", F.col("start_line"), F.coalesce("end_line", "start_line"), most))
+    rows = every.withColumn("cut", cut).select("set_id", "id", "name", "file_path", "start_line", F.col("cut.source").alias("source"), F.coalesce("cut.truncated", F.lit(False)).alias("truncated"))
+    return paths.select("set_id", "position", "hops", "step", "id", "edge_kind"), rows.orderBy("set_id", "file_path", "start_line", "id")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4, kinds: list[str] | None = None) -> DataFrame:
     """(pair_id, hops, path array<long>) for pairs (pair_id, a, b) joined by an undirected path of at most hops.
 

@@ -174,6 +174,12 @@ def neighbors_limit(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbors(edges, nodes, _roots(nodes), "out", ["calls"], limit=5).select("root_id", "id")
 
 
+@query("select id, '[' || kind || case when subkind is null then '' else '/' || subkind end || '] ' || coalesce(qualified_name, name) || ' — ' || file_path || case when start_line is null then '' else ':' || start_line end as line from nodes")
+def node_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = text.node_line("kind", "subkind", "name", "qualified_name", "file_path", "start_line")
+    return star.nodes(spark, d).select("id", line.alias("line"))
+
+
 @query("select id, name, qualified_name, file_path from (select *, row_number() over (order by ord) as n from nodes where name = 'supplier_10.ts' or qualified_name = 'supplier_10.ts') where n <= 50")
 def find_by_name(spark: SparkSession, d: str) -> DataFrame:
     return graph.find_by_name(star.nodes(spark, d), "supplier_10.ts").select("id", "name", "qualified_name", "file_path")

@@ -246,3 +246,41 @@ def test_federation_keeps_repositories_apart(spark):
     assert {r.repo_id for r in search.federated_search(both, q).collect()} == {1, 2}
     edges = spark.createDataFrame([edge(2, 1), edge(2, 4)], schema.EDGES)
     assert [(r.src, r.dst) for r in within_repos(edges, both).collect()] == [(2, 1)]
+
+
+def test_explore_shows_paths_and_sources(spark, diamond):
+    nodes, edges = diamond
+    contents = spark.createDataFrame([("a.ts", "one\ntwo\nthree\nfour\nfive"), ("d.ts", "x\ny")], "path string, content string")
+    found = spark.createDataFrame([(0, 0, 1), (0, 1, 4), (0, 2, 99), (1, 0, 2)], "set_id int, position int, id long")
+    paths, symbols = traverse.explore(nodes, edges, found, contents, most=2)
+    assert sorted((r.set_id, r.position, r.step, r.id, r.edge_kind) for r in paths.collect()) == [(0, 0, 0, 1, None), (0, 0, 1, 2, "calls"), (0, 0, 2, 4, "calls")]
+    got = [(r.set_id, r.name, r.source, r.truncated) for r in symbols.collect()]
+    assert got == [(0, "top", "one\ntwo", True), (0, "left", None, False), (0, "bottom", "x\ny", False), (1, "left", None, False)]
+
+
+def test_workspace_skips_what_it_cannot_read(spark, tmp_path):
+    from loomgraph.operators import federation
+    from loomgraph.plans import snapshot
+
+    rows = spark.createDataFrame([node(1, "Hull", "a.ts"), node(2, "Keel", "b.ts")], schema.NODES)
+    links = spark.createDataFrame([edge(1, 2)], schema.EDGES)
+    for name in ("one", "two", "broken"):
+        snapshot.publish(spark, f"file://{tmp_path}/{name}", {"nodes": rows, "edges": links})
+    for path in (tmp_path / "broken").rglob("*.parquet"):
+        path.write_bytes(b"no parquet")
+    notes = []
+    nodes, edges, names = federation.opened(spark, [(n, f"file://{tmp_path}/{n}") for n in ("one", "gone", "broken", "two")], notes.append)
+    assert names == {1: "one", 4: "two"} and [n.split(":")[0] for n in notes] == ["gone", "broken"]
+    assert nodes.count() == 4 == nodes.select("id").distinct().count() and federation.within_repos(edges, nodes).count() == 2
+
+
+def test_config_merges_field_by_field(tmp_path):
+    from loomgraph import config
+
+    assert config.load(str(tmp_path)) == config.Config()
+    (tmp_path / config.FILE).write_text('{"max_commits": 7, "ignore": ["a/"], "edit_guard": {"depth": 3}, "unknown": 1}')
+    own = config.load(str(tmp_path))
+    assert (own.max_commits, own.ignore, own.edit_guard.depth, own.edit_guard.top_files, own.context_pack_tokens) == (7, ("a/",), 3, 5, 6000)
+    (tmp_path / config.FILE).write_text("{")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path))
