@@ -679,6 +679,52 @@ def contains_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.contains_edges(rows)
 
 
+@query(
+    """, uses as (select distinct l_suppkey * 10000000 + l_partkey as ref_id, f.id as file_node, f.file_path as from_file, case l_partkey % 3 when 0 then s.qualified_name when 1 then s.name else 'none' end as from_symbol
+    from lineitem join files f on f.id = l_suppkey join (select id, name, qualified_name from symbols) s on s.id = l_partkey + """
+    + str(SYMBOL)
+    + """), around as (select ref_id, min_by(s.id, case when s.qualified_name = from_symbol then 0 else 1 end * 100000000000 + s.ord) as node_id from uses join symbols s on s.file_path = from_file and (s.qualified_name = from_symbol or s.name = from_symbol) group by 1)
+select ref_id, coalesce(node_id, file_node) as src from uses left join around using (ref_id)"""
+)
+def enclosing_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as references from a supplier's file, within a symbol named by its qualified or bare name, or by none."""
+    files = star.file_nodes(spark, d).select(F.col("id").alias("l_suppkey"), F.col("file_path").alias("from_file"))
+    symbols = written(star.symbol_nodes(spark, d), "symbols")
+    named = symbols.select((F.col("id") - SYMBOL).alias("l_partkey"), "name", "qualified_name")
+    kind = F.col("l_partkey") % 3
+    said = F.when(kind == 0, F.col("qualified_name")).when(kind == 1, F.col("name")).otherwise("none")
+    refs = star.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(files, "l_suppkey").join(named, "l_partkey")
+    refs = refs.select((F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")).alias("ref_id"), "from_file", said.alias("from_symbol"), F.col("l_suppkey").alias("file_node"))
+    return resolve.enclosing(refs, symbols.select(F.col("id").alias("node_id"), "file_path", "name", "qualified_name", "ord"))
+
+
+@query(
+    """, tf as (select 'src/d' || (p_partkey % 40) || '/f' || (p_partkey % 300) || '.ts' as path, p_partkey as ord from part), known as (select path, min(ord) as id from tf group by 1),
+  tnames as (select 'src/d' || (l_partkey % 40) || '/f' || (l_suppkey % 300) || '.test.ts' as test_path, 'src/d' || (l_partkey % 40) as tdir, 'f' || (l_suppkey % 300) as stem, 'n' || (l_orderkey % 50) as name from lineitem),
+  tests as (select test_path, tdir, stem, min(test_path) as t from tnames group by 1, 2, 3),
+  tpairs as (select test_path, path, id, row_number() over (partition by test_path order by regexp_replace(path, '/[^/]*$', '') = tdir desc, id, path) as n from tests join known on regexp_extract(path, '([^/]*)\\.ts$', 1) = stem),
+  chosen as (select * from tpairs where n = 1),
+  last as (select path, 'n' || (ord % 50) as name, max(ord) + """
+    + str(SYMBOL)
+    + """ as sid from tf group by 1, 2)
+select test_path, id as dst from chosen union select c.test_path, sid from chosen c join tnames t on t.test_path = c.test_path join last l on l.path = c.path and l.name = t.name"""
+)
+def tests_links(spark: SparkSession, d: str) -> DataFrame:
+    """Test files with the files that they test, and the nodes there that they name."""
+    k = F.col("p_partkey")
+    part = star.table(spark, d, "part").select(F.concat(F.lit("src/d"), k % 40, F.lit("/f"), k % 300, F.lit(".ts")).alias("path"), k.alias("ord"))
+    code = part.groupBy("path").agg(F.min("ord").alias("id"))
+    line = star.table(spark, d, "lineitem")
+    test = F.concat(F.lit("src/d"), F.col("l_partkey") % 40, F.lit("/f"), F.col("l_suppkey") % 300, F.lit(".test.ts"))
+    refs = line.select(test.alias("from_file"), F.concat(F.lit("n"), F.col("l_orderkey") % 50).alias("name")).distinct()
+    tests = refs.select(F.col("from_file").alias("path")).distinct().withColumn("id", -F.abs(F.xxhash64("path")))
+    files = written(code.withColumn("ord", F.col("id")).unionByName(tests.withColumn("ord", F.lit(1 << 40))), "files")
+    own = files.select("id", F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file_path"), "ord")
+    symbols = part.select((F.col("ord") + SYMBOL).alias("id"), F.lit("symbol").alias("kind"), F.concat(F.lit("n"), F.col("ord") % 50).alias("name"), F.col("path").alias("file_path"), "ord")
+    found = resolve.tests_edges(files.select("path", "ord"), own.unionByName(symbols), refs)
+    return found.join(tests.select(F.col("id").alias("src"), F.col("path").alias("test_path")), "src").select("test_path", "dst")
+
+
 EXPAND = f""", seeds as (select id from nodes where kind = 'symbol' and (id - {SYMBOL}) % 100 = 0), moves as (select src, dst from edges where kind in ('calls', 'contains') union select dst, src from edges where kind in ('calls', 'contains')),
   e1 as (select distinct dst as id from moves where src in (select id from seeds) and dst not in (select id from seeds)),
   e2 as (select distinct dst as id from moves where src in (select id from e1) and dst not in (select id from e1) and dst not in (select id from seeds)),
