@@ -130,7 +130,17 @@ def feature(d: dict) -> str:
     return f"codec={d['codec'].strip()};duration={d['duration']}/{d['timescale']};samples={len(d['samples'])};keyframes={len(d['keyframes'])}:{hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
 
 
-NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+#: What a file's boxes say of it: codec, seconds, samples, and the byte ranges of its keyframes.
+COLUMNS = {"codec": pa.string(), "seconds": pa.float64(), "samples": pa.int64(), "keyframes": RANGES}
+COLUMNS_SQL = "codec string, seconds double, samples long, keyframes array<struct<offset:long,size:long>>"
+
+
+def columns_of(d: dict) -> tuple:
+    return d["codec"].strip(), d["duration"] / d["timescale"], len(d["samples"]), [{"offset": i, "size": n} for i, n in d["keyframes"]]
+
+
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *COLUMNS]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,38 +153,36 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = stored(payload)
             d = described(media)
             back = read_back(media, d["samples"])
-            rows.append((doc, len(raw), len(back), sha(back), zlib.crc32(back[-16:]), len(media), sha(media), feature(d)))
+            rows.append((doc, len(raw), len(back), sha(back), zlib.crc32(back[-16:]), len(media), sha(media), feature(d), *columns_of(d)))
         columns = list(zip(*rows)) or [()] * len(NAMES)
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *COLUMNS.values()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], NAMES)
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text): its text stored as a media file, read back through the sample tables, and features.
+    """Per document (doc_id, text): its text stored as a media file, read back through the sample tables, its features and media columns.
 
     Rows are independent: nothing is shuffled. A null text is empty and becomes one sample of blanks;
     equal texts give equal values; other columns are ignored.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + COLUMNS_SQL
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, schema)
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
     for b in batches:
         rows = []
         for raw in b.column(1).to_pylist():
             try:
-                d = described(raw or b"")
-                rows.append((d["codec"].strip(), d["duration"] / d["timescale"], len(d["samples"]), [{"offset": i, "size": n} for i, n in d["keyframes"]]))
+                rows.append(columns_of(described(raw or b"")))
             except (KeyError, struct.error, IndexError, ValueError, ZeroDivisionError):
                 rows.append((None, None, None, None))
         columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.float64(), pa.int64(), kind]))], ["id", "codec", "seconds", "samples", "keyframes"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, COLUMNS.values()))], ["id", *COLUMNS])
 
 
 def media_columns(files: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
     """(id, codec, seconds, samples, keyframes) of binary files; null columns where a file is null or no ISO media file."""
     rows = files.select(F.col(id).alias("id"), F.col(content).alias("content"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_columns, f"id {kind}, codec string, seconds double, samples long, keyframes array<struct<offset:long,size:long>>")
+    return rows.mapInArrow(_columns, f"id {kind}, {COLUMNS_SQL}")
