@@ -524,6 +524,7 @@ def test_media_features_and_foreign_files(spark, none):
         at = whole.index(b"mdat") + 4
         ranges = ",".join(f"{at + 192 * k}+192" for k in keys)
         assert rows[i].feature == f"codec=raw;duration={192 * n}/48000;samples={n};keyframes={len(keys)}:{hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
+        assert [(k.offset, k.size) for k in rows[i].keyframes] == [(at + 192 * k, 192) for k in keys] and (rows[i].codec, rows[i].samples) == ("raw", n)
     assert media.stored_and_read(none).count() == 0
     data = media.stored(b"x" * 192 * 3)
     i = data.index(b"mdhd") - 4
