@@ -15,7 +15,7 @@ from loomgraph import schema
 from loomgraph.operators import docs as documents
 from loomgraph.operators import history, resolve
 from loomgraph.scratch import written
-from loomgraph.sources import extract, tree
+from loomgraph.sources import extract
 
 
 @dataclass

@@ -71,7 +71,7 @@ def family(language: Column) -> Column:
 
 def bare(line: Column, fam: Column) -> Column:
     """A line without the content of strings, and without what follows a comment sign."""
-    text = F.regexp_replace(line, r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|'[^']*'|`[^`]*`", '""')
+    text = F.regexp_replace(line, r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'(?:\\.|[^'\\])'|'[^']*'|`[^`]*`", '""')
     return F.when(fam == "python", F.regexp_replace(text, "#.*$", "")).otherwise(F.regexp_replace(F.regexp_replace(text, r"/\*.*?\*/", ""), r"//.*$|^\s*\*.*$|/\*.*$", ""))
 
 

@@ -159,6 +159,13 @@ def test_extraction(spark):
     assert raws == {("f.ts", "./vessel.js"), ("f.py", ".vessel"), ("f.py", "math"), ("f.go", "os"), ("f.go", "harbour.test/vessel"), ("F.java", "test.harbour.vessel.Vessel"), ("F.java", "test.harbour.crew.*"), ("f.rs", "crate::vessel::Vessel")}
 
 
+def test_long_literals_are_masked(spark):
+    long_ = '"' + "{ab\\n" * 20_000 + '"'
+    files = spark.createDataFrame([("a.ts", "typescript", f"export const tide = {long_}\nexport function ebb() {{\n  flow()\n}}\n")], "path string, language string, content string")
+    found = {(r.name, r.start_line, r.end_line) for r in extract.symbols(extract.lines(files)).collect()}
+    assert found == {("tide", 1, 1), ("ebb", 2, 4)}
+
+
 def _write(root, files):
     for path, body in files.items():
         os.makedirs(os.path.dirname(root / path), exist_ok=True)
