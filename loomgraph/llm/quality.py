@@ -70,6 +70,7 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) ->
     Labels that are null or contradict each other don't count. Where both classes are labelled but
     the sample lacks one of them, it raises.
     """
+    docs = docs.select("doc_id", "text")
     rows = labels.where("doc_id is not null and quality is not null")
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most and quality in (0, 1)")
