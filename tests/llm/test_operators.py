@@ -376,8 +376,10 @@ def test_packing(spark, odd, none):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    total = sum(map(len, ids.values()))
-    assert len({r.sequence_id for r in rows}) == -(-total // 1024)  # no more sequences than the ids need
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(n <= 512 for n in used.values()) <= 1  # two that are half empty would share a sequence
     assert packing.packed(none, path).count() == 0
 
 
