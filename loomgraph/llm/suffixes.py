@@ -28,7 +28,7 @@ BUCKET = 1_000_000
 #: Classes with one lead that a task compares together; beyond it their strings are sorted as suffixes of their own.
 GROUP = 20_000
 #: Heads that a task compares at once, unless one group has more.
-CHUNK = 16_384
+CHUNK = 4096
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -96,8 +96,12 @@ def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
+
+    def told(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], SUFFIX)
+
     for b in batches:
-        out = [[np.zeros(0, np.int64)] for _ in SUFFIX]
+        out, rows = [[] for _ in SUFFIX], 0
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             start, first, last = suffix_starts(raw)
@@ -106,7 +110,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             around = [digest(raw[i : j + MATCH], s - i) for s, i, j in zip(start.tolist(), first.tolist(), last.tolist())]
             for column, x in zip(out, (*_leads(raw, start), np.array(around, np.uint64).view(np.int64), np.full(len(start), doc), _place(start, first, last))):
                 column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], SUFFIX)
+            rows += len(start)
+            if rows >= 1 << 16:
+                yield told(out)
+                out, rows = [[] for _ in SUFFIX], 0
+        if rows:
+            yield told(out)
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
