@@ -111,7 +111,7 @@ def scores(model: Model, texts: list[bytes], compressors: list) -> np.ndarray:
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     compressors = _compressors(model) if model.weights else []
     for b in batches:
-        found = scores(model, [(t or "").encode() for t in b.column(1).to_pylist()], compressors)
+        found = scores(model, [(t or "").encode() for t in b.column(0).field("text").to_pylist()], compressors)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["own", "score"])
 
 
@@ -121,8 +121,8 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     A null text is empty, and the empty text has the score that the curve gives to no difference. Rows are
     independent; the model, two dictionaries and two numbers, travels with the task.
     """
-    both = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own"), "text")
-    return both.mapInArrow(partial(_scored, model=model), T.StructType([both.schema["own"], T.StructField("score", T.DoubleType())]))
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own"))
+    return own.mapInArrow(partial(_scored, model=model), T.StructType([own.schema["own"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
