@@ -11,9 +11,9 @@ import tiktoken
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Bytes of text that are split at once; a longer text stands alone.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Distinct pre-tokens that a Python worker remembers before it starts afresh; results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @cache
