@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import config, scratch
@@ -46,7 +46,9 @@ def update(spark: SparkSession, root: str, store: str, most: int | None = None,
     return sync.sync(spark, root, store, _rules(root), commits, force, {"head": head})
 
 
-LINE = text.node_line("kind", "subkind", "name", "qualified_name", "file_path", "start_line")
+def _line() -> Column:
+    """A node on one line. Columns need a session, so none is made at import."""
+    return text.node_line("kind", "subkind", "name", "qualified_name", "file_path", "start_line")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None) -> None:
     nodes, edges = snapshot.table(spark, a.store, "nodes"), snapshot.table(spark, a.store, "edges")
     if a.command == "search":
         hits = search.search(nodes, search.as_queries(spark, [" ".join(a.what)]), limit=a.limit)
-        for r in hits.select("node_id", "score", "position").join(nodes.select(F.col("id").alias("node_id"), LINE.alias("line")), "node_id").orderBy("position").collect():
+        for r in hits.select("node_id", "score", "position").join(nodes.select(F.col("id").alias("node_id"), _line().alias("line")), "node_id").orderBy("position").collect():
             print(f"{r['score']:.2f}  {r['line']}")
     elif a.command in ("callers", "callees"):
         root = _resolved(nodes, a.what[0]).withColumnRenamed("id", "root_id")
