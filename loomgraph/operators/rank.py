@@ -40,7 +40,7 @@ def rank(candidates: DataFrame, subject_file: Column, anchor: Column, weights: W
     return rows.withColumn("score", score.cast("long")).withColumn("tier", tier)
 
 
-def placed(rows: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+def placed(rows: DataFrame, order: list[Column], position: str = "position", kind: str = "int") -> DataFrame:
     """rows with their number, from 1, in a total order, without taking all of them through one task.
 
     They are range-partitioned by the order and numbered within partitions; each partition then adds how
@@ -54,7 +54,7 @@ def placed(rows: DataFrame, order: list[Column], position: str = "position") ->
     before = [(p, sum(n for q, n in counts if q < p)) for p, _ in counts]
     starts = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))  # one row per partition
     out = each.join(starts, part == F.col("_part"))
-    return out.withColumn(position, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_id", "_part", "_before")
+    return out.withColumn(position, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast(kind)).drop("_id", "_part", "_before")
 
 
 def order() -> list[Column]:
