@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import bpe, embeddings, media, packing, passages, quality, secrets, simhash, suffixes, urlfilter
+from loomgraph.llm import bpe, conversations, embeddings, extraction, media, packing, passages, quality, resampling, secrets, simhash, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repairs(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -70,6 +83,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op11_resampling": op11_resampling,
+    "op12_extraction": op12_extraction,
+    "op13_conversations": op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -97,4 +113,35 @@ SQL: dict[str, str] = {
                       when 'com/en/' then 'block' when 'example.net/de/8' then 'block' when 'org/es/' then 'block'
                       else case when listed = 1 then 'block' else 'allow' end end as verdict
         from ruled""",
+    "op11_resampling": r"""
+        with crc_table as (
+            select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as crc
+        ), words as (
+            select 0 as of, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents
+            union all
+            select 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark
+        ), codes as (
+            select w, lower(hex(encode(w))) as h from (select distinct w from words)
+        ), hashed as (
+            select w, xor(list_reduce(
+                list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: 16 * (strpos('0123456789abcdef', h[2 * i + 1]) - 1) + strpos('0123456789abcdef', h[2 * i + 2]) - 1)),
+                lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295) % 10000 as bucket
+            from codes, crc_table
+        ), sums as (
+            select bucket, count(*) filter (of = 0) as s, count(*) filter (of = 1) as t from words join hashed using (w) group by bucket
+        ), totals as (
+            select sum(s)::double as sa, sum(t)::double as ta from sums
+        ), gains as (
+            select bucket, floor(1000 * ln((t + 1)::double * (sa + 10000) / ((s + 1)::double * (ta + 10000))))::bigint as gain from sums, totals
+        ), means as (
+            select doc_id, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from words join hashed using (w) join gains using (bucket) where of = 0 group by doc_id
+        ), noise as (
+            select doc_id, list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('2024:' || doc_id)[i]) - 1), lambda a, d: 16 * a + d) as h from documents
+        ), scored as (
+            select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score
+            from noise left join means using (doc_id)
+        ), ranked as (
+            select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as able from scored where n_features >= 20
+        )
+        select doc_id, n_features::bigint as n_features, weight, score, case when rank <= able * 10 // 100 then rank end as rank from scored left join ranked using (doc_id)""",
 }
