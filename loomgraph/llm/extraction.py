@@ -26,7 +26,6 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title iframe noframes noembed xmp".split()}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of these ends where one of the others begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 KEEPS = frozenset("ul ol dl table select article main body html".split())
@@ -42,6 +41,8 @@ READERS = frozenset("comment comments commentlist disqus replies respond".split(
 #: Elements that may be template: those that hold others. Paragraphs and headings recur in copies of a text.
 CONTAINERS = frozenset("div section nav header footer aside form ul ol dl table menu center details dialog fieldset figure td".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr".split())
+#: Elements that begin and end a block of text; all others stand within one.
+BLOCKS = PARAGRAPH_ENDS | frozenset("html head body title caption thead tbody tfoot legend optgroup option select summary noscript template script style textarea iframe".split())
 
 
 class Page:
@@ -59,7 +60,7 @@ class Page:
         at = 0
         while at < end and (m := TOKEN.search(source, at, end)):
             self._text(source[at : m.start()])
-            at = m.end()
+            at = m.end() if m[0][:4] != "<!--" or m[0].endswith("-->") else len(source)  # an open comment goes on to the end
             tag = (m[2] or "").lower()
             if not tag:
                 continue
@@ -96,7 +97,7 @@ class Page:
         self.hashes.append(0)
         self._open.append(len(self.tags) - 1)
         self._parts.append([])
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self.said.append((self._open[-1], None))
 
     def _end_open(self, tags: set[str], keeps: frozenset[str]) -> None:
@@ -117,7 +118,7 @@ class Page:
                 while len(self._open) > k:
                     self._pop()
                 return
-            if tag in INLINE and own not in INLINE:
+            if tag not in BLOCKS and own in BLOCKS:
                 return  # a tag that crosses a block's border is of no consequence
 
     def _pop(self) -> None:
@@ -128,7 +129,7 @@ class Page:
             self.hashes[node] = int.from_bytes(h, "little", signed=True)
             if self._parts:
                 self._parts[-1].append(f"\1{h.hex()}")
-        if tag not in INLINE:
+        if tag in BLOCKS:
             self.said.append((node, None))
 
 
