@@ -13,6 +13,17 @@ def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def _unique(docs: DataFrame) -> bool:
+    """Whether doc_ids tell all rows apart."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
+    """docs with a key of each row's own: its doc_id where these are unique, else a number, for which docs is written once."""
+    return docs.withColumn(row, F.col("doc_id").cast("long")) if _unique(docs) else numbered(docs, row)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, own): rows under numbers of their own in the order of doc_id, null last; own holds what else they have, doc_id too.
 
@@ -21,8 +32,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", "text")))
     rows = docs.select(other.alias("own"), "text")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if _unique(docs):
         return rows.select("own.doc_id", "text", "own")
     order = [F.col("own.doc_id").asc_nulls_last(), F.xxhash64("text")]  # the hash spreads rows of one doc_id
     rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)

@@ -9,6 +9,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import keyed
+
 try:
     from re import _parser as parser
 except ImportError:  # before Python 3.11
@@ -163,12 +165,12 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measure: Callable[
     Places are code points, or bytes with measure octet_length.
 
     Rules with mandatory trigrams run only on the texts that the index gives; the others on all. A null
-    text is empty; repeated doc_ids and null doc_ids keep their rows; columns other than doc_id and
-    text are dropped.
+    text is empty. Where doc_ids are null or repeat, rows meet the index by numbers of their own, so they keep
+    their rows and share no task. Columns other than doc_id and text are dropped.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(rows, rules).select(F.col("doc_id").alias("candidate"), "kinds")
-    joined = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("candidate")), "left")
+    rows = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    found = candidates(rows.select(F.col("row").alias("doc_id"), "text"), rules).select(F.col("doc_id").alias("candidate"), "kinds")
+    joined = rows.join(found.hint("shuffle_hash"), F.col("row") == F.col("candidate"), "left")
     kind = "array<struct<start:int,number:int,end:int,kind:string>>"
     each = []
     for number, rule in enumerate(rules):
