@@ -142,18 +142,19 @@ def _placed(batches: Iterator[pa.RecordBatch], slots: dict[int, np.ndarray]) ->
         yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(seq), pa.array(offset)], [*keep.schema.names, "sequence_id", "offset"])
 
 
-def pack(rows: DataFrame, size: int = 1024) -> DataFrame:
+def pack(rows: DataFrame, size: int = 1024, row: str | None = None) -> DataFrame:
     """rows with sequence_id and offset: pieces (length from 1 to size) packed into sequences of at most size.
 
     The histogram and the patterns are the only things on the driver: one entry per length, and two
     patterns per length at most. Pieces get a rank among those of their length from row numbers within
     blocks and the blocks' running counts, so that no task ranks all pieces of a common length. rows
-    are read twice: give a written table. Repeated rows are pieces of their own; no rows: no rows.
+    are read twice: give a written table. row names a column that tells all rows apart and spreads them over blocks; without it doc_id and start do, or
+    the length. Repeated rows are pieces of their own; no rows: no rows.
     """
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     blocks = max(1, -(-sum(counts.values()) // RANKED))
     slots = _slots(patterns(counts, size))
-    order = [c for c in ("doc_id", "start") if c in rows.columns]
+    order = [row] if row else [c for c in ("doc_id", "start") if c in rows.columns]
     dealt = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64({', '.join(order) or 'length'}), {blocks}) as int)"))
     per = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = per.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
@@ -165,5 +166,10 @@ def pack(rows: DataFrame, size: int = 1024) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFrame:
-    """The pieces of documents (doc_id, text), placed. A null or empty text is the one id end; other columns are ignored."""
-    return pack(written(pieces(docs, path, size, end), "pieces"), size)
+    """The pieces of documents (doc_id, text), placed.
+
+    A null or empty text is the one id end. Null and repeated doc_ids are documents of their own, as pieces have numbers. Other
+    columns are ignored.
+    """
+    numbered = pieces(docs, path, size, end).withColumn("row", F.monotonically_increasing_id())
+    return pack(written(numbered, "pieces"), size, "row").drop("row")
