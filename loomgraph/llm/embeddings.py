@@ -194,12 +194,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     cosine, and the hashing finds them: candidates share a bucket of some table, and each is verified.
     Equal vectors are one class beforehand. A pair is counted in the first bucket it shares; buckets
     over BLOCK classes are dealt out as pairs of blocks. Null labels and vectors that are null, empty,
-    zero or hold null or non-finite parts link with nothing. vec_id must be unique and not null. Other
-    columns are ignored; no rows: no rows.
+    zero or hold null or non-finite parts link with nothing; nor does a row without vec_id, which stays as its own component,
+    null, and kept. Rows that repeat a vec_id are vectors of their own and have a row each; where they are equal all of them have the
+    component's least id and so are kept. Other columns are ignored; no rows: no rows.
     """
     dtype = "<f8" if isinstance(rows.schema["embedding"].dataType.elementType, T.DoubleType) else "<f4"
     rows = rows.select("vec_id", "embedding", "label")
-    sound = F.expr("label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
+    sound = F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
     usable = rows.where(F.coalesce(sound, F.lit(False)))
     classes = written(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "vectors")
     label = classes.schema["label"].dataType.simpleString()
@@ -223,4 +224,4 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     told = told.select("label", "embedding", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = usable.join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
