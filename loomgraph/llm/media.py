@@ -58,36 +58,53 @@ def stored(payload: bytes) -> bytes:
     return head + data + box(b"moov", _full(b"mvhd", "IIII", 0, 0, TIMESCALE, long_ & 0xFFFFFFFF, rest=bytes(80)), box(b"trak", media))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
-    """(path, first, end) of the boxes' bodies, containers before their content. A broken size ends the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Levels of boxes that are walked. Sample tables are on the fifth.
+LEVELS = 32
+
+
+def walk(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(path, first, end) of the boxes' bodies, containers before their content, down to LEVELS. A broken size ends the walk of its container."""
+    open_ = [(0, len(data), "")]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
             if start + 16 > end:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
+            continue
         name = f"{path}/{kind.decode('latin-1')}"
         yield name, body, start + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, start + size, name)
-        start += size
+        open_.append((start + size, end, path))
+        if kind in CONTAINERS and len(open_) < LEVELS:
+            open_.append((body, start + size, name))
+
+
+def tracks(data: bytes) -> list[dict[str, tuple[int, int]]]:
+    """Of each track, in the file's order, the first box of each path below it."""
+    out: list[dict] = []
+    for name, i, j in walk(data):
+        if name == "/moov/trak":
+            out.append({})
+        elif name.startswith("/moov/trak/"):
+            out[-1].setdefault(name, (i, j))
+    return out
 
 
-def described(data: bytes) -> dict:
-    """Codec, timescale, duration, sample ranges and keyframes of the first track; payloads aren't read.
+def described(data: bytes, track: int = 0) -> dict:
+    """Codec, timescale, duration, sample ranges and keyframes of a track; payloads aren't read.
 
-    Raises where the boxes contradict each other or point outside the file. Fragmented files hold no sample tables and so raise too.
+    Raises where there is no such track, or its boxes contradict each other or point outside the file. Fragmented files hold no sample
+    tables and so raise too.
     """
-    boxes = {}
-    for name, i, j in walk(data):
-        boxes.setdefault(name, (i, j))
+    boxes = tracks(data)[track]
     table = "/moov/trak/mdia/minf/stbl/"
     ints = lambda name, skip=4: struct.unpack_from(f">{(boxes[name][1] - boxes[name][0] - skip) // 4}I", data, boxes[name][0] + skip)
     codec = data[boxes[table + "stsd"][0] + 12 : boxes[table + "stsd"][0] + 16].decode("latin-1")
@@ -182,7 +199,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_columns(files: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
-    """(id, codec, seconds, samples, keyframes) of binary files; null columns where a file is null or no ISO media file."""
+    """(id, codec, seconds, samples, keyframes) of the first track of binary files; null columns where a file is null or no ISO media file."""
     rows = files.select(F.col(id).alias("id"), F.col(content).alias("content"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_columns, f"id {kind}, {COLUMNS_SQL}")
