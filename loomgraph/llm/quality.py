@@ -9,7 +9,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,21 +66,26 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) ->
     """Learns from labelled documents (labels: doc_id, quality), of those usable holds for.
 
     Of each class at most SAMPLE documents and SAMPLE_BYTES bytes reach the driver, none of more than
-    TEXT_BYTES; half make the dictionaries and the other half, which these haven't seen, the curve.
-    Labels that are null or contradict each other don't count. Where both classes are labelled but
-    the sample lacks one of them, it raises.
+    TEXT_BYTES; a class that has fewer than two such texts gives its shortest ones instead. Half make the
+    dictionaries and the other half, which these haven't seen, the curve. Labels that are null or
+    contradict each other don't count, nor do labels without a text. Where a class has fewer than two
+    texts within SAMPLE_BYTES, the model knows nothing and scores 0.5.
     """
     docs = docs.select("doc_id", "text")
     rows = labels.where("doc_id is not null and quality is not null")
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most and quality in (0, 1)")
     # Documents only, as labels may lack theirs; ids before texts, so that only the sample's texts move.
-    there = docs.where(f"text is not null and octet_length(text) <= {TEXT_BYTES}").select("doc_id").distinct()
-    able = rows.select("doc_id", "quality").join(there, "doc_id")
-    first = [able.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
-    chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * SAMPLE rows at most
-    texts = docs.where(f"text is not null and octet_length(text) <= {TEXT_BYTES}").join(chosen, "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h"))
-    upto = F.expr("sum(octet_length(text)) over (partition by quality order by h, doc_id rows unbounded preceding)")
+    there = docs.where("text is not null").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    able = rows.select("doc_id", "quality").join(there, "doc_id").where(F.col("size") <= SAMPLE_BYTES)
+    short = F.col("size") <= TEXT_BYTES
+    usual = {r["quality"] for r in able.where(short).groupBy("quality").count().where("count > 1").collect()}  # two rows at most
+    hashed = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = [able.where((F.col("quality") == q) & short).orderBy(*hashed) if q in usual else able.where(F.col("quality") == q).orderBy("size", *hashed) for q in (0, 1)]
+    chosen = F.broadcast(first[0].limit(SAMPLE).unionByName(first[1].limit(SAMPLE)))  # 2 * SAMPLE rows at most
+    texts = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h"))
+    size = F.when(F.col("quality").isin(*usual), 0).otherwise(F.octet_length("text")) if usual else F.octet_length("text")
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(size, "h", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
     found = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("h", "doc_id", "quality", "text").collect()
     found.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
     # Within each class every second text, so that neither half can lack a class that has two.
@@ -90,8 +95,6 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) ->
         half[0] += own[::2]
         half[1] += own[1::2]
     if not all({q for _, q in part} >= {0, 1} for part in half):
-        if rows.select("quality").distinct().count() > 1 and docs.where("text is not null").join(rows, "doc_id").select("quality").distinct().count() > 1:
-            raise ValueError(f"both classes are labelled, but the sample of texts up to {TEXT_BYTES} bytes has fewer than two of one")
         return Model()
     bad, good = (b"\n".join(t for t, q in half[0] if q == c)[:DICTIONARY] for c in (0, 1))
     model = Model(good, bad)
@@ -131,7 +134,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of documents, learned only from rows that are not held out."""
+    """(doc_id, held_out, score, predicted) of documents, learned only from rows that are not held out.
+
+    Every row has its own result, whether its doc_id is null or repeats; a null doc_id is not held out and has no label. Equal
+    texts have equal scores, a null text that of the empty one. Without labels of both classes all score
+    0.5; no documents: no rows.
+    """
     model = learned(docs, labels, ~held_out(F.col("doc_id")))
     out = scored(docs.select("doc_id", "text"), model).select("own.doc_id", "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
