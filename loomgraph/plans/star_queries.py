@@ -683,7 +683,8 @@ def contains_edges(spark: SparkSession, d: str) -> DataFrame:
     """, uses as (select distinct l_suppkey * 10000000 + l_partkey as ref_id, f.id as file_node, f.file_path as from_file, case l_partkey % 3 when 0 then s.qualified_name when 1 then s.name else 'none' end as from_symbol
     from lineitem join files f on f.id = l_suppkey join (select id, name, qualified_name from symbols) s on s.id = l_partkey + """
     + str(SYMBOL)
-    + """), around as (select ref_id, min_by(s.id, case when s.qualified_name = from_symbol then 0 else 1 end * 100000000000 + s.ord) as node_id from uses join symbols s on s.file_path = from_file and (s.qualified_name = from_symbol or s.name = from_symbol) group by 1)
+    + """), sym as materialized (select id, file_path, name, qualified_name, ord from symbols), met as (select ref_id, id, ord from uses join sym on file_path = from_file and qualified_name = from_symbol union all
+  select ref_id, id, 100000000000 + ord from uses join sym on file_path = from_file and name = from_symbol), around as (select ref_id, min_by(id, ord) as node_id from met group by 1)
 select ref_id, coalesce(node_id, file_node) as src from uses left join around using (ref_id)"""
 )
 def enclosing_symbol(spark: SparkSession, d: str) -> DataFrame:
