@@ -42,14 +42,15 @@ class Extracted:
 def extracted(files: DataFrame) -> Extracted:
     """Of files (path, role, language, content, ...)."""
     code = files.where("role = 'code'").select("path", "language", "content")
-    rows = written(extract.lines(code), "lines")
+    rows = written(extract.statements(code), "statements")
     place = Window.partitionBy("path", "qualified_name").orderBy("start_line", "kind")
-    found = written(extract.symbols(rows).withColumn("ordinal", F.row_number().over(place)), "symbols")
+    symbols = written(extract.symbols(rows).withColumn("ordinal", F.row_number().over(place)), "symbols")
+    found = symbols.drop("stmt", "last_stmt")
     about = [c for c in ("hash", "size", "mtime") if c in files.columns]
     own = files.select("path", "role", "language", *about).join(extract.packages(code), "path", "left")
     module = F.when(F.col("path") == "go.mod", F.nullif(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1), F.lit("")))
     own = own.join(files.select("path", module.alias("module")), "path")
-    return Extracted(written(own, "files"), found, written(extract.references(rows, found), "refs"), written(extract.imports(code), "imports"), written(files.where("role = 'doc'").select("path", F.col("content").alias("body")), "docs"))
+    return Extracted(written(own, "files"), found, written(extract.references(rows, symbols), "refs"), written(extract.imports(code), "imports"), written(files.where("role = 'doc'").select("path", F.col("content").alias("body")), "docs"))
 
 
 def replaced(old: Extracted, new: Extracted, gone: DataFrame) -> Extracted:

@@ -1,186 +1,211 @@
-"""Symbols, references and imports of source files, line by line in DataFrame expressions.
+"""Symbols, references and imports of source files, statement by statement in DataFrame expressions.
 
-Lines lose strings and comments; nesting is a running sum of braces (for Python the indent); a
-symbol ends where its nesting does. A declaration begins on a line of its own; its header may go on
-over the next lines. All of it is windows and equality joins over lines, linear in a file's lines.
+A declaration is a statement of a known form whose block, if it opens one, ends where its bracket or
+indent does; members are those whose block is a container's. All of it is windows and equality
+joins over statements (sources.statements), linear in a file's bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.statements import family, statements
+
+__all__ = ["family", "imports", "packages", "references", "statements", "symbols"]
+
 NAME = r"([A-Za-z_$][\w$]*)"
-SCRIPT = ("typescript", "tsx", "javascript")
-EXPORT = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?"
-MODIFIERS = r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*"
+EXPORT = r"^(?:export )?(?:default )?(?:declare )?(?:abstract )?(?:async )?"
+MODIFIERS = r"^(?:(?:public|protected|private|static|final|abstract|synchronized|default|native|transient|volatile|strictfp|sealed) )*"
+TYPE = r"(?:[\w.$]+(?:<[^;{(=]*>)?(?: ?\[ ?\])* )"
+PUB = r"^(?:pub(?: ?\([^)]*\))? )?"
+ARROW = r"[^=]*=\s*(?:async )?(?:function\b|(?:<[^>]*>)?\([^=]*\)[^=]*=>|[\w$]+ ?=>)"
 
 # For each language (kind, pattern of a declaration with its name, level: top, member or any).
 DECLARATIONS: dict[str, list[tuple[str, str, str]]] = {
     "script": [
-        ("function", EXPORT + r"function\s*\*?\s*" + NAME, "top"),
-        ("class", EXPORT + r"class\s+" + NAME, "top"),
-        ("interface", EXPORT + r"interface\s+" + NAME, "top"),
-        ("enum", EXPORT + r"(?:const\s+)?enum\s+" + NAME, "top"),
-        ("type", EXPORT + r"type\s+" + NAME + r"[^=]*=", "top"),
-        ("function", EXPORT + r"(?:const|let|var)\s+" + NAME + r"[^=]*=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=]*=>|[\w$]+\s*=>)", "top"),
-        ("constant", EXPORT + r"(?:const|let|var)\s+" + NAME, "top"),
-        ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*" + NAME + r"\s*(?:<[^>]*>)?\([^;]*\)[^;=]*\{", "member"),
-        ("method", r"^\s+(?:(?:public|private|protected|static|readonly)\s+)*" + NAME + r"\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>", "member"),
+        ("function", EXPORT + r"function ?\*? ?" + NAME, "top"),
+        ("class", EXPORT + r"class " + NAME, "top"),
+        ("interface", EXPORT + r"interface " + NAME, "top"),
+        ("enum", EXPORT + r"(?:const )?enum " + NAME, "top"),
+        ("type", EXPORT + r"type " + NAME + r"[^=]*=", "top"),
+        ("function", EXPORT + r"(?:const|let|var) " + NAME + ARROW, "top"),
+        ("constant", EXPORT + r"(?:const|let|var) " + NAME, "top"),
+        ("method", r"^(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set) )*\*?#?" + NAME + r"\??(?:<[^(]*>)? ?\([^;]*\)[^;=]*\{$", "member"),
+        ("method", r"^(?:(?:public|private|protected|static|readonly|override) )*#?" + NAME + r"(?:: [^=]*)? ?" + r"= ?(?:async )?(?:function\b|(?:<[^>]*>)?\([^=]*\)[^=]*=>|[\w$]+ ?=>)", "member"),
     ],
     "python": [
-        ("class", r"^\s*class\s+" + NAME, "any"),
-        ("function", r"^(?:async\s+)?def\s+" + NAME, "top"),
-        ("method", r"^\s+(?:async\s+)?def\s+" + NAME, "member"),
+        ("class", r"^class " + NAME, "any"),
+        ("function", r"^(?:async )?def " + NAME, "top"),
+        ("method", r"^(?:async )?def " + NAME, "member"),
     ],
     "go": [
-        ("method", r"^func\s+\([^)]*\)\s*" + NAME, "top"),
-        ("function", r"^func\s+" + NAME, "top"),
-        ("struct", r"^type\s+" + NAME + r"\s+struct\b", "top"),
-        ("interface", r"^type\s+" + NAME + r"\s+interface\b", "top"),
-        ("type", r"^type\s+" + NAME, "top"),
-        ("constant", r"^const\s+" + NAME, "top"),
-        ("variable", r"^var\s+" + NAME, "top"),
+        ("method", r"^func \([^)]*\) ?" + NAME, "top"),
+        ("function", r"^func " + NAME, "top"),
+        ("struct", r"^type " + NAME + r"(?:\[[^\]]*\])? (?:= )?struct\b", "top"),
+        ("interface", r"^type " + NAME + r"(?:\[[^\]]*\])? (?:= )?interface\b", "top"),
+        ("type", r"^type " + NAME + r"\b(?! ?\()", "top"),
+        ("constant", r"^const " + NAME + r"\b", "top"),
+        ("variable", r"^var " + NAME + r"\b", "top"),
     ],
     "java": [
-        ("class", MODIFIERS + r"class\s+" + NAME, "any"),
-        ("interface", MODIFIERS + r"interface\s+" + NAME, "any"),
-        ("enum", MODIFIERS + r"enum\s+" + NAME, "any"),
-        ("method", MODIFIERS + r"(?:<[^>]*>\s*)?(?:[\w.$]+(?:<[^;{(]*>)?(?:\[\])*\s+)?" + NAME + r"\s*\([^;]*\)[^;=]*(?:\{|;)\s*$", "member"),
-        ("variable", MODIFIERS + r"(?!return\b)[\w.$]+(?:<[^;{(]*>)?(?:\[\])*\s+" + NAME + r"\s*(?:=.*)?;\s*$", "member"),
+        ("class", MODIFIERS + r"class " + NAME, "any"),
+        ("interface", MODIFIERS + r"interface " + NAME, "any"),
+        ("enum", MODIFIERS + r"enum " + NAME, "any"),
+        ("method", MODIFIERS + r"(?:<[^(]*> ?)?" + TYPE + "?" + NAME + r" ?\([^;=]*\)[^;=]*(?:\{|;)$", "member"),
+        ("variable", MODIFIERS + r"(?!(?:return|throw|package|import|new|else|case|record|assert|yield)\b)" + TYPE + NAME + r" ?(?:\[ ?\])* ?(?:=.*|,.*)?(?:;|\{)$", "member"),
     ],
     "rust": [
-        ("impl", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?" + NAME, "any"),
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+" + NAME, "any"),
-        ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+" + NAME, "any"),
-        ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+" + NAME, "any"),
-        ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+" + NAME, "any"),
-        ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+" + NAME, "any"),
+        ("impl", r"^(?:unsafe )?impl(?:<[^{]*?>)? (?:[^{]+? for )?(?:[\w]+::)*" + NAME, "any"),
+        ("function", PUB + r"(?:async |const |unsafe |extern \"\" )*fn " + NAME, "any"),
+        ("struct", PUB + r"struct " + NAME, "any"),
+        ("enum", PUB + r"enum " + NAME, "any"),
+        ("trait", PUB + r"(?:unsafe )?trait " + NAME, "any"),
+        ("module", PUB + r"mod " + NAME, "any"),
     ],
 }
 CONTAINERS = ("class", "interface", "enum", "struct", "trait", "impl")
+#: Kinds whose blocks may hold declarations of level any.
+HOLDERS = {"java": ("class", "interface", "enum"), "python": ("class",), "rust": ("impl", "trait", "module")}
+#: Words before a parenthesis that call nothing, and builtins: of all languages, and of each.
 KEYWORDS = (
     "if", "for", "while", "switch", "catch", "return", "function", "def", "class", "func", "fn", "super", "this", "typeof", "print", "len", "range", "str", "int", "list",
-    "dict", "set", "isinstance", "append", "make", "panic", "cap", "delete", "copy", "match", "loop", "constructor",
+    "dict", "set", "isinstance", "append", "make", "panic", "cap", "delete", "copy", "match", "loop", "constructor", "else", "case",
 )
+RESERVED: dict[str, tuple[str, ...]] = {
+    "script": ("await", "yield", "new", "throw", "do", "in", "of", "instanceof", "void", "import"),
+    "python": ("elif", "and", "or", "not", "in", "is", "await", "yield", "lambda", "assert", "with", "except", "del", "raise"),
+    "go": ("go", "defer", "select", "type", "var", "const", "import", "struct", "interface", "map", "chan", "new", "close", "recover", "println", "range"),
+    "java": ("new", "throw", "do", "try", "synchronized", "assert", "yield"),
+    "rust": ("in", "move", "mut", "ref", "unsafe", "impl", "where", "as"),
+}
 
 
-def family(language: Column) -> Column:
-    return F.when(language.isin(*SCRIPT), "script").otherwise(language)
-
-
-def bare(line: Column, fam: Column) -> Column:
-    """A line without the content of strings, and without what follows a comment sign."""
-    text = F.regexp_replace(line, r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'(?:\\.|[^'\\])'|'[^']*'|`[^`]*`", '""')
-    return F.when(fam == "python", F.regexp_replace(text, "#.*$", "")).otherwise(F.regexp_replace(F.regexp_replace(text, r"/\*.*?\*/", ""), r"//.*$|^\s*\*.*$|/\*.*$", ""))
+def reserved(name: Column, fam: Column) -> Column:
+    """Whether a word isn't the name of anything."""
+    out = name.isin(*KEYWORDS)
+    for own, words in RESERVED.items():
+        out |= (fam == own) & name.isin(*words)
+    return out
 
 
-#: Lines over which the header of a declaration may go on.
-HEADER = 8
+PRIMITIVES = ("int", "long", "short", "byte", "char", "boolean", "float", "double", "void", "var")
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, fam, at, raw, line, head, depth, after, blank, inner): each line with its nesting before and after it.
+def symbols(rows: DataFrame) -> DataFrame:
+    """(path, kind, name, qualified_name, parent_name, start_line, end_line, signature, doc, exported, stmt, last_stmt) of statements().
 
-    head is the line with what its open parentheses go on with, up to the first brace or semicolon. inner
-    are the lines of Python within brackets, whose indent says nothing.
-    """
-    rows = files.select("path", family(F.col("language")).alias("fam"), F.posexplode(F.split("content", "\r?\n")).alias("at", "raw")).withColumn("at", F.col("at") + 1)
-    rows = rows.withColumn("line", bare(F.col("raw"), F.col("fam")))
-    less = lambda a, b: F.length(F.regexp_replace("line", f"[^{a}]", "")) - F.length(F.regexp_replace("line", f"[^{b}]", ""))
-    step = less("{", "}")
-    upto = Window.partitionBy("path").orderBy("at")
-    after = F.sum(step).over(upto)
-    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    python = F.col("fam") == "python"
-    rows = rows.withColumn("after", F.when(python, indent).otherwise(after)).withColumn("depth", F.when(python, indent).otherwise(F.col("after") - step))
-    more = F.concat_ws(" ", "line", *[F.lead("line", k).over(upto) for k in range(1, HEADER)])
-    whole = F.regexp_extract(more, r"^([^{;]*[{;]?)", 1)
-    within = F.coalesce(F.sum(less(r"(\[{", r")\]}")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    rows = rows.withColumn("inner", python & within)
-    return rows.withColumn("head", F.when(less("(", ")") > 0, F.when(python, more).otherwise(whole)).otherwise(F.col("line"))).withColumn("blank", F.trim("line") == "")
-
-
-def _ends(rows: DataFrame, decls: DataFrame) -> DataFrame:
-    """decls with end_line, and body, the nesting of what is directly inside.
-
-    A line closes the levels between the nesting it leaves and the one before; a declaration ends at the
-    next line that closes its level, found by a window over each level's declarations and closing lines.
+    A statement that declares several names (fields of Java, Go's specs) gives each. last_stmt is the
+    last statement of its block, null if it has none.
     """
-    order = Window.partitionBy("path").orderBy("at")
-    python = F.col("fam") == "python"
-    solid = rows.where("not blank and not inner").withColumn("lag_at", F.lag("at").over(order))
-    solid = solid.withColumn("was", F.when(python, F.lag("after").over(order)).otherwise(F.col("depth"))).withColumn("next_depth", F.lead("depth").over(order))
-    # Where a header goes on: the first line from here on with a brace or semicolon.
-    follow = Window.partitionBy("path").orderBy("at").rowsBetween(Window.currentRow, HEADER)
-    solid = solid.withColumn("opens", F.min(F.when(F.col("line").rlike("[{;]"), F.struct("at", "after"))).over(follow))
-    closing = solid.where("after < was").select("path", F.explode(F.expr("sequence(after, was - 1)")).alias("level"), "at", F.when(python, F.col("lag_at")).otherwise(F.col("at")).alias("closes"))
-    final = solid.groupBy("path").agg(F.max("at").alias("final"))
-    own = decls.join(solid.select("path", "at", "next_depth", "opens", "after"), ["path", "at"]).join(final, "path")
-    own = own.withColumn("next_decl", F.lead("at").over(order))
-    wraps = F.col("kind").isin("function", "method", *CONTAINERS) & (F.col("opens.after") > F.col("depth")) & (F.col("next_decl").isNull() | (F.col("opens.at") < F.col("next_decl")))
-    open_ = F.when(python, F.col("next_depth") > F.col("depth")).otherwise((F.col("after") > F.col("depth")) | F.coalesce(wraps, F.lit(False)))
-    own = own.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("body", F.when(python, F.col("next_depth")).otherwise(F.col("depth") + 1))
-    keyed = own.select("path", F.col("depth").alias("level"), "at", F.lit(None).cast("int").alias("closes"), F.struct(*own.columns).alias("d"))
-    both = keyed.unionByName(closing.withColumn("d", F.lit(None).cast(keyed.schema["d"].dataType)))
-    later = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.col("d").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("end", F.last("closes", True).over(later)).where("d is not null").select("d.*", "end")
-    return found.withColumn("end_line", F.when(F.col("open"), F.coalesce("end", "final")).otherwise(F.col("at")).cast("int")).select(*decls.columns, "body", "end_line")
-
-
-def symbols(rows: DataFrame) -> DataFrame:
-    """(path, kind, name, qualified_name, parent_name, start_line, end_line, signature, doc, exported) of lines()."""
-    found = F.lit(None).cast("struct<kind:string,name:string>")
+    fits = F.array().cast("array<struct<kind:string,name:string,rule:string>>")
     for fam, rules in DECLARATIONS.items():
-        for kind, pattern, level in reversed(rules):
-            fits = (F.col("fam") == fam) & F.col("head").rlike(pattern)
-            if level == "top":
-                fits &= F.col("depth") == 0
-            elif level == "member":
-                fits &= F.col("depth") > 0
-            found = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("head", pattern, 1).alias("name"))).otherwise(found)
-    order = Window.partitionBy("path").orderBy("at")
-    comment = F.when(F.col("raw").rlike(r"^\s*(///?|\*|/\*\*|#)"), F.trim(F.regexp_replace("raw", r"^\s*(///?|/\*\*|\*/?|#)\s*|\*/\s*$", "")))
-    decls = rows.withColumn("doc", F.lag(comment).over(order)).withColumn("d", found).where("d is not null").select("path", "fam", "at", "raw", "head", "depth", "doc", "d.kind", "d.name")
-    decls = _ends(rows, decls.where(~F.col("name").isin(*KEYWORDS) | F.col("kind").isin("class", "struct")))
-    # The parent is the last container before whose inside has the declaration's nesting, if it is still open there.
-    box = F.struct(F.col("name").alias("parent_name"), F.col("end_line").alias("p_end"))
-    inside = decls.where(F.col("kind").isin(*CONTAINERS)).select("path", F.col("body").alias("level"), "at", box.alias("box"))
-    keyed = decls.select("path", F.col("depth").alias("level"), "at", F.struct(*decls.columns).alias("d"))
-    both = keyed.unionByName(inside, allowMissingColumns=True)
-    before = Window.partitionBy("path", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    decls = both.withColumn("p", F.last("box", True).over(before)).where("d is not null").select("d.*", F.when(F.col("at") <= F.col("p.p_end"), F.col("p.parent_name")).alias("box_name"))
-    receiver = F.when((F.col("fam") == "go") & (F.col("kind") == "method"), F.regexp_extract("head", r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)", 1))
-    parent = F.coalesce(receiver, "box_name")
-    member = F.col("kind").isin("method", "variable")
-    decls = decls.where(~(F.col("fam").isin("script", "java", "python") & member) | F.col("box_name").isNotNull())
+        tried = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract("head", pattern, 1).alias("name"), F.lit(level).alias("rule")) for kind, pattern, level in rules])
+        fits = F.when(F.col("fam") == fam, tried).otherwise(fits)
+    # The first rule that fits at this level, as a row of its own, so that no rule is tried twice.
+    at_level = lambda d: (d["name"] != "") & ((d["rule"] == "any") | ((d["rule"] == "top") == (F.col("level") == 0)))
+    decls = rows.select("*", F.explode(F.slice(F.filter(fits, at_level), 1, 1)).alias("d")).select("*", "d.*").drop("d")
+    # Members may be named like builtins.
+    no_name = reserved(F.col("name"), F.col("fam")) & ~F.col("kind").isin("class", "struct", "variable")
+    flow = F.col("name").isin("if", "for", "while", "switch", "catch", "return", "function", "else", "case", "do", "try", "synchronized", "new", "throw")
+    decls = decls.where(~no_name | F.col("fam").isin("java", "script") & (F.col("kind") == "method") & ~flow)
+    box = decls.select("path", F.col("stmt").alias("outer"), F.col("kind").alias("box_kind"), F.col("name").alias("box_name"))
+    decls = decls.join(box, ["path", "outer"], "left")
+    held = F.lit(False)
+    for fam, kinds in HOLDERS.items():
+        held |= (F.col("fam") == fam) & F.col("box_kind").isin(*kinds)
+    member = (F.col("rule") == "member") & F.coalesce(F.col("box_kind").isin(*CONTAINERS), F.lit(False))
+    decls = decls.where((F.col("rule") == "top") | member | (F.col("rule") == "any") & ((F.col("level") == 0) | F.coalesce(held, F.lit(False))))
+    receiver = F.when((F.col("fam") == "go") & (F.col("kind") == "method"), F.regexp_extract("head", r"^func \(\s*(?:\w+ )?\*?(\w+)", 1))
+    parent = F.coalesce(receiver, F.when(F.col("box_kind").isin(*CONTAINERS), F.col("box_name")))
     kind = F.when((F.col("fam") == "rust") & (F.col("kind") == "function") & parent.isNotNull(), "method").otherwise(F.col("kind"))
     exported = (
-        F.when(F.col("fam") == "script", F.col("head").rlike(r"^\s*export\b"))
+        F.when(F.col("fam") == "script", F.col("head").rlike(r"^export\b"))
         .when(F.col("fam") == "python", ~F.col("name").startswith("_"))
         .when(F.col("fam") == "go", F.col("name").rlike("^[A-Z]"))
-        .when(F.col("fam") == "java", F.col("head").rlike(r"\bpublic\b"))
-        .otherwise(F.col("head").rlike(r"^\s*pub\b"))
+        .when(F.col("fam") == "java", F.col("head").rlike(r"^(?:\w+ )*?public\b"))
+        .otherwise(F.col("head").rlike(r"^pub\b"))
     )
-    return decls.select("path", kind.alias("kind"), "name", F.concat_ws(".", parent, "name").alias("qualified_name"), parent.alias("parent_name"), F.col("at").cast("int").alias("start_line"), "end_line", F.substring(F.trim("raw"), 1, 200).alias("signature"), F.substring("doc", 1, 200).alias("doc"), exported.alias("exported"))
+    listed = F.regexp_extract("head", r"^(?:const|var) ((?:\w+, ?)+\w+)", 1)
+    flat = F.regexp_replace(F.regexp_replace("head", r"<[^<>]*>", ""), r"\([^()]*\)", "")
+    more = F.when(F.col("kind") == "variable", F.regexp_extract_all(flat, F.lit(r", ?(\w+)(?: ?\[ ?\])* ?(?=[=,;])"), F.lit(1)))
+    names = F.when((F.col("fam") == "go") & (listed != ""), F.split(listed, ", ?")).when((F.col("fam") == "java") & (F.col("kind") == "variable"), F.concat(F.array("name"), more)).otherwise(F.array("name"))
+    decls = decls.withColumn("name", F.explode(F.array_distinct(names)))
+    signature = F.substring(F.trim(F.regexp_replace(F.regexp_replace("code", r"^\s+", ""), r"(?s)[\n{].*$", "")), 1, 200)
+    return decls.select("path", kind.alias("kind"), "name", F.concat_ws(".", parent, "name").alias("qualified_name"), parent.alias("parent_name"), "start_line", F.col("last_line").alias("end_line"), signature.alias("signature"), F.substring("doc", 1, 200).alias("doc"), exported.alias("exported"), "stmt", F.when(F.col("opens"), F.coalesce("close", F.lit(1 << 30))).alias("last_stmt"))
+
+
+def _around(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, stmt, owner, owner_kind): the innermost declaration whose block a statement is in."""
+    final = rows.groupBy("path").agg(F.max("stmt").alias("final"))
+    spans = found.where("last_stmt is not null").join(final, "path").where("least(last_stmt, final) > stmt")
+    # A statement is in as many spans as declarations are nested, so all of them together are about those of the file.
+    each = spans.select("path", F.explode(F.expr("sequence(stmt + 1, least(last_stmt, final))")).alias("at"), "stmt", F.struct("name", "kind").alias("own"))
+    return each.groupBy("path", F.col("at").alias("stmt")).agg(F.max_by("own", "stmt").alias("own")).select("path", "stmt", F.col("own.name").alias("owner"), F.col("own.kind").alias("owner_kind"))
+
+
+CALL = r"([A-Za-z_$][\w$]*)\s*(?:<[\w, .?\[\]<>]*>)?\("
+CALL_RUST = r"(?<![\w.:])([A-Za-z_]\w*)(?:(?:::|\.)(?:\w+|<[^>()]*>))*\s*\("
+GO_TYPE = r"\*?(?:\w+\.)?([A-Za-z_]\w*)"
 
 
 def references(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, from_symbol, name, kind): calls by line, named by their last part, and bases of classes; from the innermost symbol around."""
-    call = F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*)\s*(?:<[\w, ]*>)?\("), F.lit(1))
-    calls = rows.where("not blank").select("path", "at", F.explode(F.array_distinct(call)).alias("name")).where(~F.col("name").isin(*KEYWORDS))
-    own = found.select("path", F.col("start_line").alias("at"), "name")
-    calls = calls.join(own, ["path", "at", "name"], "left_anti")
-    # A line is in as many spans as functions are nested, so all their lines together are about those of the file.
-    spans = found.where(F.col("kind").isin("function", "method", "constant")).select("path", F.explode(F.sequence("start_line", "end_line")).alias("at"), "start_line", F.col("name").alias("from_symbol"))
-    inner = spans.groupBy("path", "at").agg(F.max_by("from_symbol", "start_line").alias("from_symbol"))
-    uses = calls.join(inner, ["path", "at"], "left").select("path", "from_symbol", "name", F.lit("calls").alias("kind"))
-    heads = found.join(rows.select("path", F.col("at").alias("start_line"), "head", "fam"), ["path", "start_line"])
-    base = F.when(F.col("fam") == "python", F.regexp_extract("head", r"^\s*class\s+\w+\(([^)]*)\)", 1)).otherwise(F.regexp_extract("head", r"\bextends\s+([\w$., ]+?)(?:\s+implements\b|\s*\{|<|$)", 1))
-    done = F.when(F.col("fam") == "rust", F.regexp_extract("head", r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b", 1)).otherwise(F.regexp_extract("head", r"\bimplements\s+([\w$., ]+?)(?:\s*\{|<|$)", 1))
-    bases = heads.where(F.col("kind").isin("class", "interface", "impl")).select("path", F.col("name").alias("from_symbol"), F.explode(F.array(F.struct(base.alias("n"), F.lit("extends").alias("kind")), F.struct(done.alias("n"), F.lit("implements").alias("kind")))).alias("b"))
-    bases = bases.select("path", "from_symbol", F.explode(F.split("b.n", r"\s*,\s*")).alias("name"), "b.kind").where("name <> ''").withColumn("name", F.regexp_replace(F.trim("name"), r"^.*[:]|\..*$", ""))
-    return uses.distinct().unionByName(bases.distinct())
+    """(path, from_symbol, name, kind) of statements and their symbols.
+
+    Calls are named by their last part (Rust: by their first) and come from the innermost function around; those outside of all
+    declarations from none (Go, Java and Rust have no such calls), and those in the initialiser of a constant
+    or field don't count. extends and implements are of heads and of embedded fields; references are the
+    types of Java's parameters and fields, and of Go's parameters, results, fields, variables, literals
+    and assertions.
+    """
+    own = found.select("path", "stmt", F.col("name").alias("own_name"), F.col("kind").alias("own_kind"), F.col("last_stmt").isNotNull().alias("has_block"))
+    all_ = rows.join(_around(rows, found), ["path", "stmt"], "left").join(own.dropDuplicates(["path", "stmt"]), ["path", "stmt"], "left")
+    in_function = F.col("owner_kind").isin("function", "method")
+    body = (
+        F.when(F.col("own_name").isNull(), F.col("head"))
+        .when(F.col("fam") == "python", F.regexp_extract("head", r"\)(?: ?->[^:]*)? ?:(.+)$", 1))
+        .when((F.col("fam") == "script") & F.col("own_kind").isin("function", "method") & ~F.col("has_block"), F.regexp_extract("head", r"=>(.*)$", 1))
+    )
+    names = F.when(F.col("fam") == "rust", F.regexp_extract_all(body, F.lit(CALL_RUST), F.lit(1))).otherwise(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))
+    caller = F.when(F.col("own_kind").isin("function", "method"), F.col("own_name")).when(in_function, F.col("owner"))
+    counts = caller.isNotNull() | F.col("own_name").isNull() & F.col("owner").isNull() & F.col("fam").isin("script", "python") | (F.col("fam") == "python") & (F.col("owner_kind") == "class") & F.col("own_name").isNull()
+    inner = F.col("fam").isin("script", "python") & F.col("head").rlike(r"^(?:export )?(?:async )?(?:function|def)\b")  # a nested function's name isn't called
+    calls = all_.where(counts).select("path", caller.alias("from_symbol"), F.explode(F.when(inner & F.col("own_name").isNull(), F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)).alias("name"), F.lit("calls").alias("kind"), "fam")
+    calls = calls.where(~reserved(F.col("name"), F.col("fam"))).drop("fam")
+
+    head, python = F.col("head"), F.col("fam") == "python"
+    no_generics = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"<[^<>]*>", ""), r"<[^<>]*>", ""), r"<[^<>]*>", "")
+    base = F.when(python, F.regexp_extract("head", r"^class \w+ ?\(([^)]*)\)", 1)).when((F.col("fam") == "java") & (F.col("own_kind") == "interface"), "").otherwise(F.regexp_extract(no_generics, r"\bextends ([\w$., ]+?)(?: implements\b| ?\{|$)", 1))
+    done = F.when(F.col("fam") == "rust", F.regexp_extract(no_generics, r"\bimpl ?(?:\w+::)*(\w+) for\b", 1)).otherwise(F.regexp_extract(no_generics, r"\bimplements ([\w$., ]+?)(?: ?\{|$)", 1))
+    pairs = F.array(F.struct(base.alias("n"), F.lit("extends").alias("kind")), F.struct(done.alias("n"), F.lit("implements").alias("kind")))
+    bases = all_.where(F.col("own_kind").isin("class", "interface", "impl") & (F.col("fam") != "go")).select("path", F.col("own_name").alias("from_symbol"), F.explode(pairs).alias("b"))
+    bases = bases.select("path", "from_symbol", F.explode(F.split("b.n", r"\s*,\s*")).alias("name"), "b.kind").where("name <> '' and name not like '%=%'").withColumn("name", F.regexp_replace(F.trim("name"), r"^.*[:]|\..*$", ""))
+
+    go, java = F.col("fam") == "go", F.col("fam") == "java"
+    inside = F.regexp_replace("head", r" ?[};]$", "")  # a field that shares its line with the end of its block
+    each = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    one = lambda text, pattern: F.array_remove(F.array(F.regexp_extract(text, pattern, 1)), "")
+    none = F.array().cast("array<string>")
+    # Java: parameters of a method's head, and the type of a field; the last part of a dotted type, without generics.
+    params = F.regexp_extract(no_generics, r"^[^(]*\((.*)\)", 1)
+    of_params = each(params, r"(?:^|,) ?(?:@\w+(?:\([^)]*\))? |final )*(?:\w+\.)*([A-Za-z_$][\w$]*)(?: ?\[ ?\])*(?: ?\.\.\.)? [A-Za-z_$]")
+    of_field = one(no_generics, MODIFIERS + r"(?:\w+\.)*([A-Za-z_$][\w$]*)(?: ?\[ ?\])* [A-Za-z_$]")
+    in_java = F.when(java & (F.col("own_kind") == "method"), of_params).when(java & (F.col("own_kind") == "variable"), of_field)
+    # Go: heads of functions, fields of structs, and what bodies declare, build and assert.
+    signature = F.regexp_extract("head", r"^func (?:\([^)]*\) ?)?\w+(?:\[[^\]]*\])? ?(\(.*)$", 1)
+    typed = r"[(,] ?\w+ " + GO_TYPE + r"(?= ?[,)])"
+    result = one(signature, r"^\((?:[^()]|\([^()]*\))*\) " + GO_TYPE + r" ?\{?$")
+    literal = F.when(F.col("mark") == "{", F.when(~head.rlike(r"^(?:func|type|if|for|switch|select|else)\b"), one("head", r"(?:^|[^\]\w.])" + r"(?:\w+\.)?([A-Za-z_]\w*)\{$"))).otherwise(none)
+    declared = one("head", r"^(?:var|const) (?:\w+, ?)*\w+ " + GO_TYPE + r"(?= ?=|$)")
+    asserted = each("head", r"\.\(" + GO_TYPE + r"\)")
+    lambdas = F.flatten(F.transform(each("head", r"\bfunc ?(\([^()]*\))"), lambda p: each(p, typed)))
+    bodies = F.filter(F.concat(F.coalesce(literal, none), declared, asserted, lambdas), lambda x: x != "type")
+    field = one(inside, r"^(?:\w+, ?)*\w+ " + GO_TYPE + r"(?: ?\"\")?$")
+    in_go = F.when(go & F.col("own_kind").isin("function", "method"), F.concat(each(signature, typed), result)).when(go & (F.col("owner_kind") == "struct"), field).when(go & in_function, bodies)
+    types = all_.select("path", F.when(F.col("own_kind").isin("function", "method"), F.col("own_name")).otherwise(F.col("owner")).alias("from_symbol"), F.explode(F.coalesce(in_java, in_go)).alias("name"), F.lit("references").alias("kind"))
+    types = types.where(~F.col("name").isin(*PRIMITIVES) | ~F.col("path").endswith(".java"))
+    embedded = all_.where(go & F.col("owner_kind").isin("struct", "interface")).select("path", F.col("owner").alias("from_symbol"), F.regexp_extract(inside, "^" + GO_TYPE + r"(?: ?\"\")?$", 1).alias("name"), F.lit("extends").alias("kind")).where("name <> ''")
+    return calls.unionByName(bases).unionByName(types).unionByName(embedded).distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.plans import build, snapshot, sync
+from loomgraph.scratch import written
 from loomgraph.sources import extract, gitlog, tree
 from loomgraph.streaming import changes
 
@@ -134,8 +135,8 @@ impl Afloat for Ferry {
 
 def test_extraction(spark):
     files = spark.createDataFrame([("f.ts", "typescript", TS), ("f.py", "python", PY), ("f.go", "go", GO), ("F.java", "java", JAVA), ("f.rs", "rust", RUST)], "path string, language string, content string")
-    lines = extract.lines(files)
-    found = extract.symbols(lines)
+    rows_ = written(extract.statements(files), "statements")
+    found = written(extract.symbols(rows_), "symbols")
     rows = found.collect()
     s = {(r.path, r.qualified_name, r.kind): (r.start_line, r.end_line) for r in rows}
     assert s == {
@@ -148,7 +149,7 @@ def test_extraction(spark):
     }
     by = {(r.path, r.name): r for r in rows}
     assert by["f.ts", "moor"].exported and not by["f.py", "_sink"].exported and by["f.ts", "moor"].doc == "Moors a boat at the quay."
-    refs = {(r.path, r.from_symbol, r.name, r.kind) for r in extract.references(lines, found).collect()}
+    refs = {(r.path, r.from_symbol, r.name, r.kind) for r in extract.references(rows_, found).collect()}
     assert refs >= {
         ("f.ts", "sail", "toll", "calls"), ("f.ts", "moor", "signal", "calls"), ("f.ts", "sail", "guide", "calls"), ("f.ts", "Ferry", "Vessel", "extends"), ("f.ts", "Ferry", "Afloat", "implements"),
         ("f.py", "sail", "toll", "calls"), ("f.py", "wash", "scrub", "calls"), ("f.py", "Ferry", "Vessel", "extends"), ("f.go", "Sail", "toll", "calls"), ("F.java", "sail", "guide", "calls"), ("F.java", "wash", "scrub", "calls"),
@@ -162,7 +163,7 @@ def test_extraction(spark):
 def test_long_literals_are_masked(spark):
     long_ = '"' + "{ab\\n" * 20_000 + '"'
     files = spark.createDataFrame([("a.ts", "typescript", f"export const tide = {long_}\nexport function ebb() {{\n  flow()\n}}\n")], "path string, language string, content string")
-    found = {(r.name, r.start_line, r.end_line) for r in extract.symbols(extract.lines(files)).collect()}
+    found = {(r.name, r.start_line, r.end_line) for r in extract.symbols(extract.statements(files)).collect()}
     assert found == {("tide", 1, 1), ("ebb", 2, 4)}
 
 
