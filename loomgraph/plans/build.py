@@ -6,7 +6,7 @@ a written table, so that no plan derives lines or symbols anew.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +20,12 @@ from loomgraph.sources import extract
 
 @dataclass
 class Graph:
+    """The graph, and what a version keeps of it: tables by name, whose rows have an _owner, the path that they come from."""
+
     nodes: DataFrame
     edges: DataFrame
     pending: DataFrame
+    owned: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -53,12 +56,6 @@ def extracted(files: DataFrame) -> Extracted:
     return Extracted(written(own, "files"), found, written(extract.references(rows, symbols), "refs"), written(extract.imports(code), "imports"), written(files.where("role = 'doc'").select("path", F.col("content").alias("body")), "docs"))
 
 
-def replaced(old: Extracted, new: Extracted, gone: DataFrame) -> Extracted:
-    """old with the files of new in place of its own, and without those gone (path)."""
-    out = gone.select("path").unionByName(new.files.select("path")).distinct()
-    return Extracted(*[getattr(old, f.name).join(out, "path", "left_anti").unionByName(getattr(new, f.name), allowMissingColumns=True) for f in fields(Extracted)])
-
-
 def _id(*parts: str | Column) -> Column:
     return F.xxhash64(*[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
 
@@ -70,7 +67,8 @@ def _shaped(rows: DataFrame, kind: str, id_: Column, repo_id: int, **columns: Co
     return rows.select(*[given.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in names if name != "ord" or "ord" in given])
 
 
-def _nodes(x: Extracted, repo_id: int) -> DataFrame:
+def file_nodes(x: Extracted, repo_id: int) -> DataFrame:
+    """Nodes of files, symbols and docs."""
     code = x.files.where("role = 'code'")
     path = F.col("path")
     files = _shaped(code, "file", _id(F.lit("file"), "path"), repo_id, name=path, file_path=path, language=F.col("language"))
@@ -83,52 +81,121 @@ def _nodes(x: Extracted, repo_id: int) -> DataFrame:
     return files.unionByName(symbols).unionByName(docs).withColumn("ord", (F.xxhash64("file_path") % 1_000_000_007) * 100_000 + place)
 
 
-def link(x: Extracted, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
-    """The graph of extracted files. Ids are hashes of what a node is, so that a full build equals an incremental one.
+#: Kinds of edges that are made together, from one owner.
+GROUPS = {"contains": "contains", "imports": "imports", "tests": "tests", "mentions": "mentions", "touched_by": "history", "co_change": "history", "in_feature": "history"}
 
-    Imports that resolve to no file of the tree stay pending, like references. commits are parsed log records.
-    """
-    nodes = written(_nodes(x, repo_id), "nodes")
-    repo = F.lit(repo_id).cast("long")
-    paths = x.files.where("role = 'code'").select("path", "language", "package")
-    ids = nodes.where("kind = 'file'").select(F.col("id").alias("fid"), F.col("file_path").alias("path"))
-    edge = lambda rows, kind=None: rows.select("src", "dst", (F.lit(kind) if kind else F.col("kind")).alias("kind"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("meta"))
-
-    asked = x.imports.select(F.col("path").alias("from_path"), "language", "raw")
-    module = x.files.where("module is not null").select("module").first()  # of the one go.mod
+
+def file_id(path: str) -> Column:
+    return _id(F.lit("file"), path)
+
+
+def owned_edges(rows: DataFrame, owner: Column, repo_id: int) -> DataFrame:
+    """rows (src, dst, kind[, weight, meta]) as edges with _owner and _group. Edges from one node belong to one owner, so only its rows can repeat."""
+    group = F.lit("ref")
+    for kind, name in GROUPS.items():
+        group = F.when(F.col("kind") == kind, name).otherwise(group)
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    meta = F.col("meta") if "meta" in rows.columns else F.lit(None).cast("string")
+    out = rows.select(owner.alias("_owner"), "src", "dst", "kind", weight.alias("weight"), meta.alias("meta")).dropDuplicates(["src", "dst", "kind"])
+    return out.select(F.xxhash64("src", "dst", "kind").alias("id"), F.lit(repo_id).cast("long").alias("repo_id"), "src", "dst", "kind", "weight", "meta", "_owner", group.alias("_group"))
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(from_path, raw, to_path) of imports (path, language, raw) within files (path, role, language, package, module)."""
+    asked = imports.select(F.col("path").alias("from_path"), "language", "raw")
+    paths = files.where("role = 'code'").select("path", "language", "package")
+    module = files.where("module is not null").select("module").first()  # of the one go.mod
     relative = resolve.relative_imports(asked.where("language not in ('go', 'java')"), paths)
     java = resolve.java_imports(asked.where("language = 'java'"), paths)
     go = resolve.go_imports(asked.where("language = 'go'"), paths, module["module"] if module else None)
-    resolved = written(relative.unionByName(java).unionByName(go).where("from_path <> to_path"), "resolved")
-    a, b = ids.withColumnsRenamed({"fid": "src", "path": "from_path"}), ids.withColumnsRenamed({"fid": "dst", "path": "to_path"})
-    edges = edge(resolved.join(a, "from_path").join(b, "to_path"), "imports")
-    missing = asked.join(resolved, ["from_path", "raw"], "left_anti").join(a, "from_path").select(repo.alias("repo_id"), F.col("src").alias("src_node"), F.col("raw").alias("name"), F.lit("imports").alias("kind"))
+    return relative.unionByName(java).unionByName(go).where("from_path <> to_path")
 
-    id_ = _id(F.lit("symbol"), "path", "qualified_name", "ordinal").alias("node_id")
-    own = x.symbols.select(id_, F.col("path").alias("file_path"), F.col("kind").alias("subkind"), "name", "qualified_name", "parent_name").join(nodes.select(F.col("id").alias("node_id"), "ord"), "node_id")
-    own = own.join(ids.withColumnsRenamed({"fid": "file_node", "path": "file_path"}), "file_path").join(paths.withColumnRenamed("path", "file_path"), "file_path")
-    own = written(own, "own")
-    edges = edges.unionByName(edge(resolve.contains_edges(own), "contains"))
 
-    numbered = x.refs.withColumn("ref_id", F.xxhash64("path", F.coalesce("from_symbol", F.lit("")), "name", "kind")).withColumnRenamed("path", "from_file").dropDuplicates(["ref_id"])
-    numbered = written(numbered.join(paths.withColumnRenamed("path", "from_file"), "from_file"), "numbered")
+def import_edges(resolved: DataFrame, repo_id: int) -> DataFrame:
+    rows = resolved.select("from_path", file_id("from_path").alias("src"), file_id("to_path").alias("dst"), F.lit("imports").alias("kind"))
+    return owned_edges(rows, F.col("from_path"), repo_id)
+
+
+def numbered_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(ref_id, from_file, from_symbol, name, kind, language, package) of refs (path, from_symbol, name, kind)."""
+    rows = refs.withColumn("ref_id", F.xxhash64("path", F.coalesce("from_symbol", F.lit("")), "name", "kind")).withColumnRenamed("path", "from_file").dropDuplicates(["ref_id"])
+    return rows.join(files.where("role = 'code'").select(F.col("path").alias("from_file"), "language", "package"), "from_file")
+
+
+def own_symbols(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbol nodes as resolution takes them: (node_id, name, file_path, subkind, qualified_name, package, ord)."""
+    packages = files.where("role = 'code'").select(F.col("path").alias("file_path"), "package")
+    return nodes.where("kind = 'symbol'").select(F.col("id").alias("node_id"), "name", "file_path", "subkind", "qualified_name", "ord").join(packages, "file_path")
+
+
+def linked_refs(numbered: DataFrame, known: DataFrame, around: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(ref_id, from_file, src, name, kind, target) of numbered refs; target is null where nothing is found.
+
+    known are the symbols of the refs' names, around those of their files, resolved the imports of their files.
+    """
     imported = resolved.select(F.col("from_path").alias("from_file"), F.col("to_path").alias("to_file"))
-    targets = resolve.references(numbered, own, imported)
-    placed = numbered.join(ids.withColumnsRenamed({"fid": "file_node", "path": "from_file"}), "from_file")
-    sources = resolve.enclosing(placed, own).join(numbered.select("ref_id", "name", "kind"), "ref_id")
-    linked = written(sources.join(targets, "ref_id", "left"), "linked")
-    edges = edges.unionByName(edge(linked.where("src <> target").withColumnRenamed("target", "dst")))
-    pending = linked.where("target is null").select(repo.alias("repo_id"), F.col("src").alias("src_node"), "name", "kind").unionByName(missing).distinct()
+    targets = resolve.references(numbered, known, imported)
+    sources = resolve.enclosing(numbered.withColumn("file_node", file_id("from_file")), around).join(numbered.select("ref_id", "from_file", "name", "kind"), "ref_id")
+    return sources.join(targets.select("ref_id", "target"), "ref_id", "left").select("ref_id", "from_file", "src", "name", "kind", "target")
+
+
+def ref_edges(linked: DataFrame, repo_id: int) -> DataFrame:
+    return owned_edges(linked.where("src <> target").withColumnRenamed("target", "dst"), F.col("from_file"), repo_id)
+
+
+def pending_refs(linked: DataFrame, imports: DataFrame, resolved: DataFrame, repo_id: int) -> DataFrame:
+    """(repo_id, src_node, name, kind, _owner) of refs without a target, and of imports that resolve to no file."""
+    repo = F.lit(repo_id).cast("long").alias("repo_id")
+    refs = linked.where("target is null").select(repo, F.col("src").alias("src_node"), "name", "kind", F.col("from_file").alias("_owner"))
+    asked = imports.select(F.col("path").alias("from_path"), "raw").join(resolved, ["from_path", "raw"], "left_anti")
+    return refs.unionByName(asked.select(repo, file_id("from_path").alias("src_node"), F.col("raw").alias("name"), F.lit("imports").alias("kind"), F.col("from_path").alias("_owner"))).distinct()
 
+
+def contains(symbols: DataFrame, nodes: DataFrame, repo_id: int) -> DataFrame:
+    """Edges from files and outer symbols to the symbols in them."""
+    id_ = _id(F.lit("symbol"), "path", "qualified_name", "ordinal").alias("node_id")
+    rows = symbols.select(id_, F.col("path").alias("file_path"), "name", "qualified_name", "parent_name", file_id("path").alias("file_node")).join(nodes.select(F.col("id").alias("node_id"), "ord"), "node_id")
+    rows = written(rows, "own")
+    found = resolve.contains_edges(rows).join(rows.select(F.col("node_id").alias("dst"), "file_path"), "dst")
+    return owned_edges(found.withColumn("kind", F.lit("contains")), F.col("file_path"), repo_id)
+
+
+def tests(nodes: DataFrame, refs: DataFrame, repo_id: int, only: DataFrame | None = None) -> DataFrame:
+    """Edges from test files, of only (path) if given, to what they test."""
     order = nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "ord")
-    edges = edges.unionByName(edge(resolve.tests_edges(order, nodes.where("kind in ('file', 'symbol')"), numbered.select("from_file", "name")), "tests"))
-    said = nodes.where("kind = 'doc'").select(F.col("id").alias("doc_id"), F.col("file_path").alias("path")).join(x.docs, "path")
-    edges = edges.unionByName(edge(documents.mentions(said, nodes).withColumnRenamed("doc_id", "src"), "mentions"))
+    found = resolve.tests_edges(order, nodes.where("kind in ('file', 'symbol')"), refs.select(F.col("path").alias("from_file"), "name"), only)
+    return owned_edges(found, F.col("test_path"), repo_id)
+
+
+def mentions(docs: DataFrame, nodes: DataFrame, repo_id: int) -> DataFrame:
+    """Edges from docs (path, body) to the files and symbols that they mention."""
+    said = docs.withColumn("doc_id", _id(F.lit("doc"), "path"))
+    found = documents.mentions(said, nodes).join(said.select("doc_id", "path"), "doc_id")
+    return owned_edges(found.select("path", F.col("doc_id").alias("src"), "dst", F.lit("mentions").alias("kind")), F.col("path"), repo_id)
+
+
+def owned_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("_owner", F.coalesce("file_path", F.lit("")))
+
+
+def link(x: Extracted, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
+    """The graph of extracted files. Ids are hashes of what a node is, so that a full build equals an incremental one.
+
+    Imports that resolve to no file of the tree stay pending, like references. commits are parsed log records.
+    """
+    nodes = written(file_nodes(x, repo_id), "nodes")
+    resolved = written(resolved_imports(x.imports, x.files), "resolved")
+    known = written(own_symbols(nodes, x.files), "own")
+    linked = written(linked_refs(written(numbered_refs(x.refs, x.files), "numbered"), known, known, resolved), "linked")
+    edges = import_edges(resolved, repo_id).unionByName(contains(x.symbols, nodes, repo_id)).unionByName(ref_edges(linked, repo_id))
+    edges = edges.unionByName(tests(nodes, x.refs, repo_id)).unionByName(mentions(x.docs, nodes, repo_id))
     if commits is not None:
-        more, links = _history(written(commits, "commits"), nodes, repo_id)
+        more, links = told_history(written(commits, "commits"), nodes, repo_id)
         nodes, edges = nodes.unionByName(more), edges.unionByName(links)
-    edges = edges.dropDuplicates(["src", "dst", "kind"]).select(F.xxhash64("src", "dst", "kind").alias("id"), repo.alias("repo_id"), "src", "dst", "kind", "weight", "meta")
-    return Graph(written(nodes, "all-nodes"), written(edges, "edges"), written(pending, "pending"))
+    owned = {"nodes": owned_nodes(nodes), "edges": edges, "pending_refs": pending_refs(linked, x.imports, resolved, repo_id)}
+    owned = {k: written(v, k) for k, v in owned.items()}
+    plain = [v.select(*[c for c in v.columns if not c.startswith("_")]) for v in owned.values()]
+    return Graph(*plain, {**owned, "linked": linked, "resolved": resolved})
 
 
 def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
@@ -136,7 +203,7 @@ def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None)
     return link(extracted(files), repo_id, commits)
 
 
-def _history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[DataFrame, DataFrame]:
+def told_history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[DataFrame, DataFrame]:
     """Commit and feature nodes; touched_by, co_change and in_feature edges."""
     files = nodes.where("kind = 'file'").select("id", "file_path")
     dated = commits.join(history.commit_totals(commits).drop("short_sha"), "sha")
@@ -152,4 +219,5 @@ def _history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[DataFr
     feature_nodes = _shaped(found, "feature", feature_id, repo_id, name=F.col("scope"), qualified_name=F.col("scope"), doc=F.col("doc"), meta=F.to_json(F.struct(F.col("commits").alias("commitCount"), "types")), ord=F.lit(0))
     of_commit = members.select(commit_id.alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.lit(1.0).alias("weight"), none)
     of_file = in_files.select(F.col("file_id").alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.col("weight").cast("double"), none)
-    return commit_nodes.unionByName(feature_nodes), told.unionByName(together).unionByName(of_commit).unionByName(of_file)
+    links = told.unionByName(together).unionByName(of_commit).unionByName(of_file)
+    return commit_nodes.unionByName(feature_nodes), owned_edges(links, F.lit(""), repo_id)

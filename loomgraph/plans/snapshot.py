@@ -1,14 +1,52 @@
-"""Versioned snapshots of the graph tables: a folder per version, and numbered pointers of which the last counts."""
+"""Versioned snapshots of the graph tables: buckets of files by path, manifests that list them, and numbered pointers of which the last counts.
+
+A table is one folder, or a folder per bucket of its rows' paths. A version's manifest tells for each table and
+bucket which version wrote it, so a version that changes few paths writes few buckets and refers to
+older ones for the rest. A version that was made from another is only published if that one is
+still the current one.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Versions besides the current one that a publication leaves, for readers that have begun.
 KEPT = 1
+#: Buckets of a table, if the build asks for no other number. The manifest keeps it.
+BUCKETS = 64
+
+
+class Conflict(RuntimeError):
+    """Another version was published since the one that this one was made from."""
+
+
+@dataclass
+class Bucketed:
+    """A table in buckets by the column key; rows whose key is null or empty are spread by the column spread."""
+
+    rows: DataFrame
+    key: str
+    spread: str
+
+
+@dataclass
+class Revised:
+    """A bucketed table in which fresh takes the place of the rows that match redo, whose first column is the key.
+
+    everywhere: redo may match rows of any bucket. Else only the buckets of its keys are read and written.
+    """
+
+    redo: DataFrame
+    fresh: DataFrame
+    key: str
+    spread: str
+    everywhere: bool = False
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,46 +64,107 @@ def _pointers(spark: SparkSession, root: str) -> list[int]:
 
 
 def _read(spark: SparkSession, root: str, number: int) -> dict:
-    rows = spark.read.text(f"{root}/_pointers/{number:010}").collect()  # one short line
+    rows = spark.read.option("wholetext", True).text(f"{root}/_pointers/{number:010}").collect()  # a few bytes per table and bucket
     return {**json.loads(rows[0]["value"]), "number": number}
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], manifest: dict | None = None) -> str:
-    """Writes all tables to a new version, then points to it: readers see the old version or the whole new one.
+def _bucket(key: str, spread: str, buckets: int) -> Column:
+    by = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.col(spread).cast("string")).otherwise(F.col(key))
+    return F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")
+
 
-    A pointer is written aside and renamed to the next number, which fails if another publication has
-    it; nothing that a reader may hold is ever replaced. Versions older than KEPT before the current
-    one are deleted.
+def _write(rows: DataFrame, key: str, spread: str, buckets: int, path: str) -> list[int]:
+    """Writes rows in buckets and tells which there are."""
+    placed = rows.withColumn("bucket", _bucket(key, spread, buckets))
+    placed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    fs, folder = _fs(rows.sparkSession, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
+
+
+def _parts(root: str, name: str, layout: dict[str, list[int] | None]) -> list[str]:
+    return [f"{root}/{version}/{name}" + ("" if b is None else f"/bucket={b}") for version, found in layout.items() for b in ([None] if found is None else found)]
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Bucketed | Revised], manifest: dict | None = None, base: dict | None = None, buckets: int = BUCKETS) -> str:
+    """Writes what is new to a new version, then points to it: readers see the old version or the whole new one.
+
+    base is the manifest that the tables were made from; tables that aren't given are taken from it. If it is no
+    longer the current one, nothing is published and Conflict is raised. Without base the version
+    follows whatever is there. A pointer is written aside and renamed to its number, which fails if
+    another publication has it. Folders that only versions before KEPT refer to are deleted.
     """
     version = uuid.uuid4().hex
-    for name, rows in tables.items():
-        rows.write.parquet(f"{root}/{version}/{name}")
+    layout = {k: dict(v) for k, v in (base or {}).get("layout", {}).items()}
+    schemas = dict((base or {}).get("schemas", {}))
+    buckets = (base or {}).get("buckets", buckets)
+    for name, t in tables.items():
+        path = f"{root}/{version}/{name}"
+        if isinstance(t, Revised):
+            old = layout[name]
+            there = {b for found in old.values() for b in found}
+            keys = t.redo.select(F.col(t.redo.columns[0]).alias("k"))
+            touched = there if t.everywhere else {r["b"] for part in (keys.select(_bucket("k", "k", buckets).alias("b")), t.fresh.select(_bucket(t.key, t.spread, buckets).alias("b"))) for r in part.distinct().collect() if r["b"] is not None}  # as many as buckets at most
+            dirs = _parts(root, name, {v: [b for b in found if b in touched] for v, found in old.items()})
+            shape = StructType.fromJson(schemas[name])
+            kept = spark.read.schema(shape).parquet(*dirs) if dirs else spark.createDataFrame([], shape)
+            rows = kept.join(t.redo.distinct(), t.redo.columns, "left_anti").select(*shape.names).unionByName(t.fresh.select(*shape.names))
+            new = _write(rows, t.key, t.spread, buckets, path)
+            left = {v: [b for b in found if b not in touched and b not in new] for v, found in old.items()}
+            layout[name] = {v: found for v, found in left.items() if found} | {version: new}
+        elif isinstance(t, Bucketed):
+            layout[name], schemas[name] = {version: _write(t.rows, t.key, t.spread, buckets, path)}, t.rows.schema.jsonValue()
+        else:
+            t.write.parquet(path)
+            layout[name], schemas[name] = {version: None}, t.schema.jsonValue()
+    told = {**(manifest or {}), "version": version, "layout": layout, "schemas": schemas, "buckets": buckets}
     fs, fresh = _fs(spark, f"{root}/_pointers/.{version}")
     out = fs.create(fresh)
-    out.write(bytearray(json.dumps({"version": version, **(manifest or {})}).encode()))
+    out.write(bytearray(json.dumps(told).encode()))
     out.close()
     while True:
-        number = next(iter(_pointers(spark, root)), 0) + 1
-        _, target = _fs(spark, f"{root}/_pointers/{number:010}")
+        last = next(iter(_pointers(spark, root)), 0)
+        _, target = _fs(spark, f"{root}/_pointers/{last + 1:010}")
+        if base is not None and last != base["number"]:
+            fs.delete(fresh, False)
+            fs.delete(_fs(spark, f"{root}/{version}")[1], True)
+            raise Conflict(f"version {base['number']} of {root} is no longer the current one, which is {last}")
         if not fs.exists(target) and fs.rename(fresh, target):
             break
         if not fs.exists(fresh):
             raise OSError(f"the pointer to version {version} is gone")
-    for old in _pointers(spark, root)[KEPT + 1 :]:
-        fs.delete(_fs(spark, f"{root}/{_read(spark, root, old)['version']}")[1], True)
-        fs.delete(_fs(spark, f"{root}/_pointers/{old:010}")[1], False)
+    _forget(spark, root)
     return version
 
 
+def _forget(spark: SparkSession, root: str) -> None:
+    """Deletes pointers before KEPT and the current one, and the folders that no other refers to."""
+    fs, _ = _fs(spark, root)
+    numbers = _pointers(spark, root)
+    known = {n: _read(spark, root, n) for n in numbers}
+    folders = lambda n: {p for name, layout in known[n]["layout"].items() for p in _parts(root, name, layout)}
+    kept = {p for n in numbers[: KEPT + 1] for p in folders(n)}
+    versions = {v for n in numbers[: KEPT + 1] for layout in known[n]["layout"].values() for v in layout} | {known[n]["version"] for n in numbers[: KEPT + 1]}
+    for old in numbers[KEPT + 1 :]:
+        for path in folders(old) - kept:
+            fs.delete(_fs(spark, path)[1], True)
+        for v in {v for layout in known[old]["layout"].values() for v in layout} - versions:
+            fs.delete(_fs(spark, f"{root}/{v}")[1], True)
+        fs.delete(_fs(spark, f"{root}/_pointers/{old:010}")[1], False)
+
+
 def current(spark: SparkSession, root: str) -> dict | None:
     """The manifest of the last publication, with its version and number."""
     numbers = _pointers(spark, root)
     return _read(spark, root, numbers[0]) if numbers else None
 
 
-def table(spark: SparkSession, root: str, name: str, now: dict | None = None) -> DataFrame:
-    """A table of the current version, or of the one that now (from current) tells."""
+def table(spark: SparkSession, root: str, name: str, now: dict | None = None, whole: bool = False) -> DataFrame:
+    """A table of the current version, or of the one that now (from current) tells; with whole also its columns that begin with _."""
     now = now or current(spark, root)
-    if now is None:
-        raise FileNotFoundError(f"no snapshot in {root}")
-    return spark.read.parquet(f"{root}/{now['version']}/{name}")
+    if now is None or name not in now["layout"]:
+        raise FileNotFoundError(f"no {name} in a snapshot in {root}")
+    shape = StructType.fromJson(now["schemas"][name])
+    dirs = _parts(root, name, now["layout"][name])
+    rows = spark.read.schema(shape).parquet(*dirs) if dirs else spark.createDataFrame([], shape)
+    return rows if whole else rows.select(*[c for c in shape.names if not c.startswith("_")])

@@ -723,7 +723,7 @@ def tests_links(spark: SparkSession, d: str) -> DataFrame:
     own = files.select("id", F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file_path"), "ord")
     symbols = part.select((F.col("ord") + SYMBOL).alias("id"), F.lit("symbol").alias("kind"), F.concat(F.lit("n"), F.col("ord") % 50).alias("name"), F.col("path").alias("file_path"), "ord")
     found = resolve.tests_edges(files.select("path", "ord"), own.unionByName(symbols), refs)
-    return found.join(tests.select(F.col("id").alias("src"), F.col("path").alias("test_path")), "src").select("test_path", "dst")
+    return found.select("test_path", "dst")
 
 
 EXPAND = f""", seeds as (select id from nodes where kind = 'symbol' and (id - {SYMBOL}) % 100 = 0), moves as (select src, dst from edges where kind in ('calls', 'contains') union select dst, src from edges where kind in ('calls', 'contains')),

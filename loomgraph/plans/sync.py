@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +22,23 @@ def classified(before: DataFrame, now: DataFrame, force: bool = False) -> DataFr
     return rows.select("path", F.when(F.col("h1").isNull(), "deleted").when(F.col("h0").isNull(), "new").when(F.col("h0") != F.col("h1"), "changed").otherwise(same).alias("state"))
 
 
-def _tables(x: Extracted, g: Graph, commits: DataFrame | None) -> dict[str, DataFrame]:
-    history = {} if commits is None else {"commits": commits}
-    return {"nodes": g.nodes, "edges": g.edges, "pending_refs": g.pending, **x.tables(), **history}
-
-
-def _stored(spark: SparkSession, store: str, now: dict) -> Extracted:
-    return Extracted(*[snapshot.table(spark, store, f"extracted_{f.name}", now) for f in fields(Extracted)])
+def _all_tables(x: Extracted, g: Graph, commits: DataFrame | None) -> dict:
+    """The tables of a version that is built from nothing."""
+    bucketed = {
+        "nodes": snapshot.Bucketed(g.owned["nodes"], "_owner", "id"),
+        "edges": snapshot.Bucketed(g.owned["edges"], "_owner", "src"),
+        "pending_refs": snapshot.Bucketed(g.owned["pending_refs"], "_owner", "src_node"),
+        "linked": snapshot.Bucketed(g.owned["linked"], "from_file", "from_file"),
+        "resolved": snapshot.Bucketed(g.owned["resolved"], "from_path", "from_path"),
+        **{name: snapshot.Bucketed(rows, "path", "path") for name, rows in x.tables().items()},
+    }
+    return bucketed if commits is None else {**bucketed, "commits": commits}
 
 
 def full(spark: SparkSession, store: str, files: DataFrame, commits: DataFrame | None = None, repo_id: int = 1, manifest: dict | None = None) -> str:
     """Builds the graph of files from nothing and publishes it."""
     x = build.extracted(written(files, "contents"))
-    return snapshot.publish(spark, store, _tables(x, build.link(x, repo_id, commits), commits), {"repo_id": repo_id, "history": commits is not None, **(manifest or {})})
+    return snapshot.publish(spark, store, _all_tables(x, build.link(x, repo_id, commits), commits), {"repo_id": repo_id, "history": commits is not None, **(manifest or {})})
 
 
 @dataclass
@@ -64,29 +68,147 @@ def report(before: Graph, after: Graph, paths: DataFrame) -> tuple[DataFrame, Da
     return diff, audit.findings(diff, lost, counts, unresolved)
 
 
+def _differ(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The values of key in rows that only one of a and b has."""
+    return a.exceptAll(b).select(key).unionByName(b.exceptAll(a).select(key)).where(f"{key} is not null").distinct()
+
+
+def _within(rows: DataFrame, column: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose column is (or with left_anti isn't) among keys, a table of one column."""
+    return rows.join(keys.select(F.col(keys.columns[0]).alias(column)).distinct(), column, how)
+
+
+@dataclass
+class Delta:
+    """Tables in which a version differs from the one before, how many references were linked anew, and the graph after it."""
+
+    tables: dict
+    linked: int
+    after: Graph
+
+
+def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFrame, commits: DataFrame | None) -> Delta:
+    """What files extracted anew (x) and files gone (path) change in the graph of the version now.
+
+    Imports are resolved again for these files only, unless files come, go or change their package: then for all, and
+    files whose imports changed count too. A reference is linked again if it is in such a file, or if
+    symbols of its name changed in the files; for all others the counts by name, file, directory and package that
+    decide are the same as before. Mentions and tests are made again where what they name may have changed, history
+    where files come or go.
+    """
+    old = lambda name: snapshot.table(spark, store, name, now, whole=True)
+    repo_id = now["repo_id"]
+    paths = written(x.files.select("path").unionByName(gone.select("path")).distinct(), "paths")
+    files0, nodes0 = old("extracted_files"), old("nodes")
+    files1 = written(_within(files0, "path", paths, "left_anti").unionByName(x.files, allowMissingColumns=True), "files")
+    shape = ["path", "role", "language", "package", "module"]
+    moved = not _differ(_within(files0, "path", paths).select(*shape), x.files.select(*shape), "path").isEmpty()
+
+    fresh_nodes = written(build.owned_nodes(build.file_nodes(x, repo_id)), "fresh-nodes")
+    old_nodes = _within(nodes0, "_owner", paths)
+    tree_nodes = written(_within(nodes0.where("kind in ('file', 'symbol', 'doc')"), "_owner", paths, "left_anti").unionByName(fresh_nodes), "tree-nodes")
+    told = ["id", "name", "subkind", "qualified_name", "file_path"]
+    symbols = lambda n: n.where("kind = 'symbol'").select(*told)
+    names = symbols(old_nodes).unionByName(symbols(fresh_nodes)).select("name").distinct() if moved else _differ(symbols(old_nodes), symbols(fresh_nodes), "name")
+    names = written(names, "names")
+
+    imports1 = _within(old("extracted_imports"), "path", paths, "left_anti").unionByName(x.imports)
+    resolved0 = old("resolved")
+    if moved:
+        resolved1 = written(build.resolved_imports(imports1, files1), "resolved")
+        importers = written(_differ(resolved0.select("from_path", "raw", "to_path"), resolved1.select("from_path", "raw", "to_path"), "from_path").unionByName(paths.select(F.col("path").alias("from_path"))).distinct(), "importers")
+    else:
+        again = build.resolved_imports(x.imports, files1)
+        resolved1 = written(_within(resolved0, "from_path", paths, "left_anti").unionByName(again.select(*resolved0.columns)), "resolved")
+        importers = paths.select(F.col("path").alias("from_path"))
+    fresh_resolved = _within(resolved1, "from_path", importers)
+
+    refs1 = _within(old("extracted_refs"), "path", paths, "left_anti").unionByName(x.refs)
+    touched = _within(refs1, "path", importers).unionByName(_within(_within(refs1, "path", importers, "left_anti"), "name", names).select(*refs1.columns))
+    numbered = written(build.numbered_refs(touched, files1), "numbered")
+    known = build.own_symbols(tree_nodes, files1)
+    sources = numbered.select("from_file")
+    linked = written(build.linked_refs(numbered, _within(known, "name", numbered.select("name")), _within(known, "file_path", sources), _within(resolved1, "from_path", sources)), "linked")
+    owners = written(sources.unionByName(importers.select(F.col("from_path").alias("from_file"))).distinct(), "owners")
+    kept = _within(_within(_within(old("linked"), "from_file", owners), "from_file", importers, "left_anti"), "ref_id", numbered.select("ref_id"), "left_anti")
+    fresh_linked = written(linked.unionByName(kept.select(*linked.columns)), "fresh-linked")
+
+    edges0 = old("edges")
+    redo = lambda keys, group: keys.select(F.col(keys.columns[0]).alias("_owner"), F.lit(group).alias("_group"))
+    file_ids = paths.select(build.file_id("path").alias("dst"))
+    tests = edges0.where("kind = 'tests'")
+    testing = tests.select("_owner").distinct().unionByName(refs1.select(F.col("path").alias("_owner")).distinct()) if moved else _within(tests, "dst", file_ids).select("_owner").unionByName(paths.select(F.col("path").alias("_owner")))
+    testing = written(testing.distinct(), "testing")
+    only = None if moved else testing.select(F.col("_owner").alias("path"))
+    docs = _within(old("extracted_docs"), "path", paths, "left_anti").unionByName(x.docs) if moved or not names.isEmpty() else x.docs
+    docs = written(docs, "docs")
+    groups = [redo(owners, "ref"), redo(importers, "imports"), redo(paths, "contains"), redo(testing, "tests"), redo(docs.select("path").unionByName(paths), "mentions")]
+    fresh = [build.ref_edges(fresh_linked, repo_id), build.import_edges(fresh_resolved, repo_id), build.contains(x.symbols, fresh_nodes, repo_id), build.tests(tree_nodes, refs1, repo_id, only), build.mentions(docs, tree_nodes, repo_id)]
+    redo_nodes, fresh_all = paths.select(F.col("path").alias("_owner")), fresh_nodes
+    stored = commits if commits is not None else snapshot.table(spark, store, "commits", now) if now.get("history") and moved else None
+    if stored is not None:
+        more, links = build.told_history(written(stored, "commits"), tree_nodes, repo_id)
+        groups.append(redo(spark.createDataFrame([("",)], "_owner string"), "history"))
+        fresh.append(links)
+        redo_nodes = redo_nodes.unionByName(spark.createDataFrame([("",)], "_owner string"))
+        fresh_all = fresh_nodes.unionByName(build.owned_nodes(more))
+    everywhere = stored is not None  # history is spread over all buckets
+    all_groups, all_fresh = groups[0], fresh[0]
+    for g, f in zip(groups[1:], fresh[1:]):
+        all_groups, all_fresh = all_groups.unionByName(g), all_fresh.unionByName(f)
+    all_fresh, all_groups = written(all_fresh, "fresh-edges"), written(all_groups.distinct(), "redo-edges")
+    waiting = written(build.pending_refs(fresh_linked, _within(imports1, "path", owners), _within(resolved1, "from_path", owners), repo_id), "waiting")
+    by_path = redo(paths, "").select("_owner")
+    revised = lambda rows, keys, key, spread=None, all_=False: snapshot.Revised(keys, rows, key, spread or key, all_)
+    named = lambda keys, name: keys.select(F.col(keys.columns[0]).alias(name))
+    tables = {
+        "nodes": revised(fresh_all, redo_nodes, "_owner", "id", everywhere),
+        "edges": revised(all_fresh, all_groups, "_owner", "src", everywhere),
+        "pending_refs": revised(waiting, named(owners, "_owner"), "_owner", "src_node"),
+        "linked": revised(fresh_linked, owners, "from_file"),
+        "resolved": revised(fresh_resolved, importers, "from_path"),
+        **{name: revised(rows, named(by_path, "path"), "path") for name, rows in x.tables().items()},
+    }
+    if commits is not None:
+        tables["commits"] = commits
+    plain = lambda rows: rows.select(*[c for c in rows.columns if not c.startswith("_")])
+    nodes1 = nodes0.join(redo_nodes, "_owner", "left_anti").unionByName(fresh_all)
+    edges1 = edges0.join(all_groups, ["_owner", "_group"], "left_anti").unionByName(all_fresh)
+    pending1 = old("pending_refs").join(named(owners, "_owner"), "_owner", "left_anti").unionByName(waiting)
+    return Delta(tables, numbered.count(), Graph(plain(nodes1), plain(edges1), plain(pending1)))
+
+
+#: How often a re-index begins anew because another was published meanwhile.
+ATTEMPTS = 5
+
+
 def reindex(spark: SparkSession, store: str, files: DataFrame, gone: DataFrame, commits: DataFrame | None = None, manifest: dict | None = None) -> Report:
     """Takes new contents of files (path, role, language, content, ...) and files gone (path) into the graph.
 
-    Only these files are extracted; linking joins what is known of all files, so that names that this
-    change makes unique, ambiguous or void resolve as in a full build. Inbound edges of symbols that stay
-    are kept, as their ids don't depend on lines. commits, if given, replace the stored history.
+    Only these files are extracted, and only what they may have changed is linked again, so that the graph
+    equals a full build. Inbound edges of symbols that stay are kept, as their ids don't depend on
+    lines. commits, if given, replace the stored history. If another version was published meanwhile, it is done again
+    from that one, so that neither's changes are lost.
     """
-    now = snapshot.current(spark, store)
-    if now is None:
-        raise FileNotFoundError(f"no snapshot in {store}")
-    before = Graph(*[snapshot.table(spark, store, t, now) for t in ("nodes", "edges", "pending_refs")])
     files, gone = written(files, "contents"), written(gone.select("path").distinct(), "gone")
-    x = build.replaced(_stored(spark, store, now), build.extracted(files), gone)
-    x = Extracted(*[written(getattr(x, f.name), f.name) for f in fields(Extracted)])
-    if commits is None and now.get("history"):
-        commits = snapshot.table(spark, store, "commits", now)
-    after = build.link(x, now["repo_id"], commits)
-    diff, found = report(before, after, files.select("path").unionByName(gone).distinct())
-    counts = {"indexed": files.count(), "deleted": gone.count()}
-    diff, found = written(diff, "diff"), written(found, "findings")
-    kept = {k: v for k, v in now.items() if k not in ("version", "number")}
-    version = snapshot.publish(spark, store, _tables(x, after, commits), {**kept, "history": commits is not None, **(manifest or {})})
-    return Report(version, counts, diff, found)
+    x = build.extracted(files)
+    for attempt in range(ATTEMPTS):
+        now = snapshot.current(spark, store)
+        if now is None:
+            raise FileNotFoundError(f"no snapshot in {store}")
+        before = Graph(*[snapshot.table(spark, store, t, now) for t in ("nodes", "edges", "pending_refs")])
+        found = delta(spark, store, now, x, gone, commits)
+        diff, findings = report(before, found.after, files.select("path").unionByName(gone).distinct())
+        diff, findings = written(diff, "diff"), written(findings, "findings")
+        counts = {"indexed": files.count(), "deleted": gone.count(), "linked": found.linked}
+        told = {k: v for k, v in now.items() if k not in ("version", "number", "layout", "schemas", "buckets")}
+        try:
+            version = snapshot.publish(spark, store, found.tables, {**told, "history": commits is not None or bool(now.get("history")), **(manifest or {})}, now)
+        except snapshot.Conflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+            continue
+        return Report(version, counts, diff, findings)
 
 
 def sync(spark: SparkSession, root: str, store: str, rules: list[tuple[str, bool]] = (), commits: DataFrame | None = None, force: bool = False, manifest: dict | None = None) -> Report:
