@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph import config, scratch
 from loomgraph.functions import text
 from loomgraph.operators import context, graph, history, impact, locate, search, traverse
-from loomgraph.plans import snapshot, sync
+from loomgraph.plans import snapshot, sync, terms
 from loomgraph.sources import gitlog, tree
 
 
@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     nodes, edges = snapshot.table(spark, a.store, "nodes"), snapshot.table(spark, a.store, "edges")
     if a.command == "search":
-        hits = search.search(nodes, search.as_queries(spark, [" ".join(a.what)]), limit=a.limit)
+        hits = terms.search(spark, a.store, search.as_queries(spark, [" ".join(a.what)]), limit=a.limit)
         for r in hits.select("node_id", "score", "position").join(nodes.select(F.col("id").alias("node_id"), _line().alias("line")), "node_id").orderBy("position").collect():
             print(f"{r['score']:.2f}  {r['line']}")
     elif a.command in ("callers", "callees"):

@@ -54,18 +54,42 @@ def bm25(rows: DataFrame, queries: DataFrame, per_repo: bool = False) -> DataFra
     ratio = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     hits = hits.withColumn("idf", F.when(ratio > 0, ratio).otherwise(IDF_FLOOR)).drop("n", "rows")
     scored = found.join(hits, ["query_id", "prefix", *group]).join(size, ["node_id", "repo_id"])
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    part = _part()
     return scored.groupBy("query_id", "node_id", "repo_id", "kind").agg(F.sum(part).alias("score"))
 
 
-def search(nodes: DataFrame, queries: DataFrame, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """The best `limit` nodes of each query; kinds are filtered after scoring, so they don't change scores."""
-    hits = bm25(indexed(nodes), queries)
+def _part() -> Column:
+    """What one prefix adds to a text's score."""
+    return F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+
+def scored(index: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame:
+    """bm25 over a kept index (term, node_id, repo_id, kind, weighted, length) of totals (rows, tokens: one row), as far as the queries' prefixes need it.
+
+    The prefixes are few and known, so the index is filtered by them before anything else.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("prefix")).where("prefix <> ''")
+    first = lambda c: F.substring(c, 1, 1)
+    met = index.withColumn("first", first("term")).join(asked.withColumn("first", first("prefix")), "first").where(F.startswith("term", "prefix"))
+    found = met.groupBy("query_id", "prefix", "node_id", "repo_id", "kind").agg(F.sum("weighted").alias("f"), F.first("length").alias("length"))
+    hits = found.groupBy("query_id", "prefix").agg(F.count("*").alias("n")).crossJoin(F.broadcast(totals))  # one row of totals
+    ratio = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    hits = hits.select("query_id", "prefix", F.when(ratio > 0, ratio).otherwise(IDF_FLOOR).alias("idf"), (F.col("tokens") / F.col("rows")).alias("mean"))
+    return found.join(hits, ["query_id", "prefix"]).groupBy("query_id", "node_id", "repo_id", "kind").agg(F.sum(_part()).alias("score"))
+
+
+def best(hits: DataFrame, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """The best `limit` hits of each query; kinds are filtered after scoring, so they don't change scores."""
     hits = hits.where(F.col("kind").isin(*kinds)) if kinds else hits
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
+def search(nodes: DataFrame, queries: DataFrame, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """The best `limit` nodes of each query."""
+    return best(bm25(indexed(nodes), queries), kinds, limit)
+
+
 def federated_search(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Each repository's best `limit` by its own statistics, merged by score."""
     hits = bm25(indexed(nodes), queries, per_repo=True)

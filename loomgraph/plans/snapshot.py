@@ -76,7 +76,8 @@ def _bucket(key: str, spread: str, buckets: int) -> Column:
 def _write(rows: DataFrame, key: str, spread: str, buckets: int, path: str) -> list[int]:
     """Writes rows in buckets and tells which there are."""
     placed = rows.withColumn("bucket", _bucket(key, spread, buckets))
-    placed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    sort = [c for c in ("term",) if c in rows.columns]  # so that a bucket's row groups hold ranges of terms
+    placed.repartition("bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(path)
     fs, folder = _fs(rows.sparkSession, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
     return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
@@ -159,12 +160,20 @@ def current(spark: SparkSession, root: str) -> dict | None:
     return _read(spark, root, numbers[0]) if numbers else None
 
 
-def table(spark: SparkSession, root: str, name: str, now: dict | None = None, whole: bool = False) -> DataFrame:
-    """A table of the current version, or of the one that now (from current) tells; with whole also its columns that begin with _."""
+def table(spark: SparkSession, root: str, name: str, now: dict | None = None, whole: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """A table of the current version, or of the one that now (from current) tells; with whole also its columns that begin with _.
+
+    With keys only the buckets that these keys fall in are read; other rows of these buckets come along.
+    """
     now = now or current(spark, root)
     if now is None or name not in now["layout"]:
         raise FileNotFoundError(f"no {name} in a snapshot in {root}")
     shape = StructType.fromJson(now["schemas"][name])
-    dirs = _parts(root, name, now["layout"][name])
+    layout = now["layout"][name]
+    if keys is not None:
+        asked = spark.createDataFrame([(k,) for k in keys], "k string").select(_bucket("k", "k", now["buckets"]).alias("b"))
+        wanted = {r["b"] for r in asked.distinct().collect()}
+        layout = {v: found and [b for b in found if b in wanted] for v, found in layout.items()}
+    dirs = _parts(root, name, layout)
     rows = spark.read.schema(shape).parquet(*dirs) if dirs else spark.createDataFrame([], shape)
     return rows if whole else rows.select(*[c for c in shape.names if not c.startswith("_")])

@@ -7,7 +7,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.plans import build, snapshot, sync
+from loomgraph.operators import search
+from loomgraph.plans import build, snapshot, sync, terms
 from loomgraph.sources import tree
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -41,6 +42,14 @@ def store(spark, tmp_path_factory):
     return folder, rows
 
 
+def searched(spark, folder):
+    """The kept index finds what a search of all nodes does, with equal scores."""
+    asked = search.as_queries(spark, ["fn7 added", "common", "f1", "nothing here", "x"])
+    hits = lambda rows: sorted((r.query_id, r.node_id, r.kind, r.position, round(r.score, 9)) for r in rows.collect())
+    want = hits(search.search(snapshot.table(spark, folder, "nodes"), asked))
+    assert want and hits(terms.search(spark, folder, asked)) == want
+
+
 def test_an_edit_links_what_it_touches(spark, store):
     folder, rows = store
     none = spark.createDataFrame([], "path string")
@@ -49,9 +58,15 @@ def test_an_edit_links_what_it_touches(spark, store):
     out = sync.reindex(spark, folder, table(spark, {"src/f5.ts": rows["src/f5.ts"]}), none)
     assert out.counts["linked"] == 3 and {(r.name, r.change) for r in out.symbols.collect()} == {("added", "added")}
     now = snapshot.current(spark, folder)
-    new = {name: found.get(now["version"], []) for name, found in now["layout"].items()}
+    new = {name: found.get(now["version"]) or [] for name, found in now["layout"].items()}
     assert all(len(found) <= 2 for found in new.values()), new  # of 64 buckets
     assert now["number"] == before["number"] + 1
+    searched(spark, folder)
+    assert now["layout"]["postings"] == before["layout"]["postings"]  # the main segment isn't written again
+    read, whole = terms.index(spark, folder, ["fn7"]).inputFiles(), terms.index(spark, folder).inputFiles()
+    assert 0 < len(read) < len(whole) / 4
+    merged = terms.changed(spark, folder, now, snapshot.table(spark, folder, "nodes").limit(0), snapshot.table(spark, folder, "nodes").limit(0), share=-1)
+    assert merged["postings"].rows.count() == terms.index(spark, folder).count()
 
 
 def test_two_reindexes_from_one_base(spark, store, monkeypatch):
@@ -74,6 +89,7 @@ def test_two_reindexes_from_one_base(spark, store, monkeypatch):
 
     monkeypatch.setattr(sync, "delta", delayed)
     sync.reindex(spark, folder, table(spark, {"src/f20.ts": rows["src/f20.ts"]}), none)
+    searched(spark, folder)
     names = {r.name for r in snapshot.table(spark, folder, "nodes").where("name in ('one', 'common')").collect()}
     assert names == {"one", "common"}
     same(graph(spark, folder), build.build(table(spark, rows)))
