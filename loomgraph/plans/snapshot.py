@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 KEPT = 1
 #: Buckets of a table, if the build asks for no other number. The manifest keeps it.
 BUCKETS = 64
+#: Tables that are written at the same time.
+WRITERS = 4
 
 
 class Conflict(RuntimeError):
@@ -99,25 +102,30 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Bucket
     layout = {k: dict(v) for k, v in (base or {}).get("layout", {}).items()}
     schemas = dict((base or {}).get("schemas", {}))
     buckets = (base or {}).get("buckets", buckets)
-    for name, t in tables.items():
+
+    def write(item: tuple[str, DataFrame | Bucketed | Revised]) -> tuple[str, dict, dict]:
+        name, t = item
         path = f"{root}/{version}/{name}"
-        if isinstance(t, Revised):
-            old = layout[name]
-            there = {b for found in old.values() for b in found}
-            keys = t.redo.select(F.col(t.redo.columns[0]).alias("k"))
-            touched = there if t.everywhere else {r["b"] for part in (keys.select(_bucket("k", "k", buckets).alias("b")), t.fresh.select(_bucket(t.key, t.spread, buckets).alias("b"))) for r in part.distinct().collect() if r["b"] is not None}  # as many as buckets at most
-            dirs = _parts(root, name, {v: [b for b in found if b in touched] for v, found in old.items()})
-            shape = StructType.fromJson(schemas[name])
-            kept = spark.read.schema(shape).parquet(*dirs) if dirs else spark.createDataFrame([], shape)
-            rows = kept.join(t.redo.distinct(), t.redo.columns, "left_anti").select(*shape.names).unionByName(t.fresh.select(*shape.names))
-            new = _write(rows, t.key, t.spread, buckets, path)
-            left = {v: [b for b in found if b not in touched and b not in new] for v, found in old.items()}
-            layout[name] = {v: found for v, found in left.items() if found} | {version: new}
-        elif isinstance(t, Bucketed):
-            layout[name], schemas[name] = {version: _write(t.rows, t.key, t.spread, buckets, path)}, t.rows.schema.jsonValue()
-        else:
+        if isinstance(t, Bucketed):
+            return name, {version: _write(t.rows, t.key, t.spread, buckets, path)}, t.rows.schema.jsonValue()
+        if not isinstance(t, Revised):
             t.write.parquet(path)
-            layout[name], schemas[name] = {version: None}, t.schema.jsonValue()
+            return name, {version: None}, t.schema.jsonValue()
+        old = layout[name]
+        there = {b for found in old.values() for b in found}
+        keys = t.redo.select(F.col(t.redo.columns[0]).alias("k")).select(_bucket("k", "k", buckets).alias("b")).unionByName(t.fresh.select(_bucket(t.key, t.spread, buckets).alias("b")))
+        touched = there if t.everywhere else {r["b"] for r in keys.distinct().collect()}  # as many as buckets at most
+        dirs = _parts(root, name, {v: [b for b in found if b in touched] for v, found in old.items()})
+        shape = StructType.fromJson(schemas[name])
+        kept = spark.read.schema(shape).parquet(*dirs) if dirs else spark.createDataFrame([], shape)
+        rows = kept.join(t.redo.distinct(), t.redo.columns, "left_anti").select(*shape.names).unionByName(t.fresh.select(*shape.names))
+        new = _write(rows, t.key, t.spread, buckets, path)
+        left = {v: [b for b in found if b not in touched and b not in new] for v, found in old.items()}
+        return name, {v: found for v, found in left.items() if found} | {version: new}, schemas[name]
+
+    with ThreadPoolExecutor(WRITERS) as pool:  # the tables are independent jobs
+        for name, parts, shape in pool.map(write, list(tables.items())):
+            layout[name], schemas[name] = parts, shape
     told = {**(manifest or {}), "version": version, "layout": layout, "schemas": schemas, "buckets": buckets}
     fs, fresh = _fs(spark, f"{root}/_pointers/.{version}")
     out = fs.create(fresh)

@@ -113,7 +113,8 @@ def test_a_version_from_an_old_base_is_refused(spark, tmp_path):
 
 
 def test_the_command_line_starts(tmp_path):
-    run = lambda *a: subprocess.run([sys.executable, *a], cwd=REPO, capture_output=True, text=True, timeout=400)
+    few = {"PYSPARK_SUBMIT_ARGS": "--master local[4] --conf spark.sql.shuffle.partitions=4 --conf spark.ui.enabled=false pyspark-shell"}
+    run = lambda *a: subprocess.run([sys.executable, *a], cwd=REPO, env=os.environ | few, capture_output=True, text=True, timeout=400)
     assert "impact" in run("-m", "loomgraph.cli", "--help").stdout
     out = run("-c", "import bench; print(len(bench.HEADLINE))")
     assert out.returncode == 0, out.stderr
