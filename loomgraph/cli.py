@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph import config, scratch
 from loomgraph.functions import text
 from loomgraph.operators import context, graph, history, impact, locate, search, traverse
-from loomgraph.plans import snapshot, sync, terms
+from loomgraph.plans import adjacency, snapshot, sync, terms
 from loomgraph.sources import gitlog, tree
 
 
@@ -80,10 +80,10 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{r['score']:.2f}  {r['line']}")
     elif a.command in ("callers", "callees"):
         root = _resolved(nodes, a.what[0]).withColumnRenamed("id", "root_id")
-        for r in traverse.callers(edges, nodes, root, a.depth, a.limit, "in" if a.command == "callers" else "out").orderBy("depth", "symbol").collect():
+        for r in traverse.callers(adjacency.of(spark, a.store, edges), nodes, root, a.depth, a.limit, "in" if a.command == "callers" else "out").orderBy("depth", "symbol").collect():
             print(f"  depth {r['depth']}  {r['symbol']} — {r['file'] or '(no file)'}{':' + str(r['line']) if r['line'] else ''}  (via {' -> '.join(r['via_path'])})")
     elif a.command == "impact":
-        files = impact.impact(nodes, edges, _resolved(nodes, a.what[0]), a.depth, a.limit)
+        files = impact.impact(nodes, adjacency.of(spark, a.store, edges), _resolved(nodes, a.what[0]), a.depth, a.limit)
         for r in files.orderBy("position").collect():
             print(f"  [{r['tier']}] {r['file_path']} (rank {r['score']:.2f}, {', '.join(r['symbols'])})")
         for r in impact.cochanges_of(files, nodes, edges).orderBy("position", "n").collect():

@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from loomgraph import schema
 from loomgraph.operators import rank
-from loomgraph.operators.traverse import walk
+from loomgraph.operators.reach import expanded, placed, reach
+from loomgraph.operators.traverse import Adjacency
+from loomgraph.scratch import written
 
 
-def seeds(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+def seeds(nodes: DataFrame, edges: DataFrame | Adjacency, targets: DataFrame) -> DataFrame:
     """(target_id, root_id): each target (id), and for containers also what they directly contain."""
     own = targets.select(F.col("id").alias("target_id"), F.col("id").alias("root_id"))
     boxes = targets.select("id").join(nodes.where(F.col("subkind").isin(*schema.CONTAINERS)).select("id"), "id")
-    inner = edges.where("kind = 'contains'").join(boxes.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("target_id"), F.col("dst").alias("root_id"))
+    if isinstance(edges, DataFrame):
+        inside = edges.where("kind = 'contains'").select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    else:
+        inside = edges.moves("out", ["contains"]).near(boxes.withColumnRenamed("id", "node_id"))
+    inner = inside.join(boxes.withColumnRenamed("id", "at"), "at").select(F.col("at").alias("target_id"), F.col("next").alias("root_id"))
     return own.unionByName(inner)
 
 
-def impacted_files(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
+def impacted_files(nodes: DataFrame, edges: DataFrame | Adjacency, targets: DataFrame, depth: int = 3) -> DataFrame:
     """(target_id, file_path, max_score, hit_count, min_depth, direct, symbols) over reverse walks from all seeds.
 
-    A node counts once for each seed that reaches it. The target itself and nodes without a file don't count.
+    A node counts once for each seed that reaches it. The target itself and nodes without a file don't count. All seeds walk
+    together, and a node gets its file and name before its row is split by seeds.
     """
-    start = seeds(nodes, edges, targets)
-    hits = walk(edges, start, depth, "in", list(schema.IMPACT_KINDS))
+    start = written(seeds(nodes, edges, targets), "seeds")
+    roots = placed(start)
+    hits = reach(edges, roots, depth, "in", list(schema.IMPACT_KINDS))
     named = nodes.where("file_path is not null").select(F.col("id").alias("node_id"), "file_path", "name")
-    rows = hits.join(start, "root_id").where("node_id <> target_id").join(named, "node_id")
+    rows = expanded(hits.join(named, "node_id"), roots).join(start, "root_id").where("node_id <> target_id")
     return rows.groupBy("target_id", "file_path").agg(
         F.max(F.pow(F.lit(0.5), F.col("depth") - 1)).alias("max_score"),
         F.count("*").alias("hit_count"),
@@ -36,7 +44,7 @@ def impacted_files(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth
     )
 
 
-def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 3, limit: int = 50, weights: rank.Weights = rank.Weights()) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame | Adjacency, targets: DataFrame, depth: int = 3, limit: int = 50, weights: rank.Weights = rank.Weights()) -> DataFrame:
     """impacted_files with score, tier, signals and position of each target's first `limit` files.
 
     Files with the key of the target's file are left out, but not that file itself.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,37 +22,66 @@ def steps(edges: DataFrame, direction: str, kinds: list[str] | None) -> DataFram
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
 
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "in", kinds: list[str] | None = None) -> DataFrame:
+class Moves(Protocol):
+    """The moves of a walk, asked for level by level."""
+
+    def near(self, frontier: DataFrame) -> DataFrame:
+        """(at, next): moves that hold at least those from the frontier's nodes (node_id)."""
+
+
+class Adjacency(Protocol):
+    """Edges that are kept in the order of their ends, such as plans.adjacency."""
+
+    def moves(self, direction: str, kinds: list[str] | None) -> Moves: ...
+
+
+@dataclass
+class AllMoves:
+    """All moves as one table, for edges that are in no order."""
+
+    rows: DataFrame
+
+    def near(self, frontier: DataFrame) -> DataFrame:
+        return self.rows
+
+
+def moves_of(edges: DataFrame | Adjacency, direction: str, kinds: list[str] | None) -> Moves:
+    if isinstance(edges, DataFrame):
+        return AllMoves(written(steps(edges, direction, kinds), "moves"))
+    return edges.moves(direction, kinds)
+
+
+def walk(edges: DataFrame | Adjacency, roots: DataFrame, depth: int, direction: str = "in", kinds: list[str] | None = None) -> DataFrame:
     """(root_id, node_id, depth, parent_id) for the nodes first reached from each root (root_id), roots left out.
 
     A level joins its frontier to the moves, keeps the least parent of a node, and drops what the root
     has seen. Each level's frontier is a written table, so that no level plans or runs those before it
-    again; Spark chooses how to join each level by the frontier's size.
+    again; Spark chooses how to join each level by the frontier's size. For very many roots see operators.reach.
     """
-    moves = written(steps(edges, direction, kinds), "moves")
+    moves = moves_of(edges, direction, kinds)
     start = roots.select("root_id").distinct()
     seen = start.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_id"))
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.join(moves, frontier["node_id"] == moves["at"]).groupBy("root_id", F.col("next").alias("node_id")).agg(F.min("at").alias("parent_id"))
+        reached = frontier.join(moves.near(frontier), frontier["node_id"] == F.col("at")).groupBy("root_id", F.col("next").alias("node_id")).agg(F.min("at").alias("parent_id"))
         new = reached.join(seen.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
         frontier = written(new.select("root_id", "node_id", F.lit(level).alias("depth"), "parent_id"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
 
-def callers(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1, limit: int = 100, direction: str = "in") -> DataFrame:
+def callers(edges: DataFrame | Adjacency, nodes: DataFrame, roots: DataFrame, depth: int = 1, limit: int = 100, direction: str = "in") -> DataFrame:
     """walk over calls with node columns and via_path, cut at limit hits of a root in visit order.
 
     The path runs from the hit to the root for callers, from the root to the hit for callees.
     """
-    moves = written(steps(edges, direction, ["calls"]), "moves")
+    moves = moves_of(edges, direction, ["calls"])
     names = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("ord").alias("node_ord"))
     first = roots.select("root_id").distinct().join(names, F.col("root_id") == F.col("node_id"))
     seen = first.select("root_id", "node_id", F.lit(0).alias("depth"), F.array("symbol").alias("via_path"), F.array(F.lit(0).cast("long")).alias("visit"), "symbol", "file", "line")
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.select("root_id", F.col("node_id").alias("at"), "via_path", "visit").join(moves, "at").withColumnRenamed("next", "node_id").join(names, "node_id")
+        reached = frontier.select("root_id", F.col("node_id").alias("at"), "via_path", "visit").join(moves.near(frontier), "at").withColumnRenamed("next", "node_id").join(names, "node_id")
         new = reached.join(seen.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
         path = F.concat(F.array("symbol"), "via_path") if direction == "in" else F.concat("via_path", F.array("symbol"))
         row = F.struct(F.concat("visit", F.array("node_ord")).alias("visit"), path.alias("via_path"), "symbol", "file", "line")
@@ -61,7 +93,7 @@ def callers(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1
     return hits.drop("_n", "visit")
 
 
-def callees(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1, limit: int = 100) -> DataFrame:
+def callees(edges: DataFrame | Adjacency, nodes: DataFrame, roots: DataFrame, depth: int = 1, limit: int = 100) -> DataFrame:
     return callers(edges, nodes, roots, depth, limit, "out")
 
 

@@ -72,14 +72,16 @@ def _read(spark: SparkSession, root: str, number: int) -> dict:
 
 
 def _bucket(key: str, spread: str, buckets: int) -> Column:
-    by = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.col(spread).cast("string")).otherwise(F.col(key))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    by = F.when(name == "", F.col(spread).cast("string")).otherwise(name)
     return F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")
 
 
 def _write(rows: DataFrame, key: str, spread: str, buckets: int, path: str) -> list[int]:
     """Writes rows in buckets and tells which there are."""
     placed = rows.withColumn("bucket", _bucket(key, spread, buckets))
-    sort = [c for c in ("term",) if c in rows.columns]  # so that a bucket's row groups hold ranges of terms
+    # So that a bucket's row groups hold ranges of what is asked for.
+    sort = ["term"] if "term" in rows.columns else ["kind", "at"] if "at" in rows.columns else []
     placed.repartition("bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(path)
     fs, folder = _fs(rows.sparkSession, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
@@ -168,10 +170,10 @@ def current(spark: SparkSession, root: str) -> dict | None:
     return _read(spark, root, numbers[0]) if numbers else None
 
 
-def table(spark: SparkSession, root: str, name: str, now: dict | None = None, whole: bool = False, keys: list[str] | None = None) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str, now: dict | None = None, whole: bool = False, keys: list[str] | DataFrame | None = None) -> DataFrame:
     """A table of the current version, or of the one that now (from current) tells; with whole also its columns that begin with _.
 
-    With keys only the buckets that these keys fall in are read; other rows of these buckets come along.
+    With keys, a list or a table of one column, only the buckets that these keys fall in are read; other rows of these buckets come along.
     """
     now = now or current(spark, root)
     if now is None or name not in now["layout"]:
@@ -179,7 +181,8 @@ def table(spark: SparkSession, root: str, name: str, now: dict | None = None, wh
     shape = StructType.fromJson(now["schemas"][name])
     layout = now["layout"][name]
     if keys is not None:
-        asked = spark.createDataFrame([(k,) for k in keys], "k string").select(_bucket("k", "k", now["buckets"]).alias("b"))
+        given = keys.toDF("k") if isinstance(keys, DataFrame) else spark.createDataFrame([(k,) for k in keys], "k string")
+        asked = given.select(_bucket("k", "k", now["buckets"]).alias("b"))
         wanted = {r["b"] for r in asked.distinct().collect()}
         layout = {v: found and [b for b in found if b in wanted] for v, found in layout.items()}
     dirs = _parts(root, name, layout)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import audit, context, docs, graph, history, impact, locate, rank, resolve, search, traverse
+from loomgraph.operators import audit, context, docs, graph, history, impact, locate, rank, reach, resolve, search, traverse
 from loomgraph.scratch import written
 from loomgraph.sources import star
 from loomgraph.sources.star import COMMIT, DOC, SYMBOL
@@ -140,6 +140,20 @@ def reverse_bfs(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("root_id", "depth").agg(F.count("*").alias("n"), F.min("node_id").alias("least"))
 
 
+@query(
+    IN.replace(ROOTS, "roots as (select id from symbols)")
+    + f"""select root_id, depth, count(*) as nodes, cast(sum(node_id - {SYMBOL}) as bigint) as id_sum, cast(sum((node_id - {SYMBOL}) * (node_id - {SYMBOL})) as bigint) as square_sum, min(node_id) as first_node
+  from hits group by 1, 2"""
+)
+def reach_all(spark: SparkSession, d: str) -> DataFrame:
+    """All symbols as roots of one walk, 64 to a row."""
+    nodes, edges = _g(spark, d)
+    roots = reach.placed(nodes.where("kind = 'symbol'").select(F.col("id").alias("root_id")))
+    found = reach.expanded(reach.reach(edges, roots, 2, "in", ["calls"]), roots)
+    at = F.col("node_id") - SYMBOL
+    return found.groupBy("root_id", "depth").agg(F.count("*").alias("nodes"), F.sum(at).alias("id_sum"), F.sum(at * at).alias("square_sum"), F.min("node_id").alias("first_node"))
+
+
 @query(
     f""", {ROOTS}, asked as (select id as a, id + 1 as b from roots where id + 1 in (select id from symbols)),
   moves as (select src, dst from edges where kind in ('calls', 'contains') union select dst, src from edges where kind in ('calls', 'contains')),

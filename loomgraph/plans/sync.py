@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import audit
-from loomgraph.plans import build, snapshot, terms
+from loomgraph.plans import adjacency, build, snapshot, terms
 from loomgraph.plans.build import Extracted, Graph
 from loomgraph.scratch import written
 from loomgraph.sources import tree
@@ -32,7 +32,7 @@ def _all_tables(x: Extracted, g: Graph, commits: DataFrame | None) -> dict:
         "resolved": snapshot.Bucketed(g.owned["resolved"], "from_path", "from_path"),
         **{name: snapshot.Bucketed(rows, "path", "path") for name, rows in x.tables().items()},
     }
-    bucketed |= terms.built(g.owned["nodes"])
+    bucketed |= terms.built(g.owned["nodes"]) | adjacency.built(g.owned["edges"])
     return bucketed if commits is None else {**bucketed, "commits": commits}
 
 
@@ -171,6 +171,7 @@ def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFr
         **{name: revised(rows, named(by_path, "path"), "path") for name, rows in x.tables().items()},
     }
     tables |= terms.changed(spark, store, now, nodes0.join(redo_nodes, "_owner", "left_semi"), fresh_all)
+    tables |= adjacency.changed(now, edges0.join(all_groups, ["_owner", "_group"], "left_semi"), all_fresh)
     if commits is not None:
         tables["commits"] = commits
     plain = lambda rows: rows.select(*[c for c in rows.columns if not c.startswith("_")])

@@ -7,8 +7,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import search
-from loomgraph.plans import build, snapshot, sync, terms
+from loomgraph.operators import impact, search, traverse
+from loomgraph.plans import adjacency, build, snapshot, sync, terms
 from loomgraph.sources import tree
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -50,6 +50,34 @@ def searched(spark, folder):
     assert want and hits(terms.search(spark, folder, asked)) == want
 
 
+def walked(spark, folder):
+    """The kept adjacency holds the edges, and walks over it find what walks over all edges do."""
+    nodes, edges = snapshot.table(spark, folder, "nodes"), snapshot.table(spark, folder, "edges")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for name, at, goal in adjacency.SIDES.values():
+        assert rows(snapshot.table(spark, folder, name).select("at", "next", "kind")) == rows(edges.select(F.col(at).alias("at"), F.col(goal).alias("next"), "kind").distinct())
+    kept, some = adjacency.of(spark, folder, edges), nodes.where("name in ('fn7', 'fn8', 'src/f9.ts')").select("id")
+    assert isinstance(kept, adjacency.Kept)
+    roots = some.withColumnRenamed("id", "root_id")
+    for direction in ("in", "out", "both"):
+        assert rows(traverse.walk(kept, roots, 2, direction)) == rows(traverse.walk(edges, roots, 2, direction)) != []
+    assert rows(impact.impact(nodes, kept, some, 2)) == rows(impact.impact(nodes, edges, some, 2)) != []
+    moves = kept.moves("in", ["calls"])
+    one = moves.near(nodes.where("name = 'fn7'").select(F.col("id").alias("node_id")))
+    whole = snapshot.table(spark, folder, "moves_in")
+    assert len(one.inputFiles()) == 1 < len(whole.inputFiles()) / 20
+    assert {r["at"] for r in one.collect()} == {r["id"] for r in nodes.where("name = 'fn7'").collect()}
+
+
+def test_walks_of_wide_frontiers_read_buckets(spark, store, monkeypatch):
+    folder, _ = store
+    monkeypatch.setattr(adjacency, "ASKED", 3)
+    walked_rows = lambda edges: sorted(map(str, traverse.walk(edges, roots, 2, "in").collect()))
+    edges = snapshot.table(spark, folder, "edges")
+    roots = snapshot.table(spark, folder, "nodes").select(F.col("id").alias("root_id")).orderBy("root_id").limit(20)
+    assert walked_rows(adjacency.of(spark, folder, edges)) == walked_rows(edges)
+
+
 def test_an_edit_links_what_it_touches(spark, store):
     folder, rows = store
     none = spark.createDataFrame([], "path string")
@@ -62,6 +90,7 @@ def test_an_edit_links_what_it_touches(spark, store):
     assert all(len(found) <= 2 for found in new.values()), new  # of 64 buckets
     assert now["number"] == before["number"] + 1
     searched(spark, folder)
+    walked(spark, folder)
     assert now["layout"]["postings"] == before["layout"]["postings"]  # the main segment isn't written again
     read, whole = terms.index(spark, folder, ["fn7"]).inputFiles(), terms.index(spark, folder).inputFiles()
     assert 0 < len(read) < len(whole) / 4
@@ -90,6 +119,7 @@ def test_two_reindexes_from_one_base(spark, store, monkeypatch):
     monkeypatch.setattr(sync, "delta", delayed)
     sync.reindex(spark, folder, table(spark, {"src/f20.ts": rows["src/f20.ts"]}), none)
     searched(spark, folder)
+    walked(spark, folder)
     names = {r.name for r in snapshot.table(spark, folder, "nodes").where("name in ('one', 'common')").collect()}
     assert names == {"one", "common"}
     same(graph(spark, folder), build.build(table(spark, rows)))
