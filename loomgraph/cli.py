@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph import config, scratch
 from loomgraph.functions import text
 from loomgraph.operators import context, graph, history, impact, locate, search, traverse
-from loomgraph.plans import adjacency, snapshot, sync, terms
+from loomgraph.plans import adjacency, build, snapshot, sync, terms
 from loomgraph.sources import gitlog, tree
 
 
@@ -20,16 +20,28 @@ def _resolved(nodes: DataFrame, name: str) -> DataFrame:
     return locate.resolve(nodes, asked).where("position = 1").select("id")
 
 
-def _commits(spark: SparkSession, root: str, most: int | None) -> DataFrame | None:
-    """The log of a local repository, read on the driver, as git runs there."""
+def _commits(spark: SparkSession, root: str, most: int | None, only: list[str] | None = None) -> DataFrame | None:
+    """The log of a local repository, or only of these commits, read on the driver, as git runs there: max_commits at most."""
     with tempfile.TemporaryDirectory(prefix="loomgraph-") as folder:
-        if not gitlog.export_log(root, f"{folder}/log", most or config.load(root).max_commits):
+        if not gitlog.export_log(root, f"{folder}/log", most or config.load(root).max_commits, only):
             return None
         with open(f"{folder}/log", encoding="utf-8", errors="replace") as f:
             records = [(r,) for r in f.read().split("\x1e") if r]
     return scratch.written(history.parse_log(spark.createDataFrame(records, "value string")), "log")
 
 
+def _pulled(spark: SparkSession, root: str, store: str, now: dict, most: int | None) -> DataFrame | sync.Pulled | None:
+    """What came into the window of the log and left it since the version now. Of a version without counts, or if git can't tell, the whole log."""
+    window = gitlog.window(root, most or config.load(root).max_commits)
+    if window is None or any(name not in now.get("layout", {}) for name in build.COUNTS):
+        return _commits(spark, root, most)
+    known = {r["sha"] for r in snapshot.table(spark, store, "commits", now).select("sha").collect()}  # max_commits at most
+    new = [sha for sha in window if sha not in known]
+    come = _commits(spark, root, most, new) if new else snapshot.table(spark, store, "commits", now).limit(0)
+    gone = spark.createDataFrame([(sha,) for sha in known.difference(window)], "sha string")
+    return _commits(spark, root, most) if come is None else sync.Pulled(come, gone)
+
+
 def _rules(root: str) -> list[tuple[str, bool]]:
     return tree.ignore_file(root) + tree.ignore_rules("\n".join(config.load(root).ignore))
 
@@ -40,9 +52,9 @@ def index(spark: SparkSession, root: str, store: str, most: int | None = None) -
 
 
 def update(spark: SparkSession, root: str, store: str, most: int | None = None, force: bool = False) -> sync.Report:
-    """Syncs the store with the tree; the log is read again only if HEAD moved."""
+    """Syncs the store with the tree. If HEAD moved, only commits that are new in the window of the log are read."""
     now, head = snapshot.current(spark, store) or {}, gitlog.head(root)
-    commits = _commits(spark, root, most) if head != now.get("head") else None
+    commits = _pulled(spark, root, store, now, most) if head != now.get("head") else None
     return sync.sync(spark, root, store, _rules(root), commits, force, {"head": head})
 
 

@@ -38,23 +38,50 @@ def touched_by(commits: DataFrame, files: DataFrame) -> DataFrame:
     return each.join(files.select(F.col("id").alias("file_id"), F.col("file_path").alias("path")), "path").select("file_id", "sha", "f.insertions", "f.deletions")
 
 
-def mine_cochanges(changes: DataFrame, max_files: int = MAX_FILES, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
-    """(file_a, file_b, support, confidence) of files that change together, from changes (commit, file).
+def changed_files(commits: DataFrame) -> DataFrame:
+    """(commit, file) of parsed commits."""
+    return commits.select(F.col("sha").alias("commit"), F.explode("files").alias("f")).select("commit", F.col("f.path").alias("file"))
+
+
+def change_counts(changes: DataFrame, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+    """(file_a, file_b, support) and (file, times): how many commits change both files, and each, from changes (commit, file).
 
-    Commits with more files than max_files count for nothing. Confidence is support by the rarer
-    file's commits. max_files bounds the pairs of a commit, so the self-join stays linear in commits.
+    Commits with more files than max_files count for nothing. max_files bounds the pairs of a commit, so the self-join
+    stays linear in commits.
     """
     rows = changes.select("commit", "file").distinct()
-    wide = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= max_files).select("commit")
-    rows = rows.join(wide, "commit")
-    times = rows.groupBy("file").agg(F.count("*").alias("times"))
+    narrow = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= max_files).select("commit")
+    rows = rows.join(narrow, "commit")
     a, b = rows.select("commit", F.col("file").alias("file_a")), rows.select("commit", F.col("file").alias("file_b"))
-    pairs = a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    pairs = a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("support"))
+    return pairs, rows.groupBy("file").agg(F.count("*").alias("times"))
+
+
+def adjusted_counts(old: tuple[DataFrame, DataFrame], come: DataFrame, gone: DataFrame, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+    """change_counts after commits came and went, from those before and the changes (commit, file) of these commits alone."""
+    out = []
+    for before, plus, minus in zip(old, change_counts(come, max_files), change_counts(gone, max_files)):
+        *keys, value = before.columns
+        less = minus.select(*keys, (-F.col(value)).alias(value))
+        rows = before.unionByName(plus).unionByName(less).groupBy(*keys).agg(F.sum(value).alias(value))
+        out.append(rows.where(F.col(value) > 0))
+    return out[0], out[1]
+
+
+def together(counts: tuple[DataFrame, DataFrame], min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+    """(file_a, file_b, support, confidence) of change_counts. Confidence is support by the rarer file's commits."""
+    pairs, times = counts
+    pairs = pairs.where(F.col("support") >= min_support)
     both = pairs.join(times.withColumnsRenamed({"file": "file_a", "times": "ta"}), "file_a").join(times.withColumnsRenamed({"file": "file_b", "times": "tb"}), "file_b")
     out = both.withColumn("confidence", F.col("support") / F.least("ta", "tb")).where(F.col("confidence") >= min_confidence).select("file_a", "file_b", "support", "confidence")
     return out if max_pairs is None else out.orderBy(F.desc("support"), F.desc("confidence"), "file_a", "file_b").limit(max_pairs)
 
 
+def mine_cochanges(changes: DataFrame, max_files: int = MAX_FILES, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+    """(file_a, file_b, support, confidence) of files that change together, from changes (commit, file)."""
+    return together(change_counts(changes, max_files), min_support, min_confidence, max_pairs)
+
+
 def apply_cochanges(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst, kind, weight, meta): an edge from the lower to the higher id; pairs with unknown files go."""
     own = files.select(F.col("id").alias("ia"), F.col("file_path").alias("file_a"))

@@ -190,12 +190,15 @@ def link(x: Extracted, repo_id: int = 1, commits: DataFrame | None = None) -> Gr
     edges = import_edges(resolved, repo_id).unionByName(contains(x.symbols, nodes, repo_id)).unionByName(ref_edges(linked, repo_id))
     edges = edges.unionByName(tests(nodes, x.refs, repo_id)).unionByName(mentions(x.docs, nodes, repo_id))
     if commits is not None:
-        more, links = told_history(written(commits, "commits"), nodes, repo_id)
+        commits = written(commits, "commits")
+        counts = kept_counts(history.change_counts(history.changed_files(commits)))
+        more, links = told_history(commits, nodes, repo_id, counts)
         nodes, edges = nodes.unionByName(more), edges.unionByName(links)
     owned = {"nodes": owned_nodes(nodes), "edges": edges, "pending_refs": pending_refs(linked, x.imports, resolved, repo_id)}
     owned = {k: written(v, k) for k, v in owned.items()}
     plain = [v.select(*[c for c in v.columns if not c.startswith("_")]) for v in owned.values()]
-    return Graph(*plain, {**owned, "linked": linked, "resolved": resolved})
+    told = {} if commits is None else dict(zip(COUNTS, counts))
+    return Graph(*plain, {**owned, "linked": linked, "resolved": resolved, **told})
 
 
 def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None) -> Graph:
@@ -203,8 +206,16 @@ def build(files: DataFrame, repo_id: int = 1, commits: DataFrame | None = None)
     return link(extracted(files), repo_id, commits)
 
 
-def told_history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[DataFrame, DataFrame]:
-    """Commit and feature nodes; touched_by, co_change and in_feature edges."""
+#: The tables of history.change_counts that a version keeps.
+COUNTS = ("pair_counts", "file_counts")
+
+
+def kept_counts(counts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return written(counts[0], COUNTS[0]), written(counts[1], COUNTS[1])
+
+
+def told_history(commits: DataFrame, nodes: DataFrame, repo_id: int, counts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Commit and feature nodes; touched_by, co_change and in_feature edges. counts are the commits' history.change_counts."""
     files = nodes.where("kind = 'file'").select("id", "file_path")
     dated = commits.join(history.commit_totals(commits).drop("short_sha"), "sha")
     commit_id, feature_id = F.xxhash64(F.lit("commit"), "sha"), F.xxhash64(F.lit("feature"), "scope")
@@ -213,8 +224,7 @@ def told_history(commits: DataFrame, nodes: DataFrame, repo_id: int) -> tuple[Da
     touches = written(history.touched_by(commits, files), "touches")
     none = F.lit(None).cast("string").alias("meta")
     told = touches.select(F.col("file_id").alias("src"), commit_id.alias("dst"), F.lit("touched_by").alias("kind"), F.lit(1.0).alias("weight"), F.to_json(F.struct("insertions", "deletions")).alias("meta"))
-    changed = commits.select(F.col("sha").alias("commit"), F.explode("files").alias("f")).select("commit", F.col("f.path").alias("file"))
-    together = history.apply_cochanges(history.mine_cochanges(changed), files)
+    together = history.apply_cochanges(history.together(counts), files)
     found, members, in_files = history.features(commits.select("sha", "subject", newest.alias("ord")), touches)
     feature_nodes = _shaped(found, "feature", feature_id, repo_id, name=F.col("scope"), qualified_name=F.col("scope"), doc=F.col("doc"), meta=F.to_json(F.struct(F.col("commits").alias("commitCount"), "types")), ord=F.lit(0))
     of_commit = members.select(commit_id.alias("src"), feature_id.alias("dst"), F.lit("in_feature").alias("kind"), F.lit(1.0).alias("weight"), none)

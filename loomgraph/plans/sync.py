@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import audit
+from loomgraph.operators import audit, history
 from loomgraph.plans import adjacency, build, snapshot, terms
 from loomgraph.plans.build import Extracted, Graph
 from loomgraph.scratch import written
@@ -33,7 +33,7 @@ def _all_tables(x: Extracted, g: Graph, commits: DataFrame | None) -> dict:
         **{name: snapshot.Bucketed(rows, "path", "path") for name, rows in x.tables().items()},
     }
     bucketed |= terms.built(g.owned["nodes"]) | adjacency.built(g.owned["edges"])
-    return bucketed if commits is None else {**bucketed, "commits": commits}
+    return bucketed if commits is None else {**bucketed, "commits": commits, **{name: g.owned[name] for name in build.COUNTS}}
 
 
 def full(spark: SparkSession, store: str, files: DataFrame, commits: DataFrame | None = None, repo_id: int = 1, manifest: dict | None = None) -> str:
@@ -79,6 +79,37 @@ def _within(rows: DataFrame, column: str, keys: DataFrame, how: str = "left_semi
     return rows.join(keys.select(F.col(keys.columns[0]).alias(column)).distinct(), column, how)
 
 
+@dataclass
+class Pulled:
+    """How a history changed: parsed commits that came into its window, and (sha) of those that left it."""
+
+    come: DataFrame
+    gone: DataFrame
+
+
+def _history(spark: SparkSession, store: str, now: dict, commits: DataFrame | Pulled | None) -> tuple[DataFrame, tuple[DataFrame, DataFrame], dict]:
+    """The commits of the next version, their counts, and the tables to write for them.
+
+    Of commits that were pulled only these are counted; those that the version has or lacks already don't count again.
+    """
+    if isinstance(commits, Pulled) and all(name in now["layout"] for name in build.COUNTS):
+        old = snapshot.table(spark, store, "commits", now)
+        counts = tuple(snapshot.table(spark, store, name, now) for name in build.COUNTS)
+        gone = written(old.join(commits.gone.select("sha").distinct(), "sha", "left_semi"), "gone-commits")
+        left = old.join(gone.select("sha"), "sha", "left_anti")
+        come = written(commits.come.dropDuplicates(["sha"]).join(old.select("sha"), "sha", "left_anti"), "new-commits")
+        stored = written(left.unionByName(come.select(*old.columns)), "commits")
+        counts = build.kept_counts(history.adjusted_counts(counts, history.changed_files(come), history.changed_files(gone)))
+    elif isinstance(commits, Pulled):
+        raise ValueError("this version keeps no counts of its history: give all its commits")
+    elif commits is None and all(name in now["layout"] for name in build.COUNTS):
+        return snapshot.table(spark, store, "commits", now), tuple(snapshot.table(spark, store, name, now) for name in build.COUNTS), {}
+    else:
+        stored = written(snapshot.table(spark, store, "commits", now) if commits is None else commits, "commits")
+        counts = build.kept_counts(history.change_counts(history.changed_files(stored)))
+    return stored, counts, {"commits": stored, **dict(zip(build.COUNTS, counts))}
+
+
 @dataclass
 class Delta:
     """Tables in which a version differs from the one before, how many references were linked anew, and the graph after it."""
@@ -88,7 +119,7 @@ class Delta:
     after: Graph
 
 
-def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFrame, commits: DataFrame | None) -> Delta:
+def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFrame, commits: DataFrame | Pulled | None) -> Delta:
     """What files extracted anew (x) and files gone (path) change in the graph of the version now.
 
     Imports are resolved again for these files only, unless files come, go or change their package: then for all, and
@@ -146,14 +177,15 @@ def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFr
     groups = [redo(owners, "ref"), redo(importers, "imports"), redo(paths, "contains"), redo(testing, "tests"), redo(docs.select("path").unionByName(paths), "mentions")]
     fresh = [build.ref_edges(fresh_linked, repo_id), build.import_edges(fresh_resolved, repo_id), build.contains(x.symbols, fresh_nodes, repo_id), build.tests(tree_nodes, refs1, repo_id, only), build.mentions(docs, tree_nodes, repo_id)]
     redo_nodes, fresh_all = paths.select(F.col("path").alias("_owner")), fresh_nodes
-    stored = commits if commits is not None else snapshot.table(spark, store, "commits", now) if now.get("history") and moved else None
-    if stored is not None:
-        more, links = build.told_history(written(stored, "commits"), tree_nodes, repo_id)
+    everywhere = commits is not None or bool(now.get("history") and moved)  # history is spread over all buckets
+    told_tables = {}
+    if everywhere:
+        stored, counts, told_tables = _history(spark, store, now, commits)
+        more, links = build.told_history(stored, tree_nodes, repo_id, counts)
         groups.append(redo(spark.createDataFrame([("",)], "_owner string"), "history"))
         fresh.append(links)
         redo_nodes = redo_nodes.unionByName(spark.createDataFrame([("",)], "_owner string"))
         fresh_all = fresh_nodes.unionByName(build.owned_nodes(more))
-    everywhere = stored is not None  # history is spread over all buckets
     all_groups, all_fresh = groups[0], fresh[0]
     for g, f in zip(groups[1:], fresh[1:]):
         all_groups, all_fresh = all_groups.unionByName(g), all_fresh.unionByName(f)
@@ -172,8 +204,7 @@ def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFr
     }
     tables |= terms.changed(spark, store, now, nodes0.join(redo_nodes, "_owner", "left_semi"), fresh_all)
     tables |= adjacency.changed(now, edges0.join(all_groups, ["_owner", "_group"], "left_semi"), all_fresh)
-    if commits is not None:
-        tables["commits"] = commits
+    tables |= told_tables
     plain = lambda rows: rows.select(*[c for c in rows.columns if not c.startswith("_")])
     nodes1 = nodes0.join(redo_nodes, "_owner", "left_anti").unionByName(fresh_all)
     edges1 = edges0.join(all_groups, ["_owner", "_group"], "left_anti").unionByName(all_fresh)
@@ -185,12 +216,12 @@ def delta(spark: SparkSession, store: str, now: dict, x: Extracted, gone: DataFr
 ATTEMPTS = 5
 
 
-def reindex(spark: SparkSession, store: str, files: DataFrame, gone: DataFrame, commits: DataFrame | None = None, manifest: dict | None = None) -> Report:
+def reindex(spark: SparkSession, store: str, files: DataFrame, gone: DataFrame, commits: DataFrame | Pulled | None = None, manifest: dict | None = None) -> Report:
     """Takes new contents of files (path, role, language, content, ...) and files gone (path) into the graph.
 
     Only these files are extracted, and only what they may have changed is linked again, so that the graph
     equals a full build. Inbound edges of symbols that stay are kept, as their ids don't depend on
-    lines. commits, if given, replace the stored history. If another version was published meanwhile, it is done again
+    lines. commits, if given, replace the stored history, or, as Pulled, come to it and leave it. If another version was published meanwhile, it is done again
     from that one, so that neither's changes are lost.
     """
     files, gone = written(files, "contents"), written(gone.select("path").distinct(), "gone")
@@ -214,7 +245,7 @@ def reindex(spark: SparkSession, store: str, files: DataFrame, gone: DataFrame,
         return Report(version, counts, diff, findings)
 
 
-def sync(spark: SparkSession, root: str, store: str, rules: list[tuple[str, bool]] = (), commits: DataFrame | None = None, force: bool = False, manifest: dict | None = None) -> Report:
+def sync(spark: SparkSession, root: str, store: str, rules: list[tuple[str, bool]] = (), commits: DataFrame | Pulled | None = None, force: bool = False, manifest: dict | None = None) -> Report:
     """Brings the graph in store up to the tree at root.
 
     Files of known size and time aren't read; of the others the content decides. A tree without changes
