@@ -305,6 +305,24 @@ def cochange_mine(spark: SparkSession, d: str) -> DataFrame:
     return history.mine_cochanges(star.changes(spark, d), **star.COCHANGE).select("file_a", "file_b", "support", _r("confidence"))
 
 
+@query(
+    """, dated as (select c.commit_id, c.file, year(o_orderdate) as y from changes c join orders on o_orderkey = c.commit_id),
+  inside as (select commit_id, file from dated where y > (select min(y) from dated)), few as (select * from inside where commit_id in (select commit_id from inside group by 1 having count(*) <= 6)),
+  ones as (select file, count(*) as n from few group by 1), twos as (select a.file as file_a, b.file as file_b, count(*) as support from few a join few b on a.commit_id = b.commit_id and a.file < b.file group by 1, 2)
+select file_a, file_b, support, round(support / least(ta.n, tb.n), 6) as confidence from twos join ones ta on ta.file = file_a join ones tb on tb.file = file_b where support >= 3 and support / least(ta.n, tb.n) >= 0.05"""
+)
+def cochange_window(spark: SparkSession, d: str) -> DataFrame:
+    """Co-changes when the last year's commits come into a window and the first year's leave it."""
+    when = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.year("o_orderdate").alias("y"))
+    dated = written(star.changes(spark, d).join(when, "commit"), "dated")
+    ends = dated.agg(F.min("y").alias("first"), F.max("y").alias("last"))
+    rows = dated.crossJoin(F.broadcast(ends))  # one row
+    part = lambda where: rows.where(where).select("commit", "file")
+    most = star.COCHANGE["max_files"]
+    counts = history.adjusted_counts(history.change_counts(part("y < last"), most), part("y = last"), part("y = first"), most)
+    return history.together(counts, star.COCHANGE["min_support"], star.COCHANGE["min_confidence"], None).select("file_a", "file_b", "support", _r("confidence"))
+
+
 @query(
     """, pchanges as (select distinct l_orderkey as commit_id, l_partkey as file from lineitem), pnarrow as (select * from pchanges where commit_id in (select commit_id from pchanges group by 1 having count(*) <= 6)),
   ptimes as (select file, count(*) as n from pnarrow group by 1), ppairs as (select a.file as file_a, b.file as file_b, count(*) as support from pnarrow a join pnarrow b on a.commit_id = b.commit_id and a.file < b.file group by 1, 2 having count(*) >= 3)
