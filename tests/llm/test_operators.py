@@ -224,6 +224,23 @@ def all_passage_pairs(texts):
     return out
 
 
+def test_passage_classes_list_all_who_share_a_passage(spark):
+    """Two passages, each in many texts between words of their own: two classes, named by their first places, with all members."""
+    r = random.Random(21)
+    word = lambda n: [f"w{r.randrange(100_000)}" for _ in range(n)]
+    first, second = word(90), word(70)
+    texts = {i: word(30) + (first if i % 3 else second) + word(30) for i in range(40)}
+    texts[50] = word(30) + first + word(60) + second  # holds both, which doesn't make them one class
+    texts[51] = word(200)
+    rows = passages.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)).collect()
+    members = {}
+    for x in rows:
+        members.setdefault((x.class_doc_id, x.class_start), set()).update((x.doc_id, x.source_doc_id))
+    got = {k[0]: v for k, v in members.items()}
+    assert len(members) == 2 and all(k[1] <= 30 for k in members)
+    assert got == {0: {i for i in range(40) if i % 3 == 0} | {50}, 1: {i for i in range(40) if i % 3} | {50}}
+
+
 def test_passages_share_their_first_words_with_a_third_text(spark):
     """B and C share 60 words; 45 of them also stand in an earlier A, which is too few for a passage."""
     r = random.Random(8)
