@@ -73,8 +73,8 @@ def suffix_starts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return where[first].astype(np.int64), first, np.r_[first[1:], len(where)] - 1
 
 
-#: A suffix: its leading bytes as three words in their order, a hash of all bytes that its strings cover, and its text and place.
-SUFFIX = ["l0", "l1", "l2", "around", "doc_id", "place"]
+#: A suffix: its leading bytes as three words in their order, a 128-bit hash of all bytes that its strings cover, and its text and place.
+SUFFIX = ["l0", "l1", "l2", "around", "beyond", "doc_id", "place"]
 SUFFIXES = ", ".join(f"{c} long" for c in SUFFIX)
 
 
@@ -84,6 +84,11 @@ def _leads(raw: bytes, start: np.ndarray) -> list[np.ndarray]:
     return [(words[start + o].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) for o in range(0, LEAD, 8)]
 
 
+def _halves(digests: bytes) -> np.ndarray:
+    """The two words of each 128-bit digest, as two columns."""
+    return np.frombuffer(digests, ">i8").reshape(-1, 2).T.astype(np.int64)
+
+
 def _place(start: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Start, and how far before it the first and the last string start lie, in one number."""
     return (start << 16) | ((start - first) << 8) | (start - last)
@@ -95,7 +100,7 @@ def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh128_digest
 
     def told(out: list[list[np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], SUFFIX)
@@ -107,8 +112,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, first, last = suffix_starts(raw)
             if not len(start):
                 continue
-            around = [digest(raw[i : j + MATCH], s - i) for s, i, j in zip(start.tolist(), first.tolist(), last.tolist())]
-            for column, x in zip(out, (*_leads(raw, start), np.array(around, np.uint64).view(np.int64), np.full(len(start), doc), _place(start, first, last))):
+            around = b"".join([digest(raw[i : j + MATCH], s - i) for s, i, j in zip(start.tolist(), first.tolist(), last.tolist())])
+            for column, x in zip(out, (*_leads(raw, start), *_halves(around), np.full(len(start), doc), _place(start, first, last))):
                 column.append(x)
             rows += len(start)
             if rows >= 1 << 16:
@@ -180,7 +185,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = [c[order] for c in columns]
     differs = lambda some: np.r_[True, np.any([c[1:] != c[:-1] for c in some], 0)]
     fresh = differs(columns[:3])
-    head = fresh | differs(columns[3:4])
+    head = fresh | differs(columns[3:5])
     group = np.cumsum(fresh) - 1
     classes = np.bincount(group[head])[group]
     edge = (group == 0) | (group == group[-1])
@@ -207,7 +212,7 @@ def _sorted_classes(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
     classes = written(suffixes.repartitionByRange(parts, *SUFFIX).mapInArrow(_classes, CLASSES), "classes")
     # Two rows per bucket: its last row and its first one, which repeats the last of the bucket before if their keys are equal.
-    key = SUFFIX[:4]
+    key = SUFFIX[:5]
     ends = {r["part"]: r for r in classes.where(F.col("kind") == END).collect()}
     firsts = {r["part"]: r for r in classes.where(F.col("kind") == BORDER).collect()}
     same, before = [], None
@@ -263,8 +268,8 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = _span(place)
             count = last - first + 1
             start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            around = np.array([xxhash.xxh64_intdigest(raw[i : i + MATCH]) for i in start.tolist()], np.uint64).view(np.int64)
-            columns = [*_leads(raw, start), around, np.full(len(start), doc), _place(start, start, start)]
+            around = b"".join([xxhash.xxh128_digest(raw[i : i + MATCH]) for i in start.tolist()])
+            columns = [*_leads(raw, start), *_halves(around), np.full(len(start), doc), _place(start, start, start)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SUFFIX)
 
 
@@ -317,7 +322,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared, also across buckets. Most repeats show there, as whole classes, whatever their size. Only
     heads of classes that share a lead without sharing all around it are compared string by string; where
     more than GROUP classes share a lead, their strings are sorted as suffixes of their own. What is alike
-    around a suffix is told by its leading bytes and a 64-bit hash of the rest.
+    around a suffix is told by its leading bytes and a 128-bit hash of all.
     """
     rows = docs.select("doc_id", "text")
     # Written, as Spark reads the rows twice: once to sample the splitters.
