@@ -108,6 +108,28 @@ def estimate_tokens(text: Column | str) -> Column:
     return F.ceil(F.octet_length(F.encode(_c(text), "UTF-16BE")) / 8).cast("long")
 
 
+def utf16_units(text: Column | str) -> Column:
+    return (F.octet_length(F.encode(_c(text), "UTF-16BE")) / 2).cast("long")
+
+
+def _head(text: Column, units: Column) -> Column:
+    """The longest beginning of that many UTF-16 units at most; no half of a pair."""
+    # A mark before each character that takes two units lets a cut by characters count units.
+    marked = F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", "\uFFFF$1")
+    return F.regexp_replace(F.substring(marked, F.lit(1), F.greatest(units, F.lit(0)).cast("int")), "\uFFFF", "")
+
+
+def clamped(text: Column | str, budget: Column) -> Column:
+    """Cut to a budget of tokens, at a line end if one is in the second half, with a note if there is room for it; never over the budget."""
+    whole, room = _c(text), budget.cast("long") * 4
+    cut = _head(whole, room)
+    last = F.locate("\n", F.reverse(cut))
+    upto = F.substring(cut, F.lit(1), F.greatest(F.length(cut) - last, F.lit(0)))
+    noted = F.concat(F.when((last > 0) & (utf16_units(upto) * 2 > room), upto).otherwise(cut), F.lit("\n… [truncated to ~"), budget.cast("string"), F.lit(" tokens]"))
+    bare = F.concat(_head(whole, room - 1), F.lit("…"))
+    return F.when(estimate_tokens(whole) <= budget, whole).when(estimate_tokens(noted) <= budget, noted).otherwise(bare)
+
+
 def commit_type(subject: Column | str) -> Column:
     return F.lower(F.regexp_extract(_c(subject), CONVENTIONAL, 1))
 

@@ -23,9 +23,15 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, depth: int, direction:
     roots is from placed. A level costs one join of the frontier with the moves and one combining aggregate by (block,
     node), which also takes away what was seen. Its rows are at most nodes x blocks, however many paths or roots there are.
     """
+    start = roots.select("block", F.col("root_id").alias("node_id"), F.expr("shiftleft(1L, bit)").alias("bits"))
+    return spread(edges, start, depth, direction, kinds).where("depth > 0")
+
+
+def spread(edges: DataFrame | Adjacency, start: DataFrame, depth: int, direction: str = "in", kinds: list[str] | None = None) -> DataFrame:
+    """reach from any start (block, node_id, bits), one row a block and node: a bit may begin at many nodes. The start is depth 0."""
     moves = moves_of(edges, direction, kinds)
     none = F.lit(0).cast("long")
-    frontier = roots.select("block", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), F.expr("shiftleft(1L, bit)").alias("bits"))
+    frontier = start.select("block", "node_id", F.lit(0).alias("depth"), "bits")
     seen = frontier
     for level in range(1, depth + 1):
         met = frontier.join(moves.near(frontier), frontier["node_id"] == F.col("at")).select("block", F.col("next").alias("node_id"), "bits", none.alias("old"))
@@ -34,7 +40,7 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, depth: int, direction:
         new = merged.select("block", "node_id", F.lit(level).alias("depth"), F.col("met").bitwiseAND(F.bitwise_not("old")).alias("bits")).where("bits <> 0")
         frontier = written(new, "frontier")
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    return seen
 
 
 def expanded(found: DataFrame, roots: DataFrame) -> DataFrame:

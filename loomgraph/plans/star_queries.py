@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import audit, context, docs, graph, history, impact, locate, rank, reach, resolve, search, traverse
+from loomgraph.operators import audit, context, docs, graph, history, impact, locate, packs, rank, reach, resolve, search, traverse
 from loomgraph.scratch import written
 from loomgraph.sources import star
 from loomgraph.sources.star import COMMIT, DOC, SYMBOL
@@ -806,6 +806,71 @@ def context_commits(spark: SparkSession, d: str) -> DataFrame:
     return context.recent_commits(core, nodes, touches)
 
 
+def _clamped_sql(whole: str, budget: str) -> str:
+    """text.clamped of a text without characters beyond the basic plane."""
+    room = f"({budget}) * 4"
+    cut = f"left({whole}, {room})"
+    last = f"strpos(reverse({cut}), chr(10))"
+    upto = f"left({cut}, length({cut}) - {last})"
+    noted = f"(case when {last} > 0 and length({upto}) * 2 > {room} then {upto} else {cut} end || chr(10) || '… [truncated to ~' || ({budget}) || ' tokens]')"
+    return f"case when length({whole}) <= {room} then {whole} when length({noted}) <= {room} then {noted} else left({whole}, {room} - 1) || '…' end"
+
+
+@query(f"select doc_id, {_clamped_sql('text', 'cast(10 + doc_id % 90 as integer)')} as clamped from documents where text is not null", prelude=False)
+def clamp(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut to budgets of 10 to 99 tokens."""
+    rows = star.table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", text.clamped("text", (F.col("doc_id") % 90 + 10).cast("int")).alias("clamped"))
+
+
+#: The graph with its commits, which packs show and search indexes.
+PACK_NODES = """, all_nodes as (
+  select id, repo_id, kind, name, qualified_name, doc, file_path from nodes
+  union all select id, cast(0 as bigint), 'commit', sha, cast(null as varchar), subject, cast(null as varchar) from commits), tasks as (select p_partkey as query_id, p_name, cast(30 + p_partkey // 100 * 37 % 700 as integer) as budget from part where p_partkey % 100 = 0)"""
+
+
+@query(
+    PACK_NODES
+    + _fts_sql().replace("from nodes", "from all_nodes")
+    + f""", hits as (select query_id, node_id as id, row_number() over (partition by query_id order by score desc, node_id) as position from scored where kind in ('symbol', 'file')),
+  start as (select query_id, h.id from hits h join nodes n on n.id = h.id where position <= 12 and n.file_path not like '%/test/%'),
+  moves as (select src, dst from edges where kind in ('calls', 'contains') union select dst, src from edges where kind in ('calls', 'contains')),
+  e1 as (select query_id, dst as id from start join moves on src = id except select query_id, id from start),
+  e2 as (select query_id, dst as id from e1 join moves on src = id except select query_id, id from e1 except select query_id, id from start),
+  reached as (select *, 0 as depth from start union all select *, 1 from e1 union all select *, 2 from e2),
+  byfile as (select query_id, file_path, count(*) as refs, bool_or(depth = 0) as direct from reached join nodes using (id) group by 1, 2),
+  valued as (select *, refs + case when direct then 8 else 0 end - case when file_path like '%/test/%' then 100000 else 0 end as score, case when file_path like '%/test/%' then 'test' when direct then 'direct' when refs >= 3 then 'strong' else 'weak' end as tier from byfile),
+  placed as (select *, row_number() over (partition by query_id order by score desc, refs desc, file_path) as place from valued),
+  shown as (select * from placed where place <= 13),
+  named_in as (select query_id, file_path, name, row_number() over (partition by query_id, file_path order by depth, ord) as n from reached join symbols using (id) semi join shown using (query_id, file_path)),
+  names as (select query_id, file_path, string_agg(name, ', ' order by n) filter (n <= 20) as core_names, string_agg(name, ', ' order by n) filter (n <= 8) as next_names from named_in group by 1, 2),
+  touched as (select query_id, substr(sha, 1, 7) as sha, file_path, min(struct_pack(place := s.place, ord := c.ord, subject := subject)) as r from shown s join files f using (file_path) join changes on file = f.id join commits c on c.ord = commit_id where s.place <= 5 group by 1, 2, 3),
+  recent as (select *, row_number() over (partition by query_id order by r.place, r.ord, sha, file_path) as n from touched),
+  lines as (
+    select query_id, 0 as section, 0 as place, 4 as goes, '{context.HEADER}' || chr(10) || chr(10) || 'Task: ' || p_name || chr(10) as line from tasks
+    union all select query_id, 1, place, 4, '#### ' || file_path || chr(10) || 'score ' || score || ', ' || tier || '; symbols: ' || coalesce(core_names, '') from placed left join names using (query_id, file_path) where place <= 5
+    union all select query_id, 2, place, 3, '- ' || file_path || ' (' || tier || '): ' || coalesce(next_names, '') from placed left join names using (query_id, file_path) where place between 6 and 13
+    union all select query_id, 3, place, 1, '- ' || file_path from placed where place > 13
+    union all select query_id, 4, n, 4, '- ' || sha || ' ' || r.subject || ' (' || file_path || ')' from recent where n <= 5),
+  sums as (select query_id, budget, sum(length(line) + 1) - 1 as s0, sum(length(line) + 1) filter (goes > 1) - 1 as s1, sum(length(line) + 1) filter (goes > 2) - 1 as s2 from lines join tasks using (query_id) group by 1, 2),
+  levels as (select query_id, budget, case when s0 <= budget * 4 then 0 when s1 <= budget * 4 then 1 when s2 <= budget * 4 then 2 else 3 end as level from sums),
+  texts_of as (select query_id, budget, level, string_agg(line, chr(10) order by section, place) as whole from lines join levels using (query_id) where goes > level group by 1, 2, 3),
+  cut_to as (select query_id, level, {_clamped_sql('whole', 'budget')} as markdown from texts_of)
+select query_id as task_id, level, markdown, cast(ceil(length(markdown) / 4) as bigint) as tokens from cut_to"""
+)
+def context_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Packs of every hundredth part's name as a task, with budgets from 30 tokens on, all in one job."""
+    nodes, edges = _g(spark, d)
+    kinds = {c: t for c, t in nodes.dtypes}
+    own = {"id": F.col("id"), "repo_id": F.lit(0), "kind": F.lit("commit"), "name": F.col("sha"), "doc": F.col("subject"), "ord": F.col("ord")}
+    commits = star.commits(spark, d).select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    touches = star.changes(spark, d).select(F.col("file").alias("src"), (F.col("commit") + COMMIT).alias("dst"), F.lit("touched_by").alias("kind"), F.lit(1.0).alias("weight"))
+    graph_nodes, graph_edges = written(nodes.unionByName(commits), "nodes"), written(edges.unionByName(touches), "edges")
+    key = F.col("p_partkey")
+    tasks = star.table(spark, d, "part").where("p_partkey % 100 = 0").select(key.alias("task_id"), F.col("p_name").alias("task"), (F.floor(key / 100) * 37 % 700 + 30).cast("int").alias("budget"))
+    return packs.packs(graph_nodes, graph_edges, tasks).select("task_id", "level", "markdown", "tokens")
+
+
 @query(SCOPED + "select distinct f.file_path, scope as name from scoped join changes on commit_id = ord join files f on f.id = file where scope <> '' and f.id % 10 = 0 group by 1, 2 having count(*) >= 2")
 def context_features(spark: SparkSession, d: str) -> DataFrame:
     files = star.file_nodes(spark, d).select("id", "kind", "name", "file_path")
