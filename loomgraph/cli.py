@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config, scratch
 from loomgraph.functions import text
-from loomgraph.operators import context, graph, history, impact, locate, search, traverse
+from loomgraph.operators import context, graph, history, impact, locate, packs, search, traverse
 from loomgraph.plans import adjacency, build, snapshot, sync, terms
 from loomgraph.sources import gitlog, tree
 
@@ -65,14 +65,14 @@ def _line() -> Column:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph")
-    p.add_argument("command", choices=["index", "sync", "search", "callers", "callees", "impact", "explore", "context", "resolve", "stats", "export"])
+    p.add_argument("command", choices=["index", "sync", "search", "callers", "callees", "impact", "explore", "context", "contexts", "resolve", "stats", "export"])
     p.add_argument("what", nargs="*")
     p.add_argument("--store", default=".loomgraph")
     p.add_argument("--depth", type=int, default=2)
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--budget", type=int, default=6000)
     p.add_argument("--commits", type=int, help="how many commits of the log are read")
-    p.add_argument("--sources", help="explore: the tree whose lines are shown")
+    p.add_argument("--sources", help="explore, contexts: the tree whose lines are shown")
     p.add_argument("--force", action="store_true", help="sync: take every file as changed")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
@@ -113,6 +113,10 @@ def main(argv: list[str] | None = None) -> None:
             print(f"### {r['name']} ({r['file_path'] or 'unknown'}:{r['start_line'] or '?'})", r["source"] or "", "… [truncated]" if r["truncated"] else "", sep="\n")
     elif a.command == "context":
         print(context.context_pack(nodes, edges, " ".join(a.what), a.budget).markdown)
+    elif a.command == "contexts":  # TASKS OUT: JSON lines of tasks, and the folder for their packs
+        tasks = spark.read.schema("task_id long, task string, budget int").json(a.what[0]).withColumn("budget", F.coalesce("budget", F.lit(a.budget)))
+        contents = tree.scan(spark, a.sources, _rules(a.sources)) if a.sources else None
+        packs.packs(nodes, edges, tasks, contents, adjacency.of(spark, a.store, edges)).write.mode("overwrite").json(a.what[1])
     elif a.command == "resolve":
         _resolved(nodes, a.what[0]).join(nodes, "id").show(1, False)
     elif a.command == "stats":
