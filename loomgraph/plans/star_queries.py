@@ -6,14 +6,17 @@ suppliers) as the query set, against the whole graph.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import audit, context, docs, graph, history, impact, locate, packs, rank, reach, resolve, search, traverse
-from loomgraph.scratch import written
+from loomgraph.scratch import root, written
 from loomgraph.sources import star
 from loomgraph.sources.star import COMMIT, DOC, SYMBOL
+from loomgraph.streaming import sessions
 
 S = star.SQL
 QUERIES: dict = {}
@@ -973,6 +976,23 @@ def latest_file_state(spark: SparkSession, d: str) -> DataFrame:
     return graph.latest(rows, ["path"], F.col("seq")).join(counts, "path")
 
 
+@query(
+    """with turns as (select user_id, count(*) filter (event_type = 'signup') as iteration, max(ts) as last from events group by 1), now as (select epoch_ms(max(ts)) - 3600000 as mark from events)
+select e.user_id as session_id, event_type as path, max(event_id) as seq, count(*) as writes, any_value(iteration) as iteration, any_value(epoch_ms(last) + 86400000 <= mark) as closed
+from events e join turns t on t.user_id = e.user_id, now where event_type <> 'signup' group by 1, 2""",
+    prelude=False,
+)
+def session_state(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream of sessions: users write event types, a signup ends an iteration, a day without events closes."""
+    schema = star.table(spark, d, "events").schema
+    feed = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    path = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    feed = feed.select(F.col("user_id").alias("session_id"), path.alias("path"), F.col("event_id").alias("seq"), "ts")
+    folder = f"{root(spark)}/sessions-{uuid.uuid4().hex}"
+    sessions.keep(feed, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return sessions.told(spark, f"{folder}/rows")
+
+
 @query(
     IN.replace("calls c on", "inner_calls c on").replace(", roots as", ", inner_calls as (select c.src, c.dst from calls c join symbols a on a.id = c.src join symbols b on b.id = c.dst where a.repo_id = b.repo_id), roots as")
     + "select r.repo_id, count(distinct h.root_id) as targets, count(*) as hits, count(distinct n.file_path) as files from hits h join symbols r on r.id = h.root_id join symbols n on n.id = h.node_id group by 1"
