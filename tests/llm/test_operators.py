@@ -256,6 +256,38 @@ def test_passages_share_their_first_words_with_a_third_text(spark):
     assert found <= want and len(found) >= 0.95 * len(want)
 
 
+def test_passages_lose_no_pair_of_one_min_hash(spark, monkeypatch):
+    """Passages of 52 words, each with a word put in or left out in its copy, around a line that many texts hold: all pairs of windows of each min-hash, verified."""
+    monkeypatch.setattr(passages, "BLOCK", 16)  # so that the line's windows are dealt out as pairs of blocks
+    r = random.Random(33)
+    word = lambda n: [f"w{r.randrange(40_000)}" for _ in range(n)]
+    line, texts = word(14), []
+    for _ in range(120):
+        k = r.randrange(39)
+        own = word(k) + line + word(38 - k)
+        at = r.randrange(3, 49)
+        edited = own[:at] + (word(1) if r.random() < 0.5 else []) + own[at:]
+        if len(edited) == len(own):
+            edited = own[:at] + own[at + 1 :] + word(1)
+        texts += [word(30) + p + word(30) for p in (own, edited)]
+    texts += [word(40) + line + word(40) for _ in range(150)]
+    raw = [" ".join(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw)], ["doc_id", "text"])
+    rows = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in passages._windows(iter([batch]))])
+    shingles = [(passages.tokens(t.encode()) & np.uint64(0xFFFFFFFF)).astype("<u4") for t in raw]
+    by_key, want = {}, set()
+    for x in rows:
+        by_key.setdefault(x[0], []).append(x)
+    for group in by_key.values():
+        pairs = [(x, y) for n, x in enumerate(group) for y in group[:n] if x[3] // 2 == y[3] // 2 or len(group) < 20]
+        for x, y in pairs:
+            doc, other, i, j, a, e = (int(c[0]) for c in passages._stretches(x[None], y[None]))
+            if doc != other and passages.verified(shingles[doc][i : j + 1], shingles[other][a : e + 1], 0.8):
+                want.add((doc, other))
+    found = {(x.doc_id, x.source_doc_id) for x in passages.near_passages(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string").repartition(3)).collect()}
+    assert len(want) >= 100 and want <= found
+
+
 def test_passages_recall_against_all_pairs(spark):
     """Passages of 50 to 120 words, some edited, in texts that also share lines and beginnings of passages."""
     r = random.Random(9)
