@@ -317,11 +317,12 @@ def exact_links(candidates: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect the similar nodes of each component of candidates (component, node, checks, size, own).
 
     Each pair of a component that the checks don't refuse is compared by its whole sets, but for those that a
-    walk over the links found has joined already. A component of more than VOLUME shingles is dealt out as pairs of blocks.
+    walk over the links found has joined already. A component of more than VOLUME shingles is dealt out as pairs of blocks;
+    such components are few, so they are broadcast and no component's sets meet in one task before.
     """
     blocks = candidates.groupBy("component").agg(F.ceil(F.sum("size") / VOLUME).cast("int").alias("n")).where("n > 1")
     dealt = (
-        candidates.join(blocks, "component", "left")
+        candidates.join(F.broadcast(blocks), "component", "left")
         .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("c", F.expr("cast(pmod(xxhash64(node), n) as int)"))
         .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

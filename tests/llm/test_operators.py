@@ -256,6 +256,19 @@ def test_passages_share_their_first_words_with_a_third_text(spark):
     assert found <= want and len(found) >= 0.95 * len(want)
 
 
+def test_sets_of_a_component_are_dealt_out_without_a_join_by_component(spark, capsys):
+    names = ", ".join(f"{n} long" for n in ("component", "node", *simhash.NAMES[simhash.PRINTS :], "size")) + ", own binary"
+    path = simhash.written(spark.createDataFrame([], names), "sets")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        simhash.exact_links(path, 0.8).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_passages_lose_no_pair_of_one_min_hash(spark, monkeypatch):
     """Passages of 52 words, each with a word put in or left out in its copy, around a line that many texts hold: all pairs of windows of each min-hash, verified."""
     monkeypatch.setattr(passages, "BLOCK", 16)  # so that the line's windows are dealt out as pairs of blocks
