@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm import packing, quality, secrets, simhash, suffixes
 from loomgraph.llm.common import numbered, written
 
+#: Bytes of text that packing splits at once. Python workers are used again, so what it takes stays taken beside the executor's heap.
+AT_ONCE = 2 << 20
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the compression classifier scores 0.5 or more."""
@@ -46,7 +49,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining texts, in sequences of 1024 tokens."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), at_once=AT_ONCE)
 
 
 STAGES = [("quality", good), ("near_copies", distinct), ("repeats", unrepeated), ("secrets", redacted), ("packing", packed)]

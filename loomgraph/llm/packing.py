@@ -21,6 +21,8 @@ from loomgraph.llm.pretokens import Memory, gathered, pretokens
 
 #: Pieces of one length that one task ranks together, about.
 RANKED = 4096
+#: Pre-tokens that the library gets at once: a Python worker keeps the memory that the most of them took.
+TOGETHER = 8192
 
 
 @cache
@@ -36,11 +38,12 @@ def _known(path: str) -> Memory:
     t = _tokenizer(path)
     forms = [struct.Struct(f"<{n}I").pack for n in range(64)]  # most pre-tokens have a few ids
     one = lambda ids: forms[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
-    return Memory(lambda words: [one(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    parts = lambda words: (words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER))
+    return Memory(lambda words: [one(e.ids) for part in parts(words) for e in t.encode_batch_fast(part, add_special_tokens=False)])
 
 
-def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For slices [i, j) of texts: their ids, one text after the other, and where each begins and the last ends.
+def _encoded(texts: pa.Array, path: str, at_once: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices [i, j) of texts (as pretokens has them): their ids, one text after the other, and where each begins and the last ends.
 
     A text with the string of an added token goes through the library as a whole, which makes it that token's id.
     """
@@ -48,7 +51,7 @@ def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray,
     special = np.zeros(len(texts), bool)
     for t in added:
         special |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
-    for i, j, tokens, counts in pretokens(texts):
+    for i, j, tokens, counts in pretokens(texts, at_once):
         flat, upto = gathered(_known(path).of(tokens.dictionary.to_pylist()), tokens.indices.to_numpy(), counts)
         if special[i:j].any():
             each = np.split(flat, upto[1:-1])
@@ -58,9 +61,9 @@ def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, flat, upto
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, with_ids: bool, at_once: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, flat, upto in _encoded(b.column(1), path):
+        for i, j, flat, upto in _encoded(b.column(1), path, at_once):
             flat = np.insert(flat, upto[1:], end)
             upto = upto + np.arange(len(upto))
             total = np.diff(upto)
@@ -77,14 +80,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, w
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 0, with_ids: bool = False, at_once: int | None = None) -> DataFrame:
     """Each text's ids under the tokenizer file at path, then the id end, cut every size ids; one row per piece.
 
     No special tokens are added; where a text holds the string of one, the library's default makes it that token.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(partial(_pieces, path=path, size=size, end=end, with_ids=with_ids), schema)
+    return rows.mapInArrow(partial(_pieces, path=path, size=size, end=end, with_ids=with_ids, at_once=at_once), schema)
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -168,11 +171,11 @@ def pack(rows: DataFrame, size: int = 1024, row: str | None = None) -> DataFrame
     return out.mapInArrow(partial(_placed, slots=slots), f"{kinds}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFrame:
-    """The pieces of documents (doc_id, text), placed.
+def packed(docs: DataFrame, path: str, size: int = 1024, end: int = 0, at_once: int | None = None) -> DataFrame:
+    """The pieces of documents (doc_id, text), placed. at_once: bytes of text that a task splits at once, 8 MB if not given; fewer take less memory and more time.
 
     A null or empty text is the one id end. Null and repeated doc_ids are documents of their own, as pieces have numbers. Other
     columns are ignored.
     """
-    numbered = pieces(docs, path, size, end).withColumn("row", F.monotonically_increasing_id())
+    numbered = pieces(docs, path, size, end, at_once=at_once).withColumn("row", F.monotonically_increasing_id())
     return pack(written(numbered, "pieces"), size, "row").drop("row")

@@ -75,12 +75,12 @@ def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return tokens, np.diff(upto)
 
 
-def pretokens(texts: pa.Array) -> Iterator[tuple[int, int, pa.DictionaryArray, np.ndarray]]:
-    """For slices [i, j) of texts (null: empty): their pre-tokens, dictionary-encoded, and each text's count."""
+def pretokens(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, pa.DictionaryArray, np.ndarray]]:
+    """For slices [i, j) of texts (null: empty), of most bytes (else SLICE) unless a text is longer: their pre-tokens, dictionary-encoded, and each text's count."""
     part, size, i = [], 0, 0
     for j, t in enumerate(texts):
         raw = (t.as_py() or "").encode()
-        if part and size + len(raw) > SLICE:
+        if part and size + len(raw) > (most or SLICE):
             tokens, counts = _split(part)
             yield i, j, tokens.dictionary_encode(), counts
             part, size, i = [], 0, j

@@ -418,6 +418,30 @@ def test_rank_queue_against_the_library():
         assert ids.tolist() == (lib._core_bpe.encode_single_piece(w.encode()) if w else [])
 
 
+def test_packing_bounds_what_is_split_and_learned_at_once(monkeypatch):
+    path, sizes = public_tokenizers.path("byte_bpe_50k.json"), []
+    library = packing._tokenizer(path)
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, words, **how):
+            sizes.append(len(words))
+            return library.encode_batch_fast(words, **how)
+
+    monkeypatch.setattr(packing, "_tokenizer", lambda _: Counting())
+    monkeypatch.setattr(packing, "_known", packing._known.__wrapped__)
+    texts = [" ".join(f"w{i}x{j}" for i in range(5000)) for j in range(6)]
+    got = list(packing._encoded(pa.array(texts), path, 80_000))
+    assert sizes and max(sizes) <= 8192
+    assert all(sum(map(len, texts[i:j])) <= 80_000 for i, j, _, _ in got)
+    ids = [part.tolist() for _, _, flat, upto in got for part in np.split(flat, upto[1:-1])]
+    assert ids == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    sizes.clear()
+    assert sum(j - i for i, j, _, _ in packing._encoded(pa.array(texts), path)) == 6 and max(sizes) <= 8192
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
