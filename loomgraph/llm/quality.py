@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import written
+
 #: The bound on what is learned from: labelled documents and bytes of a class, first by hash of the doc_id, and bytes of one of them.
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 16 << 20, 64 << 10
 #: Bytes of a dictionary, and the level at which texts are compressed with it.
@@ -62,12 +64,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
+def _measured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = differences([t.encode() for t in b.column(2).to_pylist()], _compressors(model))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["quality", "place", "difference"])
+
+
 def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
     """Learns from labelled documents (labels: doc_id, quality), of those usable holds for.
 
-    Of each class at most SAMPLE documents and SAMPLE_BYTES bytes reach the driver, none of more than
-    TEXT_BYTES; a class that has fewer than two such texts gives its shortest ones instead. Half make the
-    dictionaries and the other half, which these haven't seen, the curve. Labels that are null or
+    Of each class at most SAMPLE documents and SAMPLE_BYTES bytes count, none of more than TEXT_BYTES; a
+    class that has fewer than two such texts gives its shortest ones instead. Half make the dictionaries,
+    for which their first DICTIONARY bytes reach the driver, and the other half, which these haven't seen,
+    the curve; it is compressed in tasks. Labels that are null or
     contradict each other don't count, nor do labels without a text. Where a class has fewer than two
     texts within SAMPLE_BYTES, the model knows nothing and scores 0.5.
     """
@@ -86,21 +95,24 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None) ->
     texts = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h"))
     size = F.when(F.col("quality").isin(*usual), 0).otherwise(F.octet_length("text")) if usual else F.octet_length("text")
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(size, "h", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    found = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("h", "doc_id", "quality", "text").collect()
-    found.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    found = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
     # Within each class every second text, so that neither half can lack a class that has two.
-    half = [[], []]
-    for q in (0, 1):
-        own = [(r["text"].encode(), q) for r in found if r["quality"] == q]
-        half[0] += own[::2]
-        half[1] += own[1::2]
-    if not all({q for _, q in part} >= {0, 1} for part in half):
-        return Model()
-    bad, good = (b"\n".join(t for t, q in half[0] if q == c)[:DICTIONARY] for c in (0, 1))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id", "text"))
+    before = Window.partitionBy("quality", "odd").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    halves = found.withColumn("place", place).withColumn("odd", F.col("place") % 2 == 1)
+    halves = halves.withColumn("start", F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0)))
+    halves = written(halves.select(F.col("quality").cast("int").alias("quality"), "place", "odd", "start", "text"), "quality-sample")
+    # The driver gets what the dictionaries hold, and a number for each text of the other half.
+    known = sorted(halves.where(F.col("odd") & (F.col("start") < DICTIONARY)).select("quality", "place", "text").collect())
+    bad, good = (b"\n".join(r["text"].encode() for r in known if r["quality"] == q)[:DICTIONARY] for q in (0, 1))
     model = Model(good, bad)
-    x = differences([t for t, _ in half[1]], _compressors(model))
+    asked = halves.where(~F.col("odd")).select("quality", "place", "text")
+    rest = sorted(asked.mapInArrow(partial(_measured, model=model), "quality int, place int, difference double").collect())
+    if {r["quality"] for r in rest} != {0, 1}:
+        return Model()
+    x, y = (np.array([r[name] for r in rest], float) for name in ("difference", "quality"))
     scale = x.std() + 1e-9
-    w = _logistic(np.c_[np.ones(len(x)), x / scale], np.array([q for _, q in half[1]], float))
+    w = _logistic(np.c_[np.ones(len(x)), x / scale], y)
     return Model(good, bad, (float(w[0]), float(w[1] / scale)))
 
 

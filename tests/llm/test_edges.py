@@ -1,12 +1,15 @@
 """Nulls, repeated keys and odd files at the edges of the operators."""
 
+import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
-from loomgraph.llm import embeddings, media, packing, quality, secrets
+from loomgraph.llm import common, embeddings, media, packing, quality, secrets
+from loomgraph.llm.common import written
 
 
 def test_secrets_of_null_and_repeated_ids(spark):
@@ -74,3 +77,65 @@ def test_quality_of_long_classes_and_odd_ids(spark, monkeypatch):
     assert all(of[i].predicted == k % 2 for k, i in enumerate(train))
     assert of[999].score == of[998].score and sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
     assert quality.judged(docs, labels.limit(0)).where("score <> 0.5").count() == 0
+
+
+def test_quality_learns_with_only_its_dictionaries_on_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    r = random.Random(8)
+    words = [[f"{kind}{i}" for i in range(400)] for kind in ("good", "bad")]
+    rows = [(i, " ".join(r.choices(words[i % 2] if i % 7 else words[0] + words[1], k=120)), 1 - i % 2) for i in range(600)]
+    docs = written(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), "docs")
+    labels = written(spark.createDataFrame([x[::2] for x in rows], "doc_id long, quality int"), "labels")
+    monkeypatch.setattr(quality, "DICTIONARY", 4096)
+    got = []
+
+    def collect(self, real=DataFrame.collect):
+        got.append(real(self))
+        return got[-1]
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    model = quality.learned(docs, labels)
+    assert sum(len(x["text"]) for part in got for x in part if "text" in x) <= 2 * (4096 + 2000)
+
+    hashes = {x.doc_id: x.h for x in docs.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    half = [[], []]
+    for q in (0, 1):
+        own = [(t.encode(), q) for _, _, t in sorted((hashes[i], i, t) for i, t, label in rows if label == q)]
+        half[0] += own[::2]
+        half[1] += own[1::2]
+    bad, good = (b"\n".join(t for t, q in half[0] if q == c)[:4096] for c in (0, 1))
+    x = quality.differences([t for t, _ in half[1]], quality._compressors(quality.Model(good, bad)))
+    w = quality._logistic(np.c_[np.ones(len(x)), x / (x.std() + 1e-9)], np.array([q for _, q in half[1]], float))
+    assert model == quality.Model(good, bad, (float(w[0]), float(w[1] / (x.std() + 1e-9))))
+
+
+def test_a_round_of_components_runs_few_tasks(spark):
+    """What the driver holds of a run grows with its tasks."""
+    r = random.Random(9)
+    pairs = [(r.randrange(600), r.randrange(600)) for _ in range(500)] + [(1000, i) for i in range(1001, 1300)]
+    edges = written(spark.createDataFrame(pairs, "a long, b long"), "links")
+    root = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    rounds, real = [], common.write
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        common.write = lambda df, name: (rounds.append(name), real(df, name))[1]
+        spark.sparkContext.setJobGroup("components", "")
+        found = common.connected_components(edges)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks)
+    finally:
+        common.write = real
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {x.node: x.component for x in found.collect()} == root
+    assert tasks <= 100 * len(rounds)
