@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import tidy, written
 from loomgraph.llm.pretokens import Memory, gathered, pretokens
 
 #: Pieces of one length that one task ranks together, about.
@@ -61,6 +61,7 @@ def _encoded(texts: pa.Array, path: str, at_once: int | None = None) -> Iterator
         yield i, j, flat, upto
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, with_ids: bool, at_once: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, flat, upto in _encoded(b.column(1), path, at_once):
@@ -134,6 +135,7 @@ def _slots(found: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+@tidy
 def _placed(batches: Iterator[pa.RecordBatch], slots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import tidy, written
 
 #: The bound on what is learned from: labelled documents and bytes of a class, first by hash of the doc_id, and bytes of one of them.
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 3000, 16 << 20, 64 << 10
@@ -30,9 +30,8 @@ class Model:
     weights: tuple[float, ...] = ()
 
 
-@lru_cache(maxsize=1)
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
-    """One for the bad and one for the good dictionary; a Python worker keeps them from task to task."""
+    """One for the bad and one for the good dictionary. A task makes its own, as a Python worker would keep their tables through all later stages."""
     out = []
     for raw in (model.bad, model.good):
         known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,9 +63,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
+@tidy
 def _measured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    compressors = _compressors(model)
     for b in batches:
-        found = differences([t.encode() for t in b.column(2).to_pylist()], _compressors(model))
+        found = differences([t.encode() for t in b.column(2).to_pylist()], compressors)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["quality", "place", "difference"])
 
 
@@ -123,6 +124,7 @@ def scores(model: Model, texts: list[bytes], compressors: list) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+@tidy
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     compressors = _compressors(model) if model.weights else []
     for b in batches:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import connected_components, numbered, written
+from loomgraph.llm.common import connected_components, numbered, tidy, written
 
 BYTES = 8
 #: Fingerprints that differ in at most RADIUS bits agree in at least BYTES - RADIUS of their bytes.
@@ -119,6 +119,7 @@ def _forest(rows: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray
     return out[:, 0], out[:, 1]
 
 
+@tidy
 def spanning_links(batches: Iterator[pa.RecordBatch], least: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (key, lo, hi, fp, node, checks...), sorted by the first three: links between the nodes of near rows."""
 
@@ -234,6 +235,7 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int64)
 
 
+@tidy
 def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = np.zeros((b.num_rows, 2 + PRINTS + CHECKS), np.int64)
@@ -245,6 +247,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["row", "doc_id", "s0", "s1", *NAMES])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = [shingles(t, words) for t in b.column(b.num_columns - 1).to_pylist()]
@@ -289,6 +292,7 @@ def _exact_links(node: np.ndarray, checks: np.ndarray, sets: list[np.ndarray], s
     return node[out[:, 0]], node[out[:, 1]]
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float, least: int) -> Iterator[pa.RecordBatch]:
     """Rows (component, lo, hi, node, checks..., own), sorted by the first three: links between nodes whose sets are similar."""
 

@@ -2,7 +2,10 @@
 
 import random
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -139,3 +142,37 @@ def test_a_round_of_components_runs_few_tasks(spark):
             spark.conf.set(k, v)
     assert {x.node: x.component for x in found.collect()} == root
     assert tasks <= 100 * len(rounds)
+
+
+#: Runs tasks over 12 MB of text each, as a Python worker does one after another, and prints how many MB each leaves behind.
+LEFT = """
+import random, re, pyarrow as pa
+from loomgraph.llm import quality, simhash, suffixes
+
+def held():
+    return int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+draw = random.Random(5)
+words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(20000)]
+text = lambda: " ".join(draw.choices(words, k=500))
+model = quality.Model(*("\\n".join(text() for _ in range(400)).encode()[: 1 << 20] for _ in range(2)), (0.0, 1.0))
+ids, texts = pa.array(range(4000)), pa.array([text() for _ in range(4000)])
+own = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids, texts], ["doc_id", "text"])], ["own"])
+rows = pa.RecordBatch.from_arrays([ids, ids, texts], ["row", "doc_id", "text"])
+both = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
+small = quality.Model(b"a", b"b", (0.0, 1.0))
+for task in (lambda m, k: quality._scored(iter([own[:k]]), m), lambda m, k: simhash._sketched(iter([rows[:k]]), 5), lambda m, k: suffixes._suffixes(iter([both[:k]]))):
+    list(task(small, 9))  # what is loaded once
+    before = held()
+    for _ in task(model, 4000):
+        pass
+    print(round(held() - before))
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_tasks_leave_no_memory_behind():
+    told = subprocess.run([sys.executable, "-c", LEFT], cwd=Path(common.__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    left = [int(x) for x in told.split()]
+    assert len(left) == 3
+    assert max(left) <= 12, left
