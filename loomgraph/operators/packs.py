@@ -135,7 +135,8 @@ def fitted(found: DataFrame, tasks: DataFrame) -> DataFrame:
     chosen = sums.select("task_id", "budget", level.alias("level"))
     before = Window.partitionBy("task_id").orderBy("section", "place", "sub").rowsBetween(Window.unboundedPreceding, -1)
     kept = rows.join(chosen, "task_id").where("drop > level").withColumn("start", F.coalesce(F.sum("cost").over(before), F.lit(0)))
-    kept = kept.where((F.col("start") <= room) | (F.col("section") == 0))
+    # A line left out starts after the line end of a text longer than the room, so what is kept is cut as the whole would be.
+    kept = kept.where((F.col("start") <= room + 1) | (F.col("section") == 0))
     parts = F.array_sort(F.collect_list(F.struct("section", "place", "sub", "line")))
     packed = kept.groupBy("task_id", "budget", "level").agg(parts.alias("parts"))
     whole = F.array_join(F.transform("parts", lambda x: x["line"]), "\n")

@@ -74,6 +74,16 @@ def test_a_pack_holds_what_belongs_to_it(spark, shop):
     assert "#### src/part1.test.ts" not in r.markdown or r.markdown.index("src/part1.ts") < r.markdown.index("src/part1.test.ts")
 
 
+def test_lines_that_end_at_the_budget_are_cut_as_the_whole(spark):
+    # Units before a line that is left out: below, at, and above the room of 10 tokens.
+    sizes = [(i, first, rest) for i, (first, rest) in enumerate((a, b) for a in range(36, 45) for b in (1, 20))]
+    lines = [(i, section, 0, 0, packs.ALWAYS, c * n) for i, first, rest in sizes for section, c, n in ((0, "x", first), (1, "y", rest), (4, "z", 9))]
+    found = spark.createDataFrame(lines, "task_id long, section int, place int, sub int, drop int, line string")
+    tasks = spark.createDataFrame([(i, 10) for i, _, _ in sizes], "task_id long, budget int")
+    got = {r.task_id: r.markdown for r in packs.fitted(found, tasks).collect()}
+    assert got == {i: context.clamped("\n".join(["x" * first, "y" * rest, "z" * 9]), 10) for i, first, rest in sizes}
+
+
 def test_cut_texts(spark):
     texts = ["", "short", "a" * 400, "line\n" * 100, "😀" * 300, "a" * 30 + "\n" + "b" * 400, "x" * 100 + "\n" + "😀" * 100]
     rows = [(i, t, b) for i, t in enumerate(texts) for b in (1, 2, 7, 20, 60)]
