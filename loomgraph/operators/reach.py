@@ -9,6 +9,15 @@ from loomgraph.operators.traverse import Adjacency, moves_of
 from loomgraph.scratch import written
 
 
+#: Rows up to which Spark may join a written table by the size of its files. Numbers in order take a byte or so there, many times that in a broadcast.
+FEW = 200_000
+
+
+def unbroadcast(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows, made from a written table, for a join that Spark doesn't broadcast if the table has many rows."""
+    return rows.hint("merge") if table.count() > FEW else rows
+
+
 def placed(roots: DataFrame) -> DataFrame:
     """(root_id, block, bit): distinct roots (root_id), 64 to a block at most. Roots whose ids are near share blocks; the last block of a partition may be short."""
     ordered = roots.select("root_id").where("root_id is not null").distinct().repartitionByRange("root_id").sortWithinPartitions("root_id")
@@ -31,10 +40,10 @@ def spread(edges: DataFrame | Adjacency, start: DataFrame, depth: int, direction
     """reach from any start (block, node_id, bits), one row a block and node: a bit may begin at many nodes. The start is depth 0."""
     moves = moves_of(edges, direction, kinds)
     none = F.lit(0).cast("long")
-    frontier = start.select("block", "node_id", F.lit(0).alias("depth"), "bits")
+    frontier = written(start.select("block", "node_id", F.lit(0).alias("depth"), "bits"), "frontier")
     seen = frontier
     for level in range(1, depth + 1):
-        met = frontier.join(moves.near(frontier), frontier["node_id"] == F.col("at")).select("block", F.col("next").alias("node_id"), "bits", none.alias("old"))
+        met = unbroadcast(frontier, frontier).join(moves.near(frontier), frontier["node_id"] == F.col("at")).select("block", F.col("next").alias("node_id"), "bits", none.alias("old"))
         rows = met.unionByName(seen.select("block", "node_id", none.alias("bits"), F.col("bits").alias("old")))
         merged = rows.groupBy("block", "node_id").agg(F.bit_or("bits").alias("met"), F.bit_or("old").alias("old"))
         new = merged.select("block", "node_id", F.lit(level).alias("depth"), F.col("met").bitwiseAND(F.bitwise_not("old")).alias("bits")).where("bits <> 0")
@@ -48,4 +57,12 @@ def expanded(found: DataFrame, roots: DataFrame) -> DataFrame:
     members = roots.groupBy("block").agg(F.collect_list(F.struct("bit", "root_id")).alias("_members"))  # 64 at most
     own = F.filter("_members", lambda m: F.getbit(F.col("bits"), m["bit"]) == 1)
     rest = [c for c in found.columns if c not in ("block", "bits")]
-    return found.join(members, "block").select(F.explode(own).alias("_m"), *rest).select("_m.root_id", *rest)
+    return found.join(unbroadcast(members, roots), "block").select(F.explode(own).alias("_m"), *rest).select("_m.root_id", *rest)
+
+
+def marked(found: DataFrame) -> DataFrame:
+    """found (block, bits, ...) with a row for each of its bits: bit in the place of bits. Sums by (block, bit) need the roots only once they are made."""
+    bits = F.col("bits")
+    # Most rows of a wide graph have one bit, which is told without going through all.
+    own = F.when(F.bit_count(bits) == 1, F.array(F.length(F.bin(bits)) - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(bits, k) == 1))
+    return found.select(*[c for c in found.columns if c != "bits"], F.explode(own).alias("bit"))

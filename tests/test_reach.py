@@ -38,3 +38,27 @@ def test_edges_of_reach(spark):
     placed = reach.placed(spark.range(1000).select(F.col("id").alias("root_id")))
     assert placed.groupBy("block", "bit").count().where("count > 1").count() == 0
     assert placed.groupBy("block").count().count() <= 1000 // 64 + 5
+
+
+def test_many_roots_are_not_broadcast(spark, monkeypatch):
+    n, plans, write = 250_000, [], reach.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    roots = reach.placed(spark.range(n).select(F.col("id").alias("root_id")))
+    monkeypatch.setattr(reach, "written", seen)
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") * 7 % n).alias("dst"), F.lit("calls").alias("kind"))
+    found = reach.reach(edges, roots, 2, "out")
+    sums = reach.marked(found).groupBy("block", "bit").agg(F.sum("node_id").alias("s")).join(reach.unbroadcast(roots, roots), ["block", "bit"])
+    plans.append(sums._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans)
+    want = sum(y for x in range(n) for y in {x * 7 % n, x * 49 % n} - {x})
+    assert sums.agg(F.sum("s")).first()[0] == want
+
+
+def test_marks_of_bits(spark):
+    found = spark.createDataFrame([(1, 7, b) for b in (0, 1, 2, -(1 << 63), -1, 5, 1 << 62)], "block long, node_id long, bits long")
+    rows = [r.bit for r in reach.marked(found).collect()]
+    assert sorted(rows) == sorted([0, 1, 63, *range(64), 0, 2, 62])
