@@ -120,29 +120,31 @@ def lines(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, shown: DataFrame
 
 
 def fitted(found: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task_id, level, markdown, tokens, core): the lines of each task joined at the first level of detail within its budget, else cut.
+    """(task_id, first, level, markdown, tokens) of tasks (task_id, first, budget): the lines found for `first` joined at the first level of detail within the budget, else cut.
 
-    A line costs its UTF-16 units and a line end. Sums by level choose the level; prefix sums then leave out
-    what starts beyond the budget, so a pack is collected from no more text than it may have, and one line.
+    A line costs its UTF-16 units and a line end. Sums by level choose the level; prefix sums by level then leave out
+    what starts beyond the budget, so a task meets no more text than it may have, and one line. Both are made once for
+    all tasks of one `first`.
     """
     cost = text.utf16_units("line") + 1
     room = F.col("budget").cast("long") * 4
     # At the level L a task's text is the sum of lines that L doesn't leave out, without the last line end.
-    at = [F.sum(F.when(F.col("drop") > level, F.col("cost")).otherwise(0)).alias(f"at{level}") for level in range(4)]
-    rows = found.withColumn("cost", cost)
-    sums = rows.groupBy("task_id").agg(*at).join(tasks.select("task_id", "budget"), "task_id")
-    level = F.coalesce(*[F.when(F.col(f"at{x}") - 1 <= room, F.lit(x)) for x in range(4)], F.lit(3))
-    chosen = sums.select("task_id", "budget", level.alias("level"))
+    shown = lambda level: F.when(F.col("drop") > level, F.col("cost")).otherwise(0)
     before = Window.partitionBy("task_id").orderBy("section", "place", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    kept = rows.join(chosen, "task_id").where("drop > level").withColumn("start", F.coalesce(F.sum("cost").over(before), F.lit(0)))
+    starts = F.array(*[F.coalesce(F.sum(shown(level)).over(before), F.lit(0)) for level in range(4)]).alias("starts")
+    rows = written(found.withColumn("cost", cost).select(F.col("task_id").alias("first"), "section", "place", "sub", "drop", "line", "cost", starts), "lines")
+    sums = rows.groupBy("first").agg(*[F.sum(shown(level)).alias(f"at{level}") for level in range(4)])
+    level = F.coalesce(*[F.when(F.col(f"at{x}") - 1 <= room, F.lit(x)) for x in range(4)], F.lit(3))
+    chosen = written(tasks.select("task_id", "first", "budget").join(sums, "first").select("task_id", "first", "budget", level.alias("level")), "chosen")
     # A line left out starts after the line end of a text longer than the room, so what is kept is cut as the whole would be.
-    kept = kept.where((F.col("start") <= room + 1) | (F.col("section") == 0))
+    fits = (F.col("starts")[F.col("level")] <= room + 1) | (F.col("section") == 0)
+    kept = rows.join(chosen, "first").where((F.col("drop") > F.col("level")) & fits)
     parts = F.array_sort(F.collect_list(F.struct("section", "place", "sub", "line")))
-    packed = kept.groupBy("task_id", "budget", "level").agg(parts.alias("parts"))
+    packed = kept.groupBy("task_id", "first", "budget", "level").agg(parts.alias("parts"))
     whole = F.array_join(F.transform("parts", lambda x: x["line"]), "\n")
     # Without a budget there is the heading at least.
     markdown = F.when(F.col("budget") <= 0, F.lit(HEADER)).otherwise(text.clamped(whole, F.col("budget")))
-    return packed.select("task_id", "level", markdown.alias("markdown")).withColumn("tokens", text.estimate_tokens("markdown"))
+    return packed.select("task_id", "first", "level", markdown.alias("markdown")).withColumn("tokens", text.estimate_tokens("markdown"))
 
 
 def packs(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, contents: DataFrame | None = None, walked: Adjacency | None = None) -> DataFrame:
@@ -150,20 +152,24 @@ def packs(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, contents: DataFr
 
     Each task has a row, also one that nothing is found for, or whose text is null; task_ids are unique and not
     null. tokens is the budget at most, where that is above 0. core_files are those whose headings are in the
-    text, symbols the names beside them. `walked` is a kept order of the edges to walk along.
+    text, symbols the names beside them. `walked` is a kept order of the edges to walk along. Tasks of one text are
+    searched, walked and ranked once; they differ by their budgets only.
     """
     tasks = written(tasks.select(F.col("task_id").cast("long"), "task", F.coalesce("budget", F.lit(0)).alias("budget")), "tasks")
     most = max(tasks.agg(F.max("budget")).first()[0] or 0, 0)
-    start = written(seeds(nodes, tasks), "seeds")
+    firsts = written(tasks.groupBy("task").agg(F.min("task_id").alias("task_id")), "firsts")
+    same = firsts.select(F.col("task").alias("text"), F.col("task_id").alias("first"))
+    each = tasks.join(same, F.col("task").eqNullSafe(F.col("text"))).select("task_id", "first", "budget")
+    start = written(seeds(nodes, firsts), "seeds")
     reached = written(expanded(walked or edges, start), "reached")
     first = start.join(nodes.select("id", "name"), "id").groupBy("task_id").agg(F.min_by("name", F.struct("position", "id")).alias("name"))
-    anchors = tasks.join(first, "task_id", "left").select("task_id", F.coalesce("name", "task", F.lit("")).alias("anchor"))
+    anchors = firsts.join(first, "task_id", "left").select("task_id", F.coalesce("name", "task", F.lit("")).alias("anchor"))
     shown = written(ranked(nodes, reached, anchors, most), "shown")
     symbols = written(_symbols(nodes, reached, shown), "symbols")
-    text_of = fitted(lines(nodes, edges, tasks, shown, symbols, most, contents), tasks)
+    text_of = fitted(lines(nodes, edges, firsts, shown, symbols, most, contents), each)
     core = shown.where("part = 1").join(symbols, ["task_id", "file_path"], "left")
-    own = core.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("position", "file_path", "symbols"))).alias("core"))  # CORE at most
-    out = text_of.join(own, "task_id", "left")
+    own = core.groupBy(F.col("task_id").alias("first")).agg(F.array_sort(F.collect_list(F.struct("position", "file_path", "symbols"))).alias("core"))  # CORE at most
+    out = text_of.join(own, "first", "left")
     left = F.filter(F.coalesce("core", F.array().cast(own.schema["core"].dataType)), lambda x: F.contains("markdown", F.concat(F.lit("#### "), x["file_path"])))
     named = F.flatten(F.transform("left", lambda x: F.coalesce(x["symbols"], F.array().cast("array<string>"))))
     return out.withColumn("left", left).select("task_id", "level", "markdown", "tokens", F.transform("left", lambda x: x["file_path"]).alias("core_files"), named.alias("symbols"))

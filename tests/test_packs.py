@@ -74,12 +74,30 @@ def test_a_pack_holds_what_belongs_to_it(spark, shop):
     assert "#### src/part1.test.ts" not in r.markdown or r.markdown.index("src/part1.ts") < r.markdown.index("src/part1.test.ts")
 
 
+def test_tasks_of_one_text_are_walked_once(spark, shop, monkeypatch):
+    nodes, edges, _ = shop
+    rows, write = {}, packs.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(packs, "written", counted)
+    tasks = [(i, "makePart1Step0" if i % 2 else None, i * 10) for i in range(400)]
+    got = {r.task_id: r for r in packs.packs(nodes, edges, spark.createDataFrame(tasks, "task_id long, task string, budget int")).collect()}
+    assert len(got) == 400 and rows["seeds"] <= 2 * packs.SEEDS and rows["reached"] <= nodes.count()
+    assert got[399].core_files and not got[398].core_files
+    assert all(r.tokens <= i * 10 for i, r in got.items() if i) and got[0].markdown == context.HEADER
+    assert len({r.markdown for i, r in got.items() if i % 2 and r.level == 0}) == 1
+
+
 def test_lines_that_end_at_the_budget_are_cut_as_the_whole(spark):
     # Units before a line that is left out: below, at, and above the room of 10 tokens.
     sizes = [(i, first, rest) for i, (first, rest) in enumerate((a, b) for a in range(36, 45) for b in (1, 20))]
     lines = [(i, section, 0, 0, packs.ALWAYS, c * n) for i, first, rest in sizes for section, c, n in ((0, "x", first), (1, "y", rest), (4, "z", 9))]
     found = spark.createDataFrame(lines, "task_id long, section int, place int, sub int, drop int, line string")
-    tasks = spark.createDataFrame([(i, 10) for i, _, _ in sizes], "task_id long, budget int")
+    tasks = spark.createDataFrame([(i, i, 10) for i, _, _ in sizes], "task_id long, first long, budget int")
     got = {r.task_id: r.markdown for r in packs.fitted(found, tasks).collect()}
     assert got == {i: context.clamped("\n".join(["x" * first, "y" * rest, "z" * 9]), 10) for i, first, rest in sizes}
 
